@@ -1,0 +1 @@
+"""Batch only: the checks run per partition date, so there is no streaming operator."""
