@@ -131,16 +131,17 @@ def lineage(runs: DataFrame) -> DataFrame:
     Everything minus the own source: two groupings instead of a pairing.
     """
     daily = _daily(runs)
-    scored = daily.filter(F.col("score_count") > 0)
-    counts = lambda: (
-        F.count(F.lit(1)).alias("n"), F.count_if("failing").alias("bad")
-    )
-    own = scored.filter(F.col("src_group").isNotNull()).groupBy(
-        F.col("src_group").alias("src_sys_nm"), DAY).agg(*counts())
-    total = scored.groupBy(DAY).agg(*counts())
-    base = daily.select(DATASET, DAY, "src_sys_nm")
-    joined = base.join(total.toDF(DAY, "_n", "_bad"), DAY, "left").join(
-        own.toDF("src_sys_nm", DAY, "_own_n", "_own_bad"), ["src_sys_nm", DAY], "left"
+    own = (
+        daily.filter(F.col("score_count") > 0)
+        .groupBy(F.col("src_group").alias("src_sys_nm"), DAY)
+        .agg(F.count(F.lit(1)).alias("_own_n"), F.count_if("failing").alias("_own_bad"))
+    )
+    # totals come from the few rows per source, not from the datasets again
+    total = own.groupBy(DAY).agg(F.sum("_own_n").alias("_n"), F.sum("_own_bad").alias("_bad"))
+    joined = (
+        daily.select(DATASET, DAY, "src_sys_nm")
+        .join(total, DAY, "left")
+        .join(own, ["src_sys_nm", DAY], "left")
     )
     less = lambda whole, part: F.coalesce(whole, F.lit(0)) - F.coalesce(part, F.lit(0))
     known = F.col("src_sys_nm").isNotNull()

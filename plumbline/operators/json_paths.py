@@ -14,27 +14,27 @@ from plumbline.functions.columns import named
 
 OFF, TOP_LEVEL, ALL = 0, 1, 2
 
-_NUMERIC = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
-
-def numeric_leaves(type_string: str | None) -> list[list[str]]:
-    """Key paths of the numeric leaves of a variant type string.
-
-    ``OBJECT<a: BIGINT, b: OBJECT<c: DOUBLE, d: ARRAY<BIGINT>>>`` gives
-    ``[["a"], ["b", "c"]]``; arrays are not entered.
-    """
-    found: list[list[str]] = []
-    if not type_string or not type_string.startswith("OBJECT<"):
-        return found
-    text, i, path = type_string, len("OBJECT<"), []
-    while i < len(text):
-        if text[i] == ">":
-            if path:
-                path.pop()
-            i += 1
-        elif text[i] in ", ":
-            i += 1
-        else:
+def _leaf_walker():
+    """The walk as a closure, so that it travels to Python workers by value and
+    they need no copy of this package."""
+    numeric = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
+
+    def walk(type_string: str | None) -> list[list[str]]:
+        found: list[list[str]] = []
+        head = "OBJECT<"
+        if not type_string or not type_string.startswith(head):
+            return found
+        text, i, path = type_string, len(head), []
+        while i < len(text):
+            if text[i] == ">":
+                if path:
+                    path.pop()
+                i += 1
+                continue
+            if text[i] in ", ":
+                i += 1
+                continue
             if text[i] == "`":
                 end = i + 1
                 while text[end] != "`" or text[end + 1] == "`":
@@ -43,23 +43,33 @@ def numeric_leaves(type_string: str | None) -> list[list[str]]:
             else:
                 end = text.index(": ", i)
                 key, i = text[i:end], end + 2
-            if text.startswith("OBJECT<", i):
+            if text.startswith(head, i):
                 path.append(key)
-                i += len("OBJECT<")
+                i += len(head)
                 continue
             end, depth = i, 0
             while end < len(text) and (depth or text[end] not in ",>"):
                 depth += {"<": 1, "(": 1, ">": -1, ")": -1}.get(text[end], 0)
                 end += 1
-            if text.startswith(_NUMERIC, i):
+            if text.startswith(numeric, i):
                 found.append([*path, key])
             i = end
-    return found
+        return found
+
+    return walk
+
+
+_walk = _leaf_walker()
+_leaves = F.udf(_walk, T.ArrayType(T.ArrayType(T.StringType())), useArrow=False)
+
 
+def numeric_leaves(type_string: str | None) -> list[list[str]]:
+    """Key paths of the numeric leaves of a variant type string.
 
-@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _leaves(type_string):
-    return numeric_leaves(type_string)
+    ``OBJECT<a: BIGINT, b: OBJECT<c: DOUBLE, d: ARRAY<BIGINT>>>`` gives
+    ``[["a"], ["b", "c"]]``; arrays are not entered.
+    """
+    return _walk(type_string)
 
 
 def numeric_paths(
@@ -93,16 +103,20 @@ def leaf_sources(column: str, paths: Sequence[Sequence[str]]) -> list[tuple[str,
     return [(".".join([column, *p]), leaf_value(column, p)) for p in paths]
 
 
-def known_paths(df: DataFrame, column: str, level: int) -> list[list[str]]:
-    """Leaf paths as plain lists, to build expressions from.
+def known_paths(df: DataFrame, columns: Sequence[str], level: int) -> dict[str, list[list[str]]]:
+    """Leaf paths per JSON column as plain lists, to build expressions from.
 
     This reads metadata like ``df.schema`` does: the result grows with the
     number of distinct JSON keys, not with the rows.
     """
     if level == OFF:
-        return []
-    shape = df.agg(F.schema_of_variant_agg(F.try_parse_json(named(column)))).first()[0]
-    return [p for p in numeric_leaves(shape) if level == ALL or len(p) == 1]
+        return {x: [] for x in columns}
+    shapes = df.agg(
+        *(F.schema_of_variant_agg(F.try_parse_json(named(x))).alias(x) for x in columns)
+    ).first()
+    return {
+        x: [p for p in numeric_leaves(shapes[x]) if level == ALL or len(p) == 1] for x in columns
+    }
 
 
 def effective_level(level: Column) -> Column:

@@ -69,11 +69,23 @@ def match(names: DataFrame, name: str, patterns: DataFrame,
     )
 
 
-def first_match(names: DataFrame, name: str, patterns: DataFrame, value: str,
-                pattern: str = "dataset_pattern") -> DataFrame:
-    """(name, value) of the matching pattern row with the lowest id; misses are absent."""
-    hits = match(names, name, patterns.select("id", pattern, value), pattern)
-    return hits.groupBy(name).agg(F.min_by(value, "id").alias(value))
+def lookup(names: DataFrame, name: str, patterns: DataFrame, value: str,
+           pattern: str = "dataset_pattern") -> DataFrame:
+    """Every distinct name with the value of its matching row of lowest id, else NULL.
+
+    The left join keeps names without a match, so nothing is joined back; names,
+    keys and the final grouping share one partitioning by name.
+    """
+    left = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    left = left.select(name, F.explode(_name_keys(F.col(name))).alias("_key"))
+    right = patterns.select(
+        F.col("id").alias("_id"), F.col(pattern).alias("_pattern"), F.col(value).alias("_value"),
+        F.explode(_pattern_keys(F.col(pattern))).alias("_key"),
+    )
+    hit = F.like(F.col(name), F.col("_pattern"))
+    return left.join(right, "_key", "left").groupBy(name).agg(
+        F.min_by("_value", F.when(hit, F.col("_id"))).alias(value)
+    )
 
 
 # ---- configuration lookups --------------------------------------------------
@@ -95,60 +107,48 @@ def enabled_checks(names: DataFrame, config: DataFrame,
 
 def lookup_codes(raw_codes: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Raw source codes with their enriched lookup code, or themselves."""
-    raw = raw_codes.select("raw_code").distinct()
-    named = raw.withColumn("candidate", F.concat(F.lit("src_sys_nm="), "raw_code"))
+    prefix = "src_sys_nm="
+    named = raw_codes.select(F.concat(F.lit(prefix), "raw_code").alias("candidate"))
     rows = active(enrichment).filter(F.col("lookup_code").isNotNull())
-    found = first_match(named, "candidate", rows, "lookup_code")
-    return named.join(found, "candidate", "left").select(
-        "raw_code", F.coalesce("lookup_code", "raw_code").alias("lookup_code")
-    )
+    found = lookup(named, "candidate", rows, "lookup_code")
+    raw = F.substring("candidate", len(prefix) + 1, 1 << 20)
+    return found.select(raw.alias("raw_code"), F.coalesce("lookup_code", raw).alias("lookup_code"))
 
 
 def sla_hours(names: DataFrame, enrichment: DataFrame) -> DataFrame:
     """(dataset_name, sla_hours) for names that have one."""
     rows = active(enrichment).filter(F.col("sla_hours").isNotNull())
-    return first_match(names, "dataset_name", rows, "sla_hours")
+    return lookup(names, "dataset_name", rows, "sla_hours").filter(F.col("sla_hours").isNotNull())
 
 
 def explosion_levels(names: DataFrame, config: DataFrame) -> DataFrame:
     """(dataset_name, explosion_level) for every name; OFF unless a row says more."""
     rows = _enabled(config).filter(F.col("check_type") == c.DISTRIBUTION)
-    found = first_match(names, "dataset_name", rows, "explosion_level")
-    return (
-        names.select("dataset_name").distinct()
-        .join(found, "dataset_name", "left")
-        .select("dataset_name", effective_level(F.col("explosion_level")).alias("explosion_level"))
+    found = lookup(names, "dataset_name", rows, "explosion_level")
+    return found.select(
+        "dataset_name", effective_level(F.col("explosion_level")).alias("explosion_level")
     )
 
 
 def score_weights(names: DataFrame, enrichment: DataFrame) -> DataFrame:
     """(dataset_name, weights MAP) for every name: its own weights or the defaults."""
     rows = active(enrichment).filter(F.col("custom_weights").isNotNull())
-    found = first_match(names, "dataset_name", rows, "custom_weights")
+    found = lookup(names, "dataset_name", rows, "custom_weights")
     defaults = F.create_map(
         *(F.lit(x) for pair in c.DEFAULT_WEIGHTS.items() for x in pair)
     )
     own = F.from_json("custom_weights", "map<string,double>")
-    return (
-        names.select("dataset_name").distinct()
-        .join(found, "dataset_name", "left")
-        .select("dataset_name", F.coalesce(own, defaults).alias("weights"))
-    )
+    return found.select("dataset_name", F.coalesce(own, defaults).alias("weights"))
 
 
 def orphan_detection(names: DataFrame, config: DataFrame) -> DataFrame:
     """FAIL for names that no enabled pattern covers."""
-    covered = match(names, "dataset_name", _enabled(config).select("dataset_pattern"))
-    covered = covered.select("dataset_name").distinct().withColumn("_covered", F.lit(True))
-    hit = F.col("_covered").isNotNull()
-    return (
-        names.select("dataset_name").distinct()
-        .join(covered, "dataset_name", "left")
-        .select(
-            "dataset_name",
-            F.when(hit, c.PASS).otherwise(c.FAIL).alias("status"),
-            F.when(hit, "check_config_present").otherwise("no_check_config").alias("reason"),
-        )
+    found = lookup(names, "dataset_name", _enabled(config), "check_type")
+    hit = F.col("check_type").isNotNull()
+    return found.select(
+        "dataset_name",
+        F.when(hit, c.PASS).otherwise(c.FAIL).alias("status"),
+        F.when(hit, "check_config_present").otherwise("no_check_config").alias("reason"),
     )
 
 

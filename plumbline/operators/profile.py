@@ -27,6 +27,7 @@ class Measures:
     """Aggregate expressions of one family plus how to read them back as rows."""
 
     aggregates: dict[str, Column] = field(default_factory=dict)   # by output name
+    inputs: dict[str, Column] = field(default_factory=dict)       # computed once per row
     rows: list[Column] = field(default_factory=list)        # struct per output row
     metrics: list[Column] = field(default_factory=list)     # long metric structs
 
@@ -118,7 +119,9 @@ def distribution_measures(sources: Sequence[tuple[str, Column]], percentiles: bo
     """mean, population stddev, p50, p95 and non-null count per (path, expression)."""
     m = Measures()
     for i, (path, source) in enumerate(sources):
-        value = source.cast("double")
+        # several aggregates read one projected value, so JSON is parsed once per row
+        m.inputs[f"_value_{i}"] = source.cast("double")
+        value = F.col(f"_value_{i}")
         m.aggregates |= {
             f"mean_{i}": F.avg(value),
             f"stddev_{i}": F.stddev_pop(value),
@@ -183,8 +186,12 @@ def timestamp_measures(columns: Sequence[str], partition_date: Column) -> Measur
 def aggregate(df: DataFrame, families: Sequence[Measures], keys: Sequence[str] = c.KEYS) -> DataFrame:
     """One wide row per key for all families; shared aggregates are computed once."""
     chosen: dict[str, Column] = {}
+    inputs: dict[str, Column] = {}
     for family in families:
         chosen |= family.aggregates
+        inputs |= family.inputs
+    if inputs:
+        df = df.withColumns(inputs)
     return df.groupBy(*keys).agg(*(expr.alias(name) for name, expr in chosen.items()))
 
 

@@ -1,12 +1,13 @@
 """Schema snapshots and their drift.
 
-A snapshot is rows ``(dataset_name, partition_date, field_path, descriptor)``
-plus one header row ``(dataset_name, partition_date, schema_hash, schema_json)``.
+A snapshot is one row per dataset and date: ``schema_hash``, ``schema_json`` and
+``fields``, a map from field path to descriptor.  A map is as wide as one schema,
+so comparing two neighbouring snapshots needs one window and no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from plumbline import constants as c
 
@@ -50,38 +51,33 @@ def field_names(schema: T.StructType) -> list[str]:
     return names
 
 
-def snapshot(spark: SparkSession, schemas) -> tuple[DataFrame, DataFrame]:
-    """(headers, fields) for ``(dataset_name, partition_date, StructType)`` triples.
+def snapshot(spark: SparkSession, schemas) -> DataFrame:
+    """Snapshots of ``(dataset_name, partition_date, StructType)`` triples.
 
     Schemas are driver-side metadata; their size does not depend on row counts.
     """
-    headers, fields = [], []
-    for dataset, day, schema in schemas:
-        headers.append((dataset, day, schema.json()))
-        breaking = set(field_names(schema))
-        fields += [(dataset, day, p, d, p in breaking) for p, d in flatten(schema).items()]
-    key = "dataset_name string, partition_date date"
-    head = spark.createDataFrame(headers, f"{key}, schema_json string")
-    return (
-        with_hash(head),
-        spark.createDataFrame(fields, f"{key}, field_path string, descriptor string, is_name boolean"),
+    rows = [(name, day, s.json(), flatten(s), field_names(s)) for name, day, s in schemas]
+    return with_hash(
+        spark.createDataFrame(
+            rows,
+            "dataset_name string, partition_date date, schema_json string, "
+            "fields map<string,string>, names array<string>",
+        )
     )
 
 
-def snapshot_of(df: DataFrame, partitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, fields) that give every partition the schema of ``df`` without its keys."""
+def snapshot_of(df: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Every partition with the schema of ``df`` without its keys."""
     own = T.StructType([f for f in df.schema.fields if f.name not in c.KEYS])
-    breaking = set(field_names(own))
-    rows = [
-        F.struct(
-            F.lit(p).alias("field_path"), F.lit(t).alias("descriptor"),
-            F.lit(p in breaking).alias("is_name"),
+    pairs = [F.lit(x) for pair in flatten(own).items() for x in pair]
+    return with_hash(
+        partitions.select(
+            *c.KEYS,
+            F.lit(own.json()).alias("schema_json"),
+            F.create_map(*pairs).alias("fields"),
+            F.array(*map(F.lit, field_names(own))).alias("names"),
         )
-        for p, t in flatten(own).items()
-    ]
-    keyed = partitions.select(*c.KEYS)
-    headers = with_hash(keyed.withColumn("schema_json", F.lit(own.json())))
-    return headers, keyed.select(*c.KEYS, F.inline(F.array(*rows)))
+    )
 
 
 def with_hash(headers: DataFrame) -> DataFrame:
@@ -90,102 +86,73 @@ def with_hash(headers: DataFrame) -> DataFrame:
     )
 
 
-def previous_snapshot(headers: DataFrame) -> DataFrame:
-    """Each header with the hash, JSON and date of the dataset's previous one."""
+def previous_snapshot(snapshots: DataFrame) -> DataFrame:
+    """Each snapshot next to the dataset's previous one."""
     w = Window.partitionBy("dataset_name").orderBy("partition_date")
-    return headers.withColumns(
+    carried = {"partition_date": "date", "schema_hash": "hash", "schema_json": "json"}
+    carried |= {x: x for x in ("fields", "names") if x in snapshots.columns}
+    return snapshots.withColumns(
+        {f"baseline_{new}": F.lag(old).over(w) for old, new in carried.items()}
+    )
+
+
+def _blank(column: str) -> Column:
+    return F.coalesce(F.length(F.trim(column)) == 0, F.lit(True))
+
+
+def _with_changes(snapshots: DataFrame) -> DataFrame:
+    """Sorted arrays ``added``, ``removed`` and ``changed`` against the previous snapshot."""
+    paired = previous_snapshot(snapshots)
+    now, then = F.map_keys("fields"), F.map_keys("baseline_fields")
+    differs = lambda k: F.element_at("fields", k) != F.element_at("baseline_fields", k)
+    return paired.withColumns(
         {
-            "baseline_date": F.lag("partition_date").over(w),
-            "baseline_hash": F.lag("schema_hash").over(w),
-            "baseline_json": F.lag("schema_json").over(w),
+            "added": F.array_sort(F.array_except(now, then)),
+            "removed": F.array_sort(F.array_except(then, now)),
+            "changed": F.array_sort(F.filter(F.array_intersect(now, then), differs)),
         }
     )
 
 
-def field_drift(headers: DataFrame, fields: DataFrame) -> DataFrame:
-    """Added, removed and changed fields of every snapshot against the previous one.
+def field_drift(snapshots: DataFrame) -> DataFrame:
+    """One row per added, removed or changed field with its descriptors."""
+    def labelled(kind: str) -> Column:
+        return F.transform(kind, lambda p: F.struct(p.alias("field_path"), F.lit(kind).alias("change")))
 
-    Every field row is sent to its own date and, as baseline, to the dataset's
-    next date; one grouping by (dataset, date, path) then holds both sides.
-    """
-    keys = list(c.KEYS)
-    w = Window.partitionBy("dataset_name").orderBy("partition_date")
-    dates = headers.select(
-        *keys,
-        F.lead("partition_date").over(w).alias("_next"),
-        F.lag("partition_date").over(w).isNotNull().alias("_has_baseline"),
-    )
-    dated = fields.select(*keys, "field_path", "descriptor").join(dates, keys)
-    none = F.lit(None).cast("string")
-    sent = dated.select(
-        "dataset_name",
-        "field_path",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.when(F.col("_has_baseline"), F.col("partition_date")).alias("partition_date"),
-                    F.col("descriptor").alias("after"), none.alias("before"),
-                ),
-                F.struct(
-                    F.col("_next").alias("partition_date"),
-                    none.alias("after"), F.col("descriptor").alias("before"),
-                ),
-            )
-        ),
-    ).filter(F.col("partition_date").isNotNull())
-    sides = sent.groupBy(*keys, "field_path").agg(
-        F.max("before").alias("before"), F.max("after").alias("after")
-    )
-    return sides.withColumn(
+    changes = F.flatten(F.array(labelled("added"), labelled("removed"), labelled("changed")))
+    return _with_changes(snapshots).select(
+        *c.KEYS, "fields", "baseline_fields", F.inline(changes)
+    ).select(
+        *c.KEYS, "field_path",
+        F.try_element_at("baseline_fields", "field_path").alias("before"),
+        F.try_element_at("fields", "field_path").alias("after"),
         "change",
-        F.when(F.col("before").isNull(), "added")
-        .when(F.col("after").isNull(), "removed")
-        .when(F.col("before") != F.col("after"), "changed"),
-    ).filter(F.col("change").isNotNull())
+    )
 
 
-def schema_status(headers: DataFrame, fields: DataFrame) -> DataFrame:
+def schema_status(snapshots: DataFrame) -> DataFrame:
     """Drift verdict per snapshot with counts and the sorted field names."""
-    drift = field_drift(headers, fields)
-    # rows gathered per partition are the fields of one schema
-    listed = lambda kind: F.concat_ws(
-        ",", F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("field_path"))))
-    )
-    counts = drift.groupBy(*c.KEYS).agg(
-        *(F.count_if(F.col("change") == k).alias(f"{k}_count") for k in ("added", "removed", "changed")),
-        *(listed(k).alias(f"{k}_fields") for k in ("added", "removed", "changed")),
-    )
-    joined = previous_snapshot(headers).join(counts, list(c.KEYS), "left")
-
-    blank = lambda x: F.coalesce(F.length(F.trim(x)) == 0, F.lit(True))
-    no_baseline = blank("baseline_hash")
+    no_baseline = _blank("baseline_hash")
     same = F.col("schema_hash") == F.col("baseline_hash")
-    hash_only = blank("baseline_json")
-    ignored = no_baseline | same
-    n = {
-        k: F.when(ignored, 0)
-        .when(hash_only, 1 if k == "changed" else 0)
-        .otherwise(F.coalesce(f"{k}_count", F.lit(0)))
-        .cast("bigint")
-        for k in ("added", "removed", "changed")
-    }
-    names = {
-        k: F.when(ignored, "")
-        .when(hash_only, "$schema" if k == "changed" else "")
-        .otherwise(F.coalesce(f"{k}_fields", F.lit("")))
-        for k in ("added", "removed", "changed")
-    }
-    counted = joined.withColumns(
-        {**{f"{k}_count": n[k] for k in n}, **{f"{k}_fields": names[k] for k in names}}
+    empty = F.array().cast("array<string>")
+    judged = _with_changes(snapshots).withColumns(
+        {
+            kind: F.when(no_baseline | same, empty)
+            # a baseline known by its hash alone counts as one change of the whole schema
+            .when(_blank("baseline_json"), F.array(F.lit("$schema")) if kind == "changed" else empty)
+            .otherwise(F.col(kind))
+            for kind in ("added", "removed", "changed")
+        }
     )
-    broken = (F.col("removed_count") > 0) | (F.col("changed_count") > 0)
-    additive = F.col("added_count") > 0
-    return counted.select(
+    count = lambda kind: F.size(kind).cast("bigint")
+    broken = (F.size("removed") > 0) | (F.size("changed") > 0)
+    additive = F.size("added") > 0
+    return judged.select(
         *c.KEYS,
         "schema_hash",
         "baseline_hash",
-        "added_count", "removed_count", "changed_count",
-        "added_fields", "removed_fields", "changed_fields",
+        *(count(k).alias(f"{k}_count") for k in ("added", "removed", "changed")),
+        *(F.array_join(k, ",").alias(f"{k}_fields") for k in ("added", "removed", "changed")),
         F.when(broken, c.FAIL).when(additive, c.WARN).otherwise(c.PASS).alias("status"),
         F.when(no_baseline, "baseline_unavailable")
         .when(broken, "schema_breaking_change")
@@ -195,26 +162,25 @@ def schema_status(headers: DataFrame, fields: DataFrame) -> DataFrame:
     )
 
 
-def breaking_change(headers: DataFrame, fields: DataFrame) -> DataFrame:
+def breaking_change(snapshots: DataFrame) -> DataFrame:
     """Names that disappeared since the previous snapshot; type changes do not count."""
-    if "is_name" in fields.columns:
-        fields = fields.filter("is_name")
-    removed = field_drift(headers, fields).filter(F.col("change") == "removed")
-    lost = removed.groupBy(*c.KEYS).agg(
-        F.count(F.lit(1)).alias("removed_count"),
-        F.concat_ws(",", F.array_sort(F.collect_list("field_path"))).alias("removed_fields"),
-    )
-    joined = previous_snapshot(headers).join(lost, list(c.KEYS), "left")
+    all_paths = F.map_keys("fields")
+    known = F.coalesce("names", all_paths) if "names" in snapshots.columns else all_paths
+    snapshots = snapshots.withColumn("names", known)
+    paired = previous_snapshot(snapshots)
     # a baseline that is no schema document cannot be compared
     usable = F.coalesce(F.get_json_object("baseline_json", "$.type") == "struct", F.lit(False))
-    failed = usable & F.col("removed_count").isNotNull()
-    return joined.select(
+    lost = F.when(usable, F.array_sort(F.array_except("baseline_names", "names"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    failed = F.size("removed") > 0
+    return paired.withColumns({"removed": lost, "usable": usable}).select(
         *c.KEYS,
         F.when(failed, c.FAIL).otherwise(c.PASS).alias("status"),
-        F.when(~usable, "baseline_unavailable")
+        F.when(~F.col("usable"), "baseline_unavailable")
         .when(failed, "breaking_changes_detected")
         .otherwise("no_breaking_changes")
         .alias("reason"),
-        F.when(failed, F.col("removed_count")).otherwise(F.lit(0).cast("bigint")).alias("removed_count"),
-        F.when(failed, F.col("removed_fields")).otherwise("").alias("removed_fields"),
+        F.size("removed").cast("bigint").alias("removed_count"),
+        F.array_join("removed", ",").alias("removed_fields"),
     )

@@ -151,10 +151,8 @@ def json_nested_paths(spark, sf):
 @query
 def chk_dist_json(spark, sf):
     m = d.monitored_json(spark, sf)
-    sources = []
-    for column in ("event_attribute", "props"):
-        paths = json_paths.known_paths(m, column, json_paths.ALL)
-        sources += json_paths.leaf_sources(column, paths)
+    paths = json_paths.known_paths(m, ["event_attribute", "props"], json_paths.ALL)
+    sources = [x for column in paths for x in json_paths.leaf_sources(column, paths[column])]
     return _rounded(profile.column_stats(m, columns=[], sources=sources), "mean", "stddev")
 
 
@@ -219,32 +217,30 @@ def hist_latest_column_stats(spark, sf):
 
 @query
 def hist_prev_schema(spark, sf):
-    headers, _ = d.snapshots(spark, sf)
-    return schema.previous_snapshot(headers).select(
+    return schema.previous_snapshot(d.snapshots(spark, sf)).select(
         *c.KEYS, "schema_hash", "baseline_date", "baseline_hash", "baseline_json"
     )
 
 
 @query
 def chk_schema_hash(spark, sf):
-    headers, _ = d.snapshots(spark, sf)
-    stored = headers.filter(F.col("schema_json").isNotNull()).select(*c.KEYS, "schema_json")
-    return schema.with_hash(stored)
+    stored = d.snapshots(spark, sf).filter(F.col("schema_json").isNotNull())
+    return schema.with_hash(stored.select(*c.KEYS, "schema_json"))
 
 
 @query
 def chk_schema_drift(spark, sf):
-    return schema.field_drift(*d.snapshots(spark, sf))
+    return schema.field_drift(d.snapshots(spark, sf))
 
 
 @query
 def chk_schema_status(spark, sf):
-    return schema.schema_status(*d.snapshots(spark, sf))
+    return schema.schema_status(d.snapshots(spark, sf))
 
 
 @query
 def chk_breaking_change(spark, sf):
-    return schema.breaking_change(*d.snapshots(spark, sf))
+    return schema.breaking_change(d.snapshots(spark, sf))
 
 
 # ---- configuration ----------------------------------------------------------

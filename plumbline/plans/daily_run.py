@@ -72,13 +72,13 @@ def timestamp_details(history: DataFrame) -> DataFrame:
                    "timestamp_sanity_summary", ["total_columns_analyzed", "failed_columns"])
 
 
-def schema_details(headers: DataFrame, fields: DataFrame) -> DataFrame:
-    return _detail(schema.schema_status(headers, fields), c.SCHEMA, "schema_status",
+def schema_details(snapshots: DataFrame) -> DataFrame:
+    return _detail(schema.schema_status(snapshots), c.SCHEMA, "schema_status",
                    ["schema_hash", "baseline_hash", "added_count", "removed_count", "changed_count"])
 
 
-def breaking_details(headers: DataFrame, fields: DataFrame) -> DataFrame:
-    return _detail(schema.breaking_change(headers, fields), c.BREAKING_CHANGE,
+def breaking_details(snapshots: DataFrame) -> DataFrame:
+    return _detail(schema.breaking_change(snapshots), c.BREAKING_CHANGE,
                    "breaking_change_status", ["removed_count", "removed_fields"])
 
 
@@ -103,13 +103,13 @@ def _detail(judged: DataFrame, check: str, kind: str, fields: Sequence[str]) ->
     )
 
 
-def judge(history: DataFrame, columns: Sequence[str], snapshots) -> DataFrame:
+def judge(history: DataFrame, columns: Sequence[str], snapshots: DataFrame) -> DataFrame:
     """Status details of all partition checks for every date of the history."""
     parts = [
         volume_details(history),
         zero_row_details(history),
-        schema_details(*snapshots),
-        breaking_details(*snapshots),
+        schema_details(snapshots),
+        breaking_details(snapshots),
         freshness_details(history),
         ops_details(history, columns),
         distribution_details(history),
@@ -146,7 +146,7 @@ def run(
     enrichment: DataFrame,
     at: Column,
     history: DataFrame | None = None,
-    schema_history: tuple[DataFrame, DataFrame] | None = None,
+    schema_history: DataFrame | None = None,
     expected: DataFrame | None = None,
     rerun_number: int = 0,
     orchestration_run_id: Column | None = None,
@@ -177,19 +177,21 @@ def run(
     batch = fresh.select(*c.KEYS).distinct()
     snapshots = schema.snapshot_of(monitored, batch)
     if schema_history is not None:
-        snapshots = tuple(
-            now.unionByName(old.join(batch, list(c.KEYS), "left_anti"))
-            for now, old in zip(snapshots, schema_history)
+        snapshots = snapshots.unionByName(
+            schema_history.join(batch, list(c.KEYS), "left_anti"), allowMissingColumns=True
         )
     details = staged(
         judge(known, columns, snapshots).join(batch, list(c.KEYS), "left_semi"),
         f"{folder}/_staging/details",
     )
     weights = patterns.score_weights(batch, enrichment)
-    scored = score.dq_score(
-        details.select(*c.KEYS, "check_type", "status"), weights, keys=c.KEYS, on=["dataset_name"]
+    scored = staged(
+        score.dq_score(
+            details.select(*c.KEYS, "check_type", "status"), weights, keys=c.KEYS, on=["dataset_name"]
+        ),
+        f"{folder}/_staging/scores",
     )
-    codes = patterns.first_match(
+    codes = patterns.lookup(
         batch.select("dataset_name"), "dataset_name",
         patterns.active(enrichment).filter(F.col("lookup_code").isNotNull()), "lookup_code",
     )

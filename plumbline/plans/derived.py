@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import constants as c
 from plumbline.functions.columns import date_at_midnight
+from plumbline.operators.baseline import latest_rerun
 from plumbline.operators.profile import per_partition_clock
 from plumbline.sources.store import active, sentinel
 
@@ -216,8 +217,6 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active metrics joined to active runs: the newest run per dataset, day and metric."""
-    from plumbline.operators.baseline import latest_rerun
-
     r = active_runs(spark, sf_dir).select("run_id", "dataset_name", "partition_date", "rerun_number")
     joined = active(numerics(spark, sf_dir)).drop("expiry_date", "metric_id").join(r, "run_id")
     return latest_rerun(
@@ -226,35 +225,39 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(headers, fields): the order's lines are the fields of the run's schema.
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema snapshots: the order's lines are the fields of the run's schema.
 
-    Per dataset and day the newest run counts.  Every ninth header stores no
+    Per dataset and day the newest run counts.  Every ninth snapshot stores no
     schema JSON and every thirteenth no usable one.
     """
-    from plumbline.operators.baseline import latest_rerun
-
     r = latest_rerun(
         active_runs(spark, sf_dir).select("run_id", *c.KEYS, "rerun_number"),
         list(c.KEYS), [F.desc("rerun_number"), F.desc("run_id")],
     ).select("run_id", *c.KEYS)
     kind = F.when(F.col("flag") == "A", "bigint").when(F.col("flag") == "N", "double").otherwise("string")
     nullable = F.when(F.col("line_status") == "O", "true").otherwise("false")
-    fields = _lines(spark, sf_dir).select(
-        F.col("l_orderkey").alias("run_id"),
-        F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_path"),
-        F.concat(F.lit("type="), kind, F.lit(",nullable="), nullable).alias("descriptor"),
-    ).join(r, "run_id")
-    listed = F.array_sort(F.collect_list(F.concat("field_path", F.lit(":"), "descriptor")))
-    per_run = fields.groupBy("run_id", *c.KEYS).agg(listed.alias("_f"))
-    stored = F.concat(F.lit('{"type": "struct", "fields": "'), F.array_join("_f", ";"), F.lit('"}'))
-    headers = per_run.select(
+    per_run = _lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("run_id")).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("path"),
+                    F.concat(F.lit("type="), kind, F.lit(",nullable="), nullable).alias("descriptor"),
+                )
+            )
+        ).alias("f")
+    )
+    listed = F.array_join(
+        F.transform("f", lambda x: F.concat(x["path"], F.lit(":"), x["descriptor"])), ";"
+    )
+    stored = F.concat(F.lit('{"type": "struct", "fields": "'), listed, F.lit('"}'))
+    return per_run.join(r, "run_id").select(
         *c.KEYS,
         F.concat(F.lit("sha256:"), F.sha2(stored, 256)).alias("schema_hash"),
         F.when(F.col("run_id") % 9 == 0, None)
         .when(F.col("run_id") % 13 == 0, F.lit('"text"')).otherwise(stored).alias("schema_json"),
+        F.map_from_entries("f").alias("fields"),
     )
-    return headers, fields.select(*c.KEYS, "field_path", "descriptor")
 
 
 def delivery_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
