@@ -141,6 +141,8 @@ SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_name
 SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_name
     ORDER BY partition_date DESC, rerun_number DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1""",
     "newest": "SELECT MAX(partition_date) AS d FROM runs",
+    "yearly": "SELECT * REPLACE (CAST(date_trunc('year', partition_date) AS DATE) AS partition_date) FROM runs",
+    "newest_year": "SELECT MAX(partition_date) AS d FROM yearly",
     "src": """
 SELECT *, CASE WHEN trim(x) <> '' THEN x END AS src_sys_nm, CASE WHEN trim(y) <> '' THEN y END AS src_group
 FROM (SELECT *, regexp_extract(dataset_name, 'src_sys_nm=([^/]*)', 1) AS x,
@@ -182,8 +184,9 @@ WHERE a.descriptor IS DISTINCT FROM b.descriptor""",
     "counts": "SELECT dataset_name, partition_date, COUNT(*) AS row_count FROM m GROUP BY ALL",
     "stale": """
 SELECT dataset_name, partition_date, latest_event,
-  GREATEST(0, floor(epoch(CAST(partition_date AS TIMESTAMP) + INTERVAL 30 HOUR) - epoch(latest_event)))
-    / CAST(3600 AS DOUBLE) AS hours_since_update
+  CASE WHEN latest_event IS NOT NULL THEN
+    GREATEST(0, floor(epoch(CAST(partition_date AS TIMESTAMP) + INTERVAL 30 HOUR) - epoch(latest_event)))
+      / CAST(3600 AS DOUBLE) END AS hours_since_update
 FROM (SELECT dataset_name, partition_date, MAX(TRY_CAST(source_event_timestamp AS TIMESTAMP)) AS latest_event
       FROM m GROUP BY ALL)""",
     "rates": """
@@ -226,6 +229,7 @@ NEEDS = {
     "runs": ["runs_all"], "numerics_all": ["lines"], "numerics": ["numerics_all"],
     "details_all": ["lines"], "details": ["details_all"], "names": ["m", "runs_all"],
     "history": ["numerics", "runs"], "latest": ["runs"], "latest_any": ["runs"], "newest": ["runs"],
+    "yearly": ["runs"], "newest_year": ["yearly"],
     "src": ["runs"], "pairs": ["src"], "day_runs": ["runs"], "fields": ["lines", "day_runs"],
     "headers": ["fields"], "chain": ["headers"], "drift": ["fields", "chain"], "counts": ["m"],
     "stale": ["m"], "rates": ["m"], "stats": ["m"], "ts_counts": ["m"], "ts_judged": ["ts_counts"],
@@ -288,13 +292,14 @@ WHERE age <= 30 GROUP BY ALL"""
 BASE = f"{near('baseline_mean')} AS baseline_mean, {near('baseline_stddev')} AS baseline_stddev, baseline_count"
 
 
-def banded(n: str, deviation: str, warn: str, fail: str, before: str = "") -> str:
+def banded(n: str, deviation: str, warn: str, fail: str, first=("FALSE", "", "")) -> str:
+    condition, first_status, first_reason = first
     status = (
-        f"CASE {before.format('FAIL')} WHEN {n} < 2 THEN 'PASS' WHEN {deviation} <= {warn} THEN 'PASS' "
+        f"CASE WHEN {condition} THEN '{first_status}' WHEN {n} < 2 THEN 'PASS' WHEN {deviation} <= {warn} THEN 'PASS' "
         f"WHEN {deviation} <= {fail} THEN 'WARN' ELSE 'FAIL' END AS status"
     )
     reason = (
-        f"CASE {before.format('all_null_column')} WHEN {n} < 2 THEN 'baseline_unavailable' "
+        f"CASE WHEN {condition} THEN '{first_reason}' WHEN {n} < 2 THEN 'baseline_unavailable' "
         f"WHEN {deviation} <= {warn} THEN 'within_baseline' "
         f"WHEN {deviation} <= {fail} THEN 'above_warn_threshold' ELSE 'above_fail_threshold' END AS reason"
     )
@@ -335,6 +340,7 @@ _FRESH = banded(
     "baseline_count", "hours_since_update",
     "baseline_mean + GREATEST(baseline_stddev, CAST(0.5 AS DOUBLE))",
     "baseline_mean + GREATEST(2 * baseline_stddev, 1)",
+    ("hours_since_update IS NULL", "NOT_RUN", "no_parseable_timestamps"),
 )
 oracle("chk_freshness_status", "stale", f"""
 SELECT dataset_name, partition_date, latest_event, hours_since_update, {BASE}, {_FRESH}
@@ -349,7 +355,7 @@ FROM rates WHERE column_name IN ('tag', 'source_event_timestamp')""")
 
 _NULL_RATE = banded(
     "baseline_count", "null_rate_pct", "baseline_mean + GREATEST(baseline_stddev, 1)",
-    "baseline_mean + GREATEST(2 * baseline_stddev, 5)", "WHEN null_rate_pct = 100 THEN '{}'",
+    "baseline_mean + GREATEST(2 * baseline_stddev, 5)", ("null_rate_pct = 100", "FAIL", "all_null_column"),
 )
 _OPS = f"""
 SELECT *, CASE WHEN reason = 'all_null_column' THEN 'critical' WHEN status = 'FAIL' THEN 'fail'
@@ -899,11 +905,11 @@ SELECT lob_id, """ + ", ".join(
     f"MAX(CASE WHEN month = '{m}' THEN avg_score END) AS m_{m.replace('-', '_')}"
     for m in ("2001-05", "2001-06", "2001-07")
 ) + f" FROM ({_MONTHLY}) GROUP BY 1")
-oracle("rpt_source_accountability", "runs newest", f"""
+oracle("rpt_source_accountability", "newest_year", f"""
 SELECT split_part(split_part(dataset_name, 'src_sys_nm=', 2), '/', 1) AS src_sys_nm, COUNT(*) AS dataset_count,
   {average('cents')} AS avg_score, COUNT(*) FILTER (WHERE check_status = 'PASS') AS healthy_count,
   COUNT(*) FILTER (WHERE check_status = 'FAIL') AS critical_count
-FROM runs, newest WHERE partition_date = d AND dataset_name LIKE '%src_sys_nm=%' GROUP BY 1""")
+FROM yearly, newest_year WHERE partition_date = d AND dataset_name LIKE '%src_sys_nm=%' GROUP BY 1""")
 oracle("rpt_improvement_delta", "runs", f"""
 SELECT lob_id, {average('b')} AS baseline_score, {average('c')} AS current_score,
   CASE WHEN COUNT(b) > 0 AND COUNT(c) > 0 THEN
@@ -918,14 +924,14 @@ GROUP BY 1 HAVING COUNT(b) + COUNT(c) > 0""")
 
 _TYPES = """COALESCE((SELECT string_agg(DISTINCT n.check_type, ',' ORDER BY n.check_type)
    FROM numerics n WHERE n.run_id = r.run_id), '')"""
-oracle("rpt_latest_failures", "runs newest numerics", f"""
+oracle("rpt_latest_failures", "newest_year numerics", f"""
 SELECT r.run_id, r.dataset_name, r.partition_date, COALESCE(r.lookup_code, 'UNKNOWN') AS lob,
   CAST(r.dqs_score AS DOUBLE) AS dqs_score, {_TYPES} AS check_types
-FROM runs r, newest WHERE r.partition_date = d AND r.check_status = 'FAIL'""")
-oracle("rpt_failures_by_lob", "runs newest", """
+FROM yearly r, newest_year WHERE r.partition_date = d AND r.check_status = 'FAIL'""")
+oracle("rpt_failures_by_lob", "newest_year", """
 SELECT COALESCE(lookup_code, 'UNKNOWN') AS lob, partition_date, COUNT(*) AS failure_count,
-  (SELECT COUNT(DISTINCT dataset_name) FROM runs, newest WHERE partition_date = d) AS total_datasets
-FROM runs, newest WHERE partition_date = d AND check_status = 'FAIL' GROUP BY 1, 2""")
+  (SELECT COUNT(DISTINCT dataset_name) FROM yearly, newest_year WHERE partition_date = d) AS total_datasets
+FROM yearly, newest_year WHERE partition_date = d AND check_status = 'FAIL' GROUP BY 1, 2""")
 oracle("rpt_trend_direction", "latest_any runs numerics", f"""
 WITH t AS MATERIALIZED ({trend('dataset_name', 90)}),
 e AS (SELECT dataset_name, arg_max(avg_score, day) AS z, arg_min(avg_score, day) AS a, COUNT(*) AS n
