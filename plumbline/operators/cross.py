@@ -7,7 +7,7 @@ ever paired with another one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import constants as c
 from plumbline.functions import verdicts
@@ -59,20 +59,39 @@ def sla_countdown(partitions: DataFrame, enrichment: DataFrame, as_of) -> DataFr
 def source_health(runs: DataFrame) -> DataFrame:
     """Average score and dataset count of each partition's source over its last 8 days."""
     daily = _daily(runs)
-    scored = daily.filter((F.col("score_count") > 0) & F.col("src_group").isNotNull())
-    reach = F.sequence(F.lit(0), F.lit(c.SOURCE_HEALTH_DAYS))
-    spread = scored.select(
-        "src_group", DATASET, "score_sum", "score_count",
-        F.explode(F.transform(reach, lambda d: F.date_add(F.col(DAY), d))).alias(DAY),
-    )
-    # datasets first, then sources: a source with most of the rows is already reduced
-    per_dataset = spread.groupBy("src_group", DAY, DATASET).agg(
-        F.sum("score_sum").alias("score_sum"), F.sum("score_count").alias("score_count")
-    )
-    per_source = per_dataset.groupBy("src_group", DAY).agg(
-        F.sum("score_sum").alias("_sum"), F.sum("score_count").alias("_count"),
-        F.count(F.lit(1)).alias("dataset_count"),
-    ).withColumnRenamed("src_group", "src_sys_nm")
+    # a scored day counts its dataset from that day until it leaves the window or the
+    # dataset's next scored day takes over: one entry and one exit, never overlapping
+    following = F.expr(
+        f"lead(CASE WHEN score_count > 0 THEN {DAY} END) IGNORE NULLS "
+        f"OVER (PARTITION BY {DATASET} ORDER BY {DAY})"
+    )
+    daily_next = daily.filter(F.col("src_group").isNotNull()).withColumn("_next", following)
+    leaves = F.date_add(DAY, c.SOURCE_HEALTH_DAYS + 1)
+    scored = F.when(F.col("score_count") > 0, 1).otherwise(0)
+    changes = daily_next.select(
+        F.col("src_group").alias("src_sys_nm"),
+        F.inline(
+            F.array(
+                F.struct(F.col(DAY).alias(DAY), scored.alias("delta"), "score_sum", "score_count"),
+                F.struct(
+                    F.least(leaves, F.coalesce("_next", leaves)).alias(DAY), (-scored).alias("delta"),
+                    F.lit(None).cast(daily.schema["score_sum"].dataType).alias("score_sum"),
+                    F.lit(0).cast("bigint").alias("score_count"),
+                ),
+            )
+        ),
+    )
+    per_day = changes.groupBy("src_sys_nm", DAY).agg(
+        F.sum("delta").alias("delta"), F.sum("score_sum").alias("s"), F.sum("score_count").alias("n")
+    )
+    recent = calendar_window(["src_sys_nm"], -c.SOURCE_HEALTH_DAYS, 0)
+    so_far = Window.partitionBy("src_sys_nm").orderBy(DAY)
+    present = F.sum("delta").over(so_far)
+    per_source = per_day.select(
+        "src_sys_nm", DAY,
+        F.sum("s").over(recent).alias("_sum"), F.sum("n").over(recent).alias("_count"),
+        F.when(present > 0, present).alias("dataset_count"),
+    )
     joined = daily.select(DATASET, DAY, "src_sys_nm").join(per_source, ["src_sys_nm", DAY], "left")
     score = mean_of(F.col("_sum"), F.col("_count")).cast("double")
     none = F.lit(None).cast("string")

@@ -1,17 +1,18 @@
 """Joining dataset names to LIKE patterns of configuration tables.
 
 A LIKE join has no equality, so Spark would compare every name with every
-pattern.  :func:`match` derives equality keys first and keeps LIKE as the
+pattern.  The functions here derive equality keys first and keep LIKE as the
 residual test.  With ``body`` = the pattern up to its first ``%`` or escape:
 
 * either every ``_`` of ``body`` meets a ``_`` in the name: the name starts with
-  ``body`` itself - key ``(exact, body)``;
+  ``body`` itself - key ``=body``;
 * or some ``_`` first meets another character at position i: the name starts
-  with ``body[:i]`` and goes on with a non-``_`` - key ``(wild, body[:i])``.
+  with ``body[:i]`` and goes on with a non-``_`` - key ``?body[:i]``.
 
-Each matching pair has exactly one such key, so nothing is lost or doubled.
-Both sides are equality-joined; Spark broadcasts the pattern side only when its
-size is under the configured threshold and shuffles otherwise.
+Each matching pair has exactly one such key, so nothing is lost or doubled.  A
+name only gets keys of the lengths that patterns have.  Both sides are
+equality-joined; Spark broadcasts the pattern side only when its size is under
+the configured threshold and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -24,46 +25,41 @@ from plumbline import constants as c
 from plumbline.operators.json_paths import effective_level
 
 
-def _key(kind: str, text: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-
-
-def _name_keys(name: Column) -> Column:
-    size = F.length(name)
-    exact = F.transform(
-        F.sequence(F.lit(0), size), lambda k: _key("exact", F.substr(name, F.lit(1), k))
+def _keyed_patterns(patterns: DataFrame, pattern: str) -> DataFrame:
+    body = f"regexp_extract(`{pattern}`, '^[^%\\\\\\\\]*', 0)"
+    wild = (
+        "transform(filter(sequence(0, length(_body)), i -> substr(_body, i + 1, 1) = '_'), "
+        "i -> concat('?', substr(_body, 1, i)))"
     )
-    wild = F.transform(
-        F.filter(
-            F.sequence(F.lit(0), size),
-            lambda k: (k < size) & (F.substr(name, k + 1, F.lit(1)) != "_"),
-        ),
-        lambda k: _key("wild", F.substr(name, F.lit(1), k)),
+    return patterns.withColumn("_body", F.expr(body)).withColumn(
+        "_key", F.explode(F.expr(f"concat(array(concat('=', _body)), {wild})"))
+    ).drop("_body")
+
+
+def _keyed_names(names: DataFrame, name: str, keyed_patterns: DataFrame) -> DataFrame:
+    # key lengths of either kind: at most one integer per character position
+    lengths = keyed_patterns.agg(
+        F.expr("collect_set(length(_key) - 1) FILTER (WHERE _key LIKE '=%')").alias("e"),
+        F.expr("collect_set(length(_key) - 1) FILTER (WHERE _key LIKE '?%')").alias("w"),
+    ).select(F.struct("e", "w")).scalar()
+    q = f"`{name}`"
+    exact = f"transform(filter(_l.e, k -> k <= length({q})), k -> concat('=', substr({q}, 1, k)))"
+    wild = (
+        f"transform(filter(_l.w, k -> k < length({q}) AND substr({q}, k + 1, 1) <> '_'), "
+        f"k -> concat('?', substr({q}, 1, k)))"
     )
-    return F.concat(exact, wild)
-
-
-def _pattern_keys(pattern: Column) -> Column:
-    body = F.regexp_extract(pattern, r"^[^%\\]*", 0)
-    size = F.length(body)
-    wild = F.transform(
-        F.filter(
-            F.sequence(F.lit(0), size),
-            lambda k: (k < size) & (F.substr(body, k + 1, F.lit(1)) == "_"),
-        ),
-        lambda k: _key("wild", F.substr(body, F.lit(1), k)),
+    distinct = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    return distinct.withColumn("_l", lengths).select(
+        name, F.explode_outer(F.expr(f"concat({exact}, {wild})")).alias("_key")
     )
-    return F.concat(F.array(_key("exact", body)), wild)
 
 
 def match(names: DataFrame, name: str, patterns: DataFrame,
           pattern: str = "dataset_pattern") -> DataFrame:
     """Distinct names with the columns of every pattern row they match."""
-    left = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    left = left.select(name, F.explode(_name_keys(F.col(name))).alias("_key"))
-    right = patterns.withColumn("_key", F.explode(_pattern_keys(F.col(pattern))))
+    right = _keyed_patterns(patterns, pattern)
     return (
-        left.join(right, "_key")
+        _keyed_names(names, name, right).join(right, "_key")
         .filter(F.like(F.col(name), F.col(pattern)))
         .drop("_key")
     )
@@ -76,14 +72,14 @@ def lookup(names: DataFrame, name: str, patterns: DataFrame, value: str,
     The left join keeps names without a match, so nothing is joined back; names,
     keys and the final grouping share one partitioning by name.
     """
-    left = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    left = left.select(name, F.explode(_name_keys(F.col(name))).alias("_key"))
-    right = patterns.select(
-        F.col("id").alias("_id"), F.col(pattern).alias("_pattern"), F.col(value).alias("_value"),
-        F.explode(_pattern_keys(F.col(pattern))).alias("_key"),
+    right = _keyed_patterns(
+        patterns.select(
+            F.col("id").alias("_id"), F.col(pattern).alias("_pattern"), F.col(value).alias("_value")
+        ),
+        "_pattern",
     )
     hit = F.like(F.col(name), F.col("_pattern"))
-    return left.join(right, "_key", "left").groupBy(name).agg(
+    return _keyed_names(names, name, right).join(right, "_key", "left").groupBy(name).agg(
         F.min_by("_value", F.when(hit, F.col("_id"))).alias(value)
     )
 

@@ -9,25 +9,29 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline import constants as c
-from plumbline.functions.columns import date_at_midnight
 from plumbline.operators.baseline import latest_rerun
 from plumbline.operators.profile import per_partition_clock
 from plumbline.sources.store import active, sentinel
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read for the schema only the first time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def case(value: Column, branches: dict, otherwise) -> Column:
-    chain = None
-    for key, result in branches.items():
-        hit = value == key
-        chain = F.when(hit, result) if chain is None else chain.when(hit, result)
-    return chain.otherwise(otherwise)
+def _case(column: str, branches: dict, otherwise) -> str:
+    """CASE over literal values, each branch an SQL string literal."""
+    whens = " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in branches.items())
+    return f"CASE {column} {whens} ELSE '{otherwise}' END"
 
 
 # ---- monitored rows ---------------------------------------------------------
@@ -42,30 +46,21 @@ OTHER_DATASET = "src_sys_nm=omni/dataset=error"
 
 
 def monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    kind, i, ts = F.col("event_type"), F.col("event_id"), F.col("ts")
-    day = ts.cast("date")
-    days = lambda n: F.make_dt_interval(days=F.lit(n))
-    return e.select(
-        case(kind, EVENT_DATASETS, OTHER_DATASET).alias("dataset_name"),
-        day.alias("partition_date"),
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_case('event_type', EVENT_DATASETS, OTHER_DATASET)} AS dataset_name",
+        "CAST(ts AS DATE) AS partition_date",
         "event_id",
         "user_id",
-        F.when(
-            (i % 11 == 0) | ((kind == "error") & (day == F.lit("2024-01-20").cast("date"))), None
-        ).otherwise(F.col("value")).alias("value"),
-        F.when(i % 7 == 0, "").when(i % 7 == 1, "   ").when(i % 13 == 0, None)
-        .otherwise(kind).alias("tag"),
-        F.when((kind == "error") & (i % 9 == 0), ts + days(40))
-        .when((kind == "view") & (i % 8 == 0), ts - days(4000))
-        .otherwise(ts).alias("event_ts"),
-        F.when(i % 5 == 0, "junk").otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .alias("source_event_timestamp"),
-        F.concat(
-            F.lit('{"amount": '), (i % 100).cast("string"),
-            F.lit(', "details": {"price": '), (i % 17).cast("string"),
-            F.lit(', "code": "X"}}'),
-        ).alias("event_attribute"),
+        "IF(event_id % 11 = 0 OR (event_type = 'error' AND CAST(ts AS DATE) = DATE'2024-01-20'),"
+        " NULL, value) AS value",
+        "CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 7 = 1 THEN '   '"
+        " WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS tag",
+        "CASE WHEN event_type = 'error' AND event_id % 9 = 0 THEN ts + INTERVAL '40' DAY"
+        " WHEN event_type = 'view' AND event_id % 8 = 0 THEN ts - INTERVAL '4000' DAY"
+        " ELSE ts END AS event_ts",
+        "IF(event_id % 5 = 0, 'junk', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS source_event_timestamp",
+        """format_string('{"amount": %s, "details": {"price": %s, "code": "X"}}',"""
+        " event_id % 100, event_id % 17) AS event_attribute",
         "props",
     )
 
@@ -85,47 +80,41 @@ def partition_clock() -> Column:
 # ---- run store --------------------------------------------------------------
 
 LEGACY_SEGMENT, UNSOURCED_SEGMENT = "MACHINERY", "FURNITURE"
+FOREVER = f"TIMESTAMP_NTZ'{c.ACTIVE_EXPIRY}'"
+ENDED = "TIMESTAMP_NTZ'2002-01-01 00:00:00'"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run rows, active and expired: one per order."""
-    o = table(spark, sf_dir, "orders")
     who = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    ).select("c_custkey", "c_nationkey", "c_mktsegment", F.lower("n_name").alias("source"))
-    segment, key = F.col("c_mktsegment"), F.col("o_orderkey")
-    tail = F.concat(F.lit("/dataset=c"), F.col("c_custkey").cast("string"))
-    lob = F.concat(F.lit("lob="), F.lower(segment))
-    sourced = F.concat(F.lit("src_sys_nm="), "source", tail)
-    cents = F.lit(3000) + key * 7919 % 7001
-    scored = F.when(key % 29 != 0, (cents / F.lit(100).cast("decimal(3,0)")).cast("decimal(5,2)"))
-    day = F.col("o_orderdate").cast("date")
-    out = o.join(who, F.col("o_custkey") == F.col("c_custkey")).select(
-        key.alias("run_id"),
-        F.when(segment == LEGACY_SEGMENT, sourced)
-        .when(segment == UNSOURCED_SEGMENT, F.concat(lob, tail))
-        .otherwise(F.concat(lob, F.lit("/"), sourced)).alias("dataset_name"),
-        day.alias("partition_date"),
-        F.when(segment == LEGACY_SEGMENT, "LOB_LEGACY")
-        .when(segment != UNSOURCED_SEGMENT, F.concat(F.lit("LOB_"), segment)).alias("lookup_code"),
-        scored.alias("dqs_score"),
-        (key % 7).cast("int").alias("rerun_number"),
-        F.when(
-            segment != UNSOURCED_SEGMENT,
-            F.col("c_nationkey").cast("bigint") * 10000 + F.year(day),
-        ).alias("orchestration_run_id"),
-        F.when(key % 50 == 0, "late delivery").alias("error_message"),
-        (
-            date_at_midnight(day)
-            + F.make_dt_interval(hours=(key % 48).cast("int"), mins=(key % 60).cast("int"))
-        ).alias("create_date"),
-        F.when(key % 10 == 3, F.lit("2002-01-01 00:00:00").cast("timestamp_ntz"))
-        .otherwise(sentinel()).alias("expiry_date"),
-    )
-    s = F.col("dqs_score")
-    return out.withColumn(
-        "check_status",
-        F.when(s.isNull(), c.UNKNOWN).when(s >= 80, c.PASS).when(s >= 50, c.WARN).otherwise(c.FAIL),
+        table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")
+    ).selectExpr("c_custkey", "c_nationkey", "c_mktsegment", "lower(n_name) AS source")
+    return (
+        table(spark, sf_dir, "orders")
+        .join(who, F.expr("o_custkey = c_custkey"))
+        .selectExpr(
+            "o_orderkey AS run_id",
+            f"concat(IF(c_mktsegment = '{LEGACY_SEGMENT}', '', concat('lob=', lower(c_mktsegment), '/')),"
+            f" IF(c_mktsegment = '{UNSOURCED_SEGMENT}', '', concat('src_sys_nm=', source, '/')),"
+            " 'dataset=c', c_custkey) AS dataset_name",
+            "CAST(o_orderdate AS DATE) AS partition_date",
+            f"CASE c_mktsegment WHEN '{LEGACY_SEGMENT}' THEN 'LOB_LEGACY'"
+            f" WHEN '{UNSOURCED_SEGMENT}' THEN NULL ELSE concat('LOB_', c_mktsegment) END AS lookup_code",
+            "IF(o_orderkey % 29 <> 0,"
+            " CAST(CAST(3000 + o_orderkey * 7919 % 7001 AS DECIMAL(10,0)) / 100 AS DECIMAL(5,2)), NULL) AS dqs_score",
+            "CAST(o_orderkey % 7 AS INT) AS rerun_number",
+            f"IF(c_mktsegment <> '{UNSOURCED_SEGMENT}', CAST(c_nationkey AS BIGINT) * 10000 + year(o_orderdate), NULL)"
+            " AS orchestration_run_id",
+            "IF(o_orderkey % 50 = 0, 'late delivery', NULL) AS error_message",
+            "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ)"
+            " + make_dt_interval(0, CAST(o_orderkey % 48 AS INT), CAST(o_orderkey % 60 AS INT)) AS create_date",
+            f"IF(o_orderkey % 10 = 3, {ENDED}, {FOREVER}) AS expiry_date",
+        )
+        .selectExpr(
+            "*",
+            "CASE WHEN dqs_score IS NULL THEN 'UNKNOWN' WHEN dqs_score >= 80 THEN 'PASS'"
+            " WHEN dqs_score >= 50 THEN 'WARN' ELSE 'FAIL' END AS check_status",
+        )
     )
 
 
@@ -176,42 +165,36 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _expiry() -> Column:
-    return F.when(F.col("tax") > 0.07, F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")).otherwise(sentinel())
-
-
-def _row_id() -> Column:
-    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
+_LINE_EXPIRY = f"IF(tax > 0.07D, {ENDED}, {FOREVER}) AS expiry_date"
 
 
 def numerics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("l_linenumber")
-    check = case(line, {k: v[0] for k, v in METRICS.items()}, LAST_METRIC[0])
-    name = case(line, {k: v[1] for k, v in METRICS.items()}, LAST_METRIC[1])
-    value = F.when(line == 2, F.col("qty") * 1000).otherwise(F.col("qty"))
-    return _lines(spark, sf_dir).select(
-        _row_id().alias("metric_id"), F.col("l_orderkey").alias("run_id"),
-        check.alias("check_type"), name.alias("metric_name"), value.alias("metric_value"),
-        _expiry().alias("expiry_date"),
+    check = {k: v[0] for k, v in METRICS.items()}
+    name = {k: v[1] for k, v in METRICS.items()}
+    return _lines(spark, sf_dir).selectExpr(
+        "l_orderkey * 10 + l_linenumber AS metric_id",
+        "l_orderkey AS run_id",
+        f"{_case('l_linenumber', check, LAST_METRIC[0])} AS check_type",
+        f"{_case('l_linenumber', name, LAST_METRIC[1])} AS metric_name",
+        "IF(l_linenumber = 2, qty * 1000, qty) AS metric_value",
+        _LINE_EXPIRY,
     )
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, code = F.col("l_linenumber"), F.col("qty").cast("int") % 8
-    check = case(line, {k: v[0] for k, v in DETAILS.items()}, LAST_DETAIL[0])
-    kind = case(line, {k: v[1] for k, v in DETAILS.items()}, LAST_DETAIL[1])
-    status = F.when(code <= 3, c.PASS).when(code <= 5, c.WARN).when(code == 6, c.FAIL).otherwise(c.NOT_RUN)
-    value = F.when(
-        line == 5, F.when(code <= 4, '"parquet"').when(code <= 6, '"AVRO"').otherwise("orc")
-    ).otherwise(
-        F.when(code == 5, "not json").otherwise(
-            F.concat(F.lit('{"status": "'), status, F.lit('", "reason": "r'), code.cast("string"), F.lit('"}'))
-        )
-    )
-    return _lines(spark, sf_dir).select(
-        _row_id().alias("detail_id"), F.col("l_orderkey").alias("run_id"),
-        check.alias("check_type"), kind.alias("detail_type"), value.alias("detail_value"),
-        _expiry().alias("expiry_date"),
+    check = {k: v[0] for k, v in DETAILS.items()}
+    kind = {k: v[1] for k, v in DETAILS.items()}
+    lines = _lines(spark, sf_dir).withColumn("code", F.expr("CAST(qty AS INT) % 8"))
+    status = "CASE WHEN code <= 3 THEN 'PASS' WHEN code <= 5 THEN 'WARN' WHEN code = 6 THEN 'FAIL' ELSE 'NOT_RUN' END"
+    return lines.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS detail_id",
+        "l_orderkey AS run_id",
+        f"{_case('l_linenumber', check, LAST_DETAIL[0])} AS check_type",
+        f"{_case('l_linenumber', kind, LAST_DETAIL[1])} AS detail_type",
+        """CASE WHEN l_linenumber = 5 THEN CASE WHEN code <= 4 THEN '"parquet"' WHEN code <= 6 THEN '"AVRO"' ELSE 'orc' END"""
+        f""" WHEN code = 5 THEN 'not json' ELSE concat('{{"status": "', {status}, '", "reason": "r', code, '"}}') END"""
+        " AS detail_value",
+        _LINE_EXPIRY,
     )
 
 
