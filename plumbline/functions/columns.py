@@ -28,8 +28,8 @@ def day_number(column: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Whole seconds from ``start`` to ``end``."""
-    return F.timestamp_diff("SECOND", start, end)
+    """Whole seconds from ``start`` to ``end``, both without time zone."""
+    return (ntz(end) - ntz(start)).cast("interval second").cast("bigint")
 
 
 def percent(part: Column, whole: Column) -> Column:

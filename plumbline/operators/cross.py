@@ -48,7 +48,8 @@ def sla_countdown(partitions: DataFrame, enrichment: DataFrame, as_of) -> DataFr
     Partitions without an SLA give no row.
     """
     slas = patterns.sla_hours(partitions, enrichment)
-    elapsed = F.floor(seconds_between(date_at_midnight(F.col(DAY)), as_column(as_of)) / 3600)
+    # truncated towards zero, also for partitions dated ahead of the clock
+    elapsed = (seconds_between(date_at_midnight(F.col(DAY)), as_column(as_of)) / 3600).cast("bigint")
     sla = F.col("sla_hours").cast("double")
     out = partitions.join(slas, DATASET).withColumns(
         {"sla_hours": sla, "hours_remaining": sla - elapsed, "warn_threshold": sla * c.SLA_WARN_SHARE}

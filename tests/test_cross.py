@@ -100,3 +100,5 @@ def test_sla_countdown_truncates_hours(spark):
     assert [(r.dataset_name, r.hours_remaining, r.status) for r in rows] == [("lob=commercial/x", 1.0, "WARN")]
     late = F.lit("2026-03-30 13:00:00").cast("timestamp_ntz")
     assert cross.sla_countdown(parts, d.enrichment(spark), late).first().status == "FAIL"
+    ahead = F.lit("2026-03-29 23:30:00").cast("timestamp_ntz")
+    assert cross.sla_countdown(parts, d.enrichment(spark), ahead).first().hours_remaining == 12.0
