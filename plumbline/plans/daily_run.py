@@ -12,113 +12,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import constants as c
-from plumbline.operators import baseline, checks, patterns, profile, schema, score
+from plumbline.operators import baseline, patterns, profile, schema, score
+from plumbline.plans import results
 from plumbline.session import staged
 from plumbline.sources import store
 
 METRIC_COLUMNS = (*c.KEYS, "check_type", "metric_name", "metric_value")
 
 
-def volume_details(history: DataFrame) -> DataFrame:
-    counts = _values(history, c.VOLUME, "row_count", "row_count")
-    return _detail(checks.volume_status(counts), c.VOLUME, "volume_status",
-                   ["row_count", "pct_change", "baseline_mean", "baseline_stddev", "baseline_count"])
+def judge(history: DataFrame, columns: Sequence[str], snapshots: DataFrame,
+          partitions: DataFrame, has_event_time: bool = True) -> DataFrame:
+    """Result rows of all partition checks for every date of the history."""
+    return results.union([
+        results.volume(history),
+        results.zero_row(history),
+        results.freshness(history) if has_event_time else results.freshness_missing(partitions),
+        results.ops(history, columns),
+        results.distribution(history, partitions),
+        results.timestamp_sanity(history, partitions),
+        results.schema_drift(snapshots),
+        results.breaking_change(snapshots),
+    ])
 
 
-def freshness_details(history: DataFrame) -> DataFrame:
-    hours = _values(history, c.FRESHNESS, "hours_since_update", "hours_since_update")
-    return _detail(checks.freshness_status(hours), c.FRESHNESS, "freshness_status",
-                   ["hours_since_update", "baseline_mean", "baseline_stddev", "baseline_count"])
+def judge_across(runs: DataFrame, history: DataFrame, partitions: DataFrame, *,
+                 enrichment: DataFrame, config: DataFrame, lob_lookup: DataFrame, as_of) -> DataFrame:
+    """Result rows of the checks over run history and configuration.
 
-
-def ops_details(history: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``columns`` in schema order decide which anomaly is named first."""
-    order = F.array_position(F.array(*map(F.lit, columns)), F.col("column_name"))
-    rates = history.filter(
-        (F.col("check_type") == c.OPS) & F.col("metric_name").startswith("null_rate_pct::")
-    ).select(
-        *c.KEYS, F.split_part("metric_name", F.lit("::"), F.lit(2)).alias("column_name"),
-        F.col("metric_value").alias("null_rate_pct"),
-    ).withColumn("column_ordinal", order)
-    return _detail(checks.ops_status(rates), c.OPS, "ops_status",
-                   ["total_columns", "flagged_columns", "baseline_sample_count"])
-
-
-def distribution_details(history: DataFrame) -> DataFrame:
-    name = F.regexp_extract("metric_name", r"^(.*)\.([^.]+)$", 1)
-    stat = F.regexp_extract("metric_name", r"^(.*)\.([^.]+)$", 2)
-    stats = history.filter(F.col("check_type") == c.DISTRIBUTION).groupBy(
-        *c.KEYS, name.alias("column_path")
-    ).agg(
-        F.max(F.when(stat == "mean", F.col("metric_value"))).alias("mean"),
-        F.max(F.when(stat == "stddev", F.col("metric_value"))).alias("stddev"),
-    )
-    shifts = checks.distribution_shift(stats)
-    return _detail(checks.distribution_summary(shifts), c.DISTRIBUTION, "distribution_summary",
-                   ["total_columns_analyzed", "shifted_columns"])
-
-
-def timestamp_details(history: DataFrame) -> DataFrame:
-    measure = F.split_part("metric_name", F.lit("."), F.lit(1))
-    column = F.regexp_extract("metric_name", r"^[^.]+\.(.*)$", 1)
-    shares = history.filter(F.col("check_type") == c.TIMESTAMP_SANITY).groupBy(
-        *c.KEYS, column.alias("column_name")
-    ).agg(
-        F.max(F.when(measure == "future_pct", F.col("metric_value"))).alias("future_pct"),
-        F.max(F.when(measure == "stale_pct", F.col("metric_value"))).alias("stale_pct"),
-    )
-    judged = checks.timestamp_sanity_status(shares)
-    return _detail(checks.timestamp_sanity_summary(judged), c.TIMESTAMP_SANITY,
-                   "timestamp_sanity_summary", ["total_columns_analyzed", "failed_columns"])
-
-
-def schema_details(snapshots: DataFrame) -> DataFrame:
-    return _detail(schema.schema_status(snapshots), c.SCHEMA, "schema_status",
-                   ["schema_hash", "baseline_hash", "added_count", "removed_count", "changed_count"])
-
-
-def breaking_details(snapshots: DataFrame) -> DataFrame:
-    return _detail(schema.breaking_change(snapshots), c.BREAKING_CHANGE,
-                   "breaking_change_status", ["removed_count", "removed_fields"])
-
-
-def zero_row_details(history: DataFrame) -> DataFrame:
-    counts = _values(history, c.VOLUME, "row_count", "row_count")
-    return _detail(checks.zero_row_status(counts.select(*c.KEYS), counts), c.ZERO_ROW,
-                   "zero_row_status", ["row_count"])
-
-
-def _values(history: DataFrame, check: str, metric: str, name: str) -> DataFrame:
-    hit = (F.col("check_type") == check) & (F.col("metric_name") == metric)
-    return history.filter(hit).select(*c.KEYS, F.col("metric_value").alias(name))
-
-
-def _detail(judged: DataFrame, check: str, kind: str, fields: Sequence[str]) -> DataFrame:
-    return judged.select(
-        *c.KEYS,
-        F.lit(check).alias("check_type"),
-        F.lit(kind).alias("detail_type"),
-        F.col("status"),
-        F.to_json(F.struct("status", "reason", *fields)).alias("detail_value"),
-    )
-
-
-def judge(history: DataFrame, columns: Sequence[str], snapshots: DataFrame) -> DataFrame:
-    """Status details of all partition checks for every date of the history."""
-    parts = [
-        volume_details(history),
-        zero_row_details(history),
-        schema_details(snapshots),
-        breaking_details(snapshots),
-        freshness_details(history),
-        ops_details(history, columns),
-        distribution_details(history),
-        timestamp_details(history),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ``runs``: active runs, those of the batch included.
+    """
+    return results.union([
+        results.source_health(runs),
+        results.correlation(runs),
+        results.lineage(runs),
+        results.cross_destination(runs),
+        results.classification(runs, lob_lookup),
+        results.sla_countdown(partitions, enrichment, as_of),
+        results.inferred_sla(history, enrichment),
+        results.orphan_detection(partitions, config),
+    ])
 
 
 def _empty_partition_metrics(partitions: DataFrame) -> DataFrame:
@@ -148,6 +80,9 @@ def run(
     history: DataFrame | None = None,
     schema_history: DataFrame | None = None,
     expected: DataFrame | None = None,
+    past_runs: DataFrame | None = None,
+    config: DataFrame | None = None,
+    lob_lookup: DataFrame | None = None,
     rerun_number: int = 0,
     orchestration_run_id: Column | None = None,
 ) -> None:
@@ -156,13 +91,15 @@ def run(
     ``history`` holds earlier metric rows, newest rerun per date; dates present
     in the batch replace theirs.  ``schema_history`` holds earlier snapshots.
     ``expected`` partitions without rows are checked with a row count of 0.
+    With ``config`` only the enabled check types of a dataset are kept; with
+    ``config`` and ``lob_lookup`` the checks across datasets run too, over
+    ``past_runs`` (active run rows) and the runs of the batch.
     """
+    keys = list(c.KEYS)
     measured = staged(profile.metrics(monitored, families), f"{folder}/_staging/metrics")
     fresh = measured
     if expected is not None:
-        empty = expected.select(*c.KEYS).join(
-            measured.select(*c.KEYS).distinct(), list(c.KEYS), "left_anti"
-        )
+        empty = expected.select(*keys).join(measured.select(*keys).distinct(), keys, "left_anti")
         fresh = measured.unionByName(_empty_partition_metrics(empty))
     if history is None:
         known = fresh
@@ -171,61 +108,91 @@ def run(
         older = history.select(*METRIC_COLUMNS).withColumn("_new", F.lit(0))
         both = older.unionByName(fresh.withColumn("_new", F.lit(1)))
         known = baseline.latest_rerun(
-            both, [*c.KEYS, "check_type", "metric_name"], [F.desc("_new")]
+            both, [*keys, "check_type", "metric_name"], [F.desc("_new")]
         ).drop("_new")
-    columns = [f.name for f in profile.value_columns(monitored, c.KEYS)]
-    batch = fresh.select(*c.KEYS).distinct()
+
+    batch = fresh.select(*keys).distinct()
     snapshots = schema.snapshot_of(monitored, batch)
     if schema_history is not None:
         snapshots = snapshots.unionByName(
-            schema_history.join(batch, list(c.KEYS), "left_anti"), allowMissingColumns=True
+            schema_history.join(batch, keys, "left_anti"), allowMissingColumns=True
         )
-    details = staged(
-        judge(known, columns, snapshots).join(batch, list(c.KEYS), "left_semi"),
-        f"{folder}/_staging/details",
-    )
-    weights = patterns.score_weights(batch, enrichment)
-    scored = staged(
-        score.dq_score(
-            details.select(*c.KEYS, "check_type", "status"), weights, keys=c.KEYS, on=["dataset_name"]
-        ),
-        f"{folder}/_staging/scores",
+    columns = [f.name for f in profile.value_columns(monitored, c.KEYS)]
+    has_event_time = any("latest_event" in f.aggregates for f in families)
+    checked = judge(known, columns, snapshots, batch, has_event_time).join(batch, keys, "left_semi")
+    checked = staged(_enabled_only(checked, config), f"{folder}/_staging/checked")
+
+    number = F.lit(rerun_number).alias("rerun_number")
+    scored = score.dq_score(
+        checked.filter(F.col("name").isin(*c.SCORED_DETAILS.values())).select(*keys, "check_type", "status"),
+        patterns.score_weights(batch, enrichment), keys=c.KEYS, on=["dataset_name"],
     )
     codes = patterns.lookup(
-        batch.select("dataset_name"), "dataset_name",
+        batch, "dataset_name",
         patterns.active(enrichment).filter(F.col("lookup_code").isNotNull()), "lookup_code",
     )
+    # every partition gets a run, also one without any scored check
+    scored = staged(
+        batch.join(scored, keys, "left").join(codes, "dataset_name", "left"), f"{folder}/_staging/scores"
+    )
+    runs = scored.select(
+        *keys, "lookup_code",
+        F.coalesce("status", F.lit(c.NOT_RUN)).alias("check_status"),
+        F.col("composite_score").cast("decimal(5,2)").alias("dqs_score"),
+        number,
+        (F.lit(None).cast("bigint") if orchestration_run_id is None else orchestration_run_id)
+        .alias("orchestration_run_id"),
+        F.lit(None).cast("string").alias("error_message"),
+    )
+    parts = [
+        checked,
+        results.emit(
+            scored.withColumns({
+                "status": F.coalesce("status", F.lit(c.NOT_RUN)),
+                "reason": F.coalesce("reason", F.lit("all_checks_unavailable")),
+            }),
+            c.DQS_SCORE, {"composite_score": "composite_score"},
+            [("'dqs_score_breakdown'", {x: x for x in ("status", "composite_score", "reason", "unavailable_checks")})],
+        ),
+    ]
+    if config is not None and lob_lookup is not None:
+        seen = runs.select(*keys, "lookup_code", "check_status", "dqs_score")
+        if past_runs is not None:
+            seen = seen.unionByName(
+                past_runs.select(seen.columns).join(batch, keys, "left_anti")
+            )
+        across = judge_across(seen, known, batch, enrichment=enrichment, config=config,
+                              lob_lookup=lob_lookup, as_of=at).join(batch, keys, "left_semi")
+        parts.append(_enabled_only(across, config, always=[c.ORPHAN_DETECTION]))
+    stored = staged(results.union(parts), f"{folder}/_staging/results")
+
     identity = {
-        "run_id": store.run_id(*c.KEYS, "rerun_number"),
+        "run_id": store.run_id(*keys, "rerun_number"),
         "create_date": at,
         "expiry_date": store.sentinel(),
     }
-    runs = (
-        scored.join(codes, "dataset_name", "left")
-        .select(
-            *c.KEYS, "lookup_code",
-            F.col("status").alias("check_status"),
-            F.col("composite_score").cast("decimal(5,2)").alias("dqs_score"),
-            F.lit(rerun_number).alias("rerun_number"),
-            (F.lit(None).cast("bigint") if orchestration_run_id is None else orchestration_run_id)
-            .alias("orchestration_run_id"),
-            F.lit(None).cast("string").alias("error_message"),
-        )
-        .withColumns(identity)
+    values = fresh.filter(F.col("metric_value").isNotNull()).unionByName(
+        stored.filter(F.col("metric_value").isNotNull())
+        .select(*keys, "check_type", F.col("name").alias("metric_name"), "metric_value")
     )
-    number = F.lit(rerun_number).alias("rerun_number")
-    score_rows = scored.select(
-        *c.KEYS, F.lit(c.DQS_SCORE).alias("check_type"),
-        F.lit("composite_score").alias("metric_name"), F.col("composite_score").alias("metric_value"),
-    ).filter(F.col("metric_value").isNotNull())
-    score_details = scored.select(
-        *c.KEYS, F.lit(c.DQS_SCORE).alias("check_type"), F.lit("dqs_score_breakdown").alias("detail_type"),
-        F.to_json(F.struct("status", "composite_score", "reason", "unavailable_checks")).alias("detail_value"),
+    texts = stored.filter(F.col("detail_value").isNotNull()).select(
+        *keys, "check_type", F.col("name").alias("detail_type"), "detail_value"
     )
-    measured_values = fresh.filter(F.col("metric_value").isNotNull())
-    numerics = measured_values.unionByName(score_rows).select("*", number).withColumns(identity).drop("rerun_number")
-    detail_rows = (
-        details.drop("status").unionByName(score_details)
-        .select("*", number).withColumns(identity).drop("rerun_number")
+    store.write_metrics(
+        folder,
+        runs.withColumns(identity),
+        values.select("*", number).withColumns(identity).drop("rerun_number"),
+        texts.select("*", number).withColumns(identity).drop("rerun_number"),
     )
-    store.write_metrics(folder, runs, numerics, detail_rows)
+
+
+def _enabled_only(rows: DataFrame, config: DataFrame | None, always: Sequence[str] = ()) -> DataFrame:
+    """Rows of check types the configuration enables for the dataset.
+
+    Orphan detection is about datasets without configuration and always stays.
+    """
+    if config is None:
+        return rows
+    enabled = patterns.enabled_checks(rows, config).withColumn("_on", F.lit(True))
+    kept = rows.join(enabled, ["dataset_name", "check_type"], "left")
+    return kept.filter(F.col("_on").isNotNull() | F.col("check_type").isin(*always)).drop("_on")

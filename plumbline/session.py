@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # call sites of DataFrame methods are for notebooks; recording them slows plan building
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

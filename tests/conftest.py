@@ -10,9 +10,7 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.
 def spark():
     from plumbline.session import local_session
 
-    session = local_session(
-        8, **{"spark.sql.shuffle.partitions": "2", "spark.python.sql.dataFrameDebugging.enabled": "false"}
-    )
+    session = local_session(8, **{"spark.sql.shuffle.partitions": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

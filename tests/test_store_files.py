@@ -150,6 +150,7 @@ def test_daily_run_with_history_and_rerun(spark):
     status = {
         (r.dataset_name.split("/")[0], r.check_type): r.status
         for r in store.read_table(spark, second, store.DETAILS)
+        .filter("detail_type LIKE '%_status' OR detail_type = 'distribution_summary'")
         .select("dataset_name", "check_type", F.get_json_object("detail_value", "$.status").alias("status")).collect()
     }
     assert status[("lob=retail", "OPS")] == "FAIL" and status[("lob=retail", "VOLUME")] == "PASS"
@@ -165,3 +166,81 @@ def test_daily_run_with_history_and_rerun(spark):
     assert again.count() == 4 and store.active(again).count() == 3
     left = store.active(store.read_table(spark, first, store.NUMERICS))
     assert left.select("run_id").distinct().count() == 3
+
+
+def test_daily_run_writes_the_whole_vocabulary(spark):
+    from plumbline.operators import profile as p
+
+    m = monitored(spark, range(9))
+    m = m.withColumn("event_ts", F.col("source_event_timestamp").cast("timestamp_ntz"))
+    # the enrichment gives alpha/click an SLA; a second dataset has none
+    m = m.unionByName(m.withColumn("dataset_name", F.lit("lob=other/src_sys_nm=beta/dataset=b")))
+    checks = [
+        "FRESHNESS", "VOLUME", "SCHEMA", "OPS", "SLA_COUNTDOWN", "ZERO_ROW", "BREAKING_CHANGE", "DISTRIBUTION",
+        "TIMESTAMP_SANITY", "CLASSIFICATION_WEIGHTED", "SOURCE_SYSTEM_HEALTH", "CORRELATION", "INFERRED_SLA",
+        "LINEAGE", "CROSS_DESTINATION",
+    ]
+    config = spark.createDataFrame(
+        [(i, "lob=%", k, True, 0, FOREVER) for i, k in enumerate(checks)],
+        "id bigint, dataset_pattern string, check_type string, enabled boolean, explosion_level int, expiry_date timestamp_ntz")
+    lobs = spark.createDataFrame(
+        [("LOB_RETAIL", "Retail", "x", "Tier 1 Critical", FOREVER)],
+        "lookup_code string, lob_name string, owner string, classification string, expiry_date timestamp_ntz")
+    folder = scratch_folder(spark)
+    fams = p.default_families(m, freshness_column="source_event_timestamp", as_of=p.per_partition_clock(30))
+    daily.run(spark, m, folder, families=fams, enrichment=d.enrichment(spark), config=config, lob_lookup=lobs,
+              at=F.lit("2026-04-01 06:00:00").cast("timestamp_ntz"))
+    names = {(r.check_type, r.metric_name) for r in store.read_table(spark, folder, store.NUMERICS)
+             .select("check_type", "metric_name").distinct().collect()}
+    assert names >= {
+        ("FRESHNESS", "hours_since_update"), ("VOLUME", "row_count"), ("VOLUME", "pct_change"),
+        ("VOLUME", "row_count_stddev"), ("SCHEMA", "added_fields_count"), ("SCHEMA", "removed_fields_count"),
+        ("SCHEMA", "changed_fields_count"), ("OPS", "null_rate_pct::value"),
+        ("OPS", "empty_string_rate_pct::source_event_timestamp"), ("SLA_COUNTDOWN", "hours_remaining"),
+        ("ZERO_ROW", "row_count"), ("DISTRIBUTION", "value.mean"), ("DISTRIBUTION", "value.stddev"),
+        ("DISTRIBUTION", "value.p50"), ("DISTRIBUTION", "value.p95"), ("DISTRIBUTION", "value.count"),
+        ("TIMESTAMP_SANITY", "future_pct.event_ts"), ("TIMESTAMP_SANITY", "stale_pct.event_ts"),
+        ("CLASSIFICATION_WEIGHTED", "classification_weighted_score"), ("SOURCE_SYSTEM_HEALTH", "aggregate_score"),
+        ("SOURCE_SYSTEM_HEALTH", "dataset_count"), ("CORRELATION", "correlated_dataset_count"),
+        ("CORRELATION", "correlation_ratio"), ("INFERRED_SLA", "inferred_sla_hours"),
+        ("INFERRED_SLA", "deviation_from_inferred"), ("LINEAGE", "upstream_dataset_count"),
+        ("LINEAGE", "upstream_failed_count"), ("DQS_SCORE", "composite_score"),
+    }
+    kinds = {(r.check_type, r.detail_type) for r in store.read_table(spark, folder, store.DETAILS)
+             .select("check_type", "detail_type").distinct().collect()}
+    assert kinds >= {
+        ("FRESHNESS", "freshness_status"), ("VOLUME", "volume_status"), ("SCHEMA", "schema_status"),
+        ("SCHEMA", "schema_hash"), ("OPS", "ops_status"), ("OPS", "ops_anomalies"),
+        ("SLA_COUNTDOWN", "sla_countdown_status"), ("ZERO_ROW", "zero_row_status"),
+        ("BREAKING_CHANGE", "breaking_change_status"), ("DISTRIBUTION", "value.status"),
+        ("DISTRIBUTION", "distribution_summary"), ("TIMESTAMP_SANITY", "timestamp_sanity.event_ts"),
+        ("TIMESTAMP_SANITY", "timestamp_sanity_summary"), ("CLASSIFICATION_WEIGHTED", "classification_weighted_status"),
+        ("SOURCE_SYSTEM_HEALTH", "source_system_health_status"), ("CORRELATION", "correlation_status"),
+        ("INFERRED_SLA", "inferred_sla_status"), ("LINEAGE", "lineage_status"),
+        ("ORPHAN_DETECTION", "orphan_detection_status"), ("CROSS_DESTINATION", "cross_destination_status"),
+        ("DQS_SCORE", "dqs_score_breakdown"),
+    }
+    details = store.read_table(spark, folder, store.DETAILS)
+    assert details.groupBy("run_id", "check_type", "detail_type").count().filter("count > 1").count() == 0
+    runs = store.read_table(spark, folder, store.RUNS)
+    assert runs.count() == 18 and runs.select("run_id").distinct().count() == 18
+
+
+def test_partitions_without_event_time(spark):
+    rows = [("lob=x/d", DAY, "text")]
+    m = spark.createDataFrame(rows, "dataset_name string, partition_date date, note string")
+    folder = scratch_folder(spark)
+    fams = [profile.volume_measures(), profile.null_rate_measures(m)]
+    daily.run(spark, m, folder, families=fams, enrichment=d.enrichment(spark),
+              at=F.lit("2026-04-01 06:00:00").cast("timestamp_ntz"))
+    status = {
+        r.check_type: (r.status, r.reason)
+        for r in store.read_table(spark, folder, store.DETAILS)
+        .filter("detail_type IN ('freshness_status', 'distribution_summary', 'timestamp_sanity_summary')")
+        .select("check_type", F.get_json_object("detail_value", "$.status").alias("status"),
+                F.get_json_object("detail_value", "$.reason").alias("reason")).collect()
+    }
+    assert status == {
+        "FRESHNESS": ("NOT_RUN", "missing_source_event_timestamp"),
+        "DISTRIBUTION": ("PASS", "no_numeric_columns"), "TIMESTAMP_SANITY": ("PASS", "no_timestamp_columns"),
+    }
