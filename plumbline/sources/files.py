@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline import constants as c
 from plumbline.operators import patterns
@@ -31,15 +31,14 @@ def inventory(spark: SparkSession, parent: str, dates: Sequence[dt.date] | None
     no file.  It skips names starting with ``.`` or ``_``, as wanted; directories
     without files, other directory names and absent dates give no rows.
     """
-    days = ["*"] if dates is None else [_day(d) for d in dates]
-    globs = [f"{parent.rstrip('/')}/partition_date={d}/src_sys_nm=*/*" for d in days]
-    found = [df for df in (_list(spark, g) for g in globs) if df is not None]
-    if not found:
-        return spark.createDataFrame([], _NO_FILES)
-    files = found[0]
-    for more in found[1:]:
-        files = files.unionByName(more)
-    return files
+    found = _list(spark, f"{_partition_glob(parent, dates)}/src_sys_nm=*/*")
+    return spark.createDataFrame([], _NO_FILES) if found is None else found
+
+
+def _partition_glob(parent: str, dates: Sequence[dt.date] | None) -> str:
+    """Only the wanted date directories are listed; absent ones are passed over."""
+    days = "*" if dates is None else "{" + ",".join(_day(d) for d in dates) + "}"
+    return f"{parent.rstrip('/')}/partition_date={days}"
 
 
 def _list(spark: SparkSession, glob: str) -> DataFrame | None:
@@ -97,19 +96,24 @@ def read_partitions(spark: SparkSession, parent: str, dates: Sequence[dt.date] |
                     file_format: str = PARQUET, sources: Sequence[str] | None = None) -> DataFrame:
     """Rows of the partitions with ``dataset_name`` and ``partition_date`` keys.
 
-    Dates and sources filter partition columns, so only their files are read.
+    Only the directories of the dates are listed; sources filter the partition
+    column, so only their files are read.  Directory names stay text, so codes
+    keep their leading zeros.
     """
-    reader = spark.read.format(READERS[file_format])
-    df = reader.option("basePath", parent).load(f"{parent.rstrip('/')}/partition_date=*")
-    raw = F.col("partition_date").cast("string")
-    if dates is not None:
-        df = df.filter(raw.isin(*(_day(d) for d in dates)))
+    reader = spark.read.format(READERS[file_format]).option("basePath", parent)
+    path = _partition_glob(parent, dates)
+    found = reader.load(path).schema
+    text = {"partition_date", "src_sys_nm"}
+    as_text = T.StructType(
+        [T.StructField(f.name, T.StringType()) if f.name in text else f for f in found.fields]
+    )
+    df = reader.schema(as_text).load(path)
     if sources is not None:
-        df = df.filter(F.col("src_sys_nm").cast("string").isin(*sources))
+        df = df.filter(F.col("src_sys_nm").isin(*sources))
     return df.withColumns(
         {
-            "dataset_name": F.concat(F.lit("src_sys_nm="), F.col("src_sys_nm").cast("string")),
-            "partition_date": F.to_date(raw, "yyyyMMdd"),
+            "dataset_name": F.concat(F.lit("src_sys_nm="), "src_sys_nm"),
+            "partition_date": F.to_date("partition_date", "yyyyMMdd"),
         }
     ).drop("src_sys_nm")
 

@@ -62,11 +62,13 @@ def test_read_prunes_partitions(spark):
     folder = scratch_folder(spark)
     rows = [(DAY + dt.timedelta(days=i % 2), f"00{i % 3}", i) for i in range(12)]
     files.write_partitions(spark.createDataFrame(rows, "partition_date date, src_sys_nm string, v int"), folder)
-    df = files.read_partitions(spark, folder, [DAY])
+    df = files.read_partitions(spark, folder, [DAY, dt.date(1999, 1, 1)])
     assert df.count() == 6
     assert {r.partition_date for r in df.collect()} == {DAY}
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull" in plan or "20260330" in plan.split("PartitionFilters")[1][:200]
+    assert {r.dataset_name for r in df.collect()} == {"src_sys_nm=000", "src_sys_nm=001", "src_sys_nm=002"}
+    one = files.read_partitions(spark, folder, sources=["001"])
+    assert {r.dataset_name for r in one.collect()} == {"src_sys_nm=001"} and one.count() == 4
+    assert "src_sys_nm" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     with pytest.raises(KeyError):
         files.read_partitions(spark, folder, file_format="UNKNOWN")
 
