@@ -9,22 +9,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing
+from plumbline.llm import exact_dedup, minhash, mixing, quality
 from plumbline.llm.common import Scratch, table
 
 
+def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents judged bad or toxic go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group of equal texts stays."""
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: one document of each class of near-duplicates stays."""
+    return minhash.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents of the mix with their number of copies."""
     return mixing.mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", drop_bad_quality),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
 ]
 
