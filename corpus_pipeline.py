@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, minhash, mixing, quality
+from plumbline.llm import decontaminate, exact_dedup, minhash, mixing, quality
 from plumbline.llm.common import Scratch, table
 
 
@@ -28,6 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash.keep_one(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that hold a benchmark item, re-parameterised ones too, go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents of the mix with their number of copies."""
     return mixing.mixed_documents(docs)
@@ -37,6 +42,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality", drop_bad_quality),
     ("exact_dedup", drop_exact_copies),
     ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
 

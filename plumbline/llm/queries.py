@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, minhash, mixing, quality, token_counts, url_filter
+from plumbline.llm import decontaminate, exact_dedup, minhash, mixing, quality, surrogates, token_counts, url_filter
 from plumbline.llm.common import table
 
 
+#: A key for the queries; production passes a secret.
+SURROGATE_KEY = "plumbline"
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return replaced.select("doc_id", "entities", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -49,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
