@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,13 +94,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+_up, _down = np.ones(0, np.uint64), np.ones(0, np.uint64)
+
+
 def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(count, _BASE, np.uint64)
-        down = np.full(count, _INVERSE, np.uint64)
+    """Powers of the base and of its inverse; kept, and grown by doubling."""
+    global _up, _down
+    if len(_up) < count:
+        size = 1 << max(20, int(count).bit_length())
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
         up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+        with np.errstate(over="ignore"):
+            _up, _down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _up, _down
 
 
 def byte_codes(seed: int, fold_case: bool) -> np.ndarray:
@@ -125,18 +130,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hashes(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Sums from which the hash of any span follows in two look-ups."""
-    size = 1 << max(12, int(len(data)).bit_length())
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(codes[data] * _powers(size)[0][:len(data)], out=out[1:])
+        np.cumsum(codes[data] * _powers(len(data))[0][:len(data)], out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans, equal for equal bytes wherever they stand."""
-    size = 1 << max(12, int(len(prefix) - 1).bit_length())
     with np.errstate(over="ignore"):
-        return mix((prefix[ends] - prefix[starts]) * _powers(size)[1][starts])
+        return mix((prefix[ends] - prefix[starts]) * _powers(len(prefix))[1][starts])
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> np.ndarray:

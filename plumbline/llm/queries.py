@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, exact_dedup, minhash, mixing, quality, surrogates, token_counts, url_filter
+from plumbline.llm import decontaminate, exact_dedup, minhash, mixing, quality, repeats, surrogates, token_counts, url_filter
 from plumbline.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_quality": op5_quality,
+    "op6_repeats": op6_repeats,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
