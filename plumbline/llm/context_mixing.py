@@ -4,16 +4,17 @@ Texts are lower-cased (A-Z) token sequences: words, then one end.  A token is sp
 bytes and a terminator; each byte is coded in bits along a Huffman tree that belongs to the
 byte before it, so likely bytes take few decisions.
 
-Predictors.  A bit is predicted in several hashed contexts: the last 1, 2, 3 and 5 bytes of
-the word, the whole beginning of the word, and for a first byte the word before.  Each
+Predictors.  A bit is predicted in several hashed contexts: the last 2 and 4 bytes of the
+word, the whole beginning of the word, and for a first byte the word before.  Each
 context's 0/1 counts come from all training documents (crc32 of doc_id modulo 10 not 0)
-and give the log-odds of a bit.
+and give the log-odds of a bit.  For a training document the bit at hand is taken out of
+its own counts; else the mixer would learn to trust what it has merely memorised.
 
-Mixer.  Log-odds are added with weights of a gate (place in the word and in the code) and
-refined by an adaptive map of (gate, log-odds).  Weights and map learn online: documents of
-a block advance together in growing segments; a segment is scored first, then its training
-documents correct the weights.  The sum of the log-probabilities is the score; bits per
-byte follow from it.
+Mixer.  Log-odds are added with weights of a gate (how much is known in the two longest
+contexts) and refined by an adaptive map of (gate, log-odds).  Weights and map learn online: a block's
+documents come in the order of their ids, in slices of about a megabyte; a slice is scored
+first, then its training documents correct the weights.  The sum of the log-probabilities
+is the score; bits per byte follow from it.
 
 Base.  ``base_score`` is the unigram score with all token counts of the training documents.
 Counts are exact: each block asks shards of the hash space for its different tokens, and
@@ -44,12 +45,14 @@ BLOCK_DOCS = 4096
 END, GAP = 0x0A, 0x20
 END_HASH = np.uint64(0xE17A1465D0C3AB29)
 #: log2 of the slots of each context table, in this order
-TABLES = {"one": 16, "two": 18, "three": 20, "five": 21, "start": 22, "word": 20}
+TABLES = {"two": 18, "four": 21, "start": 22, "word": 20}
 OFFSETS = np.cumsum([0, *[1 << b for b in TABLES.values()]])
 CHUNK = 1 << 17
-GATES, MAP = 16, 33
-SEGMENT = 64
-RATE = 0.4
+#: Gates are pairs of confidence levels: of the word's beginning and of the last four bytes.
+LEVELS, MAP = 6, 33
+GATES = LEVELS * LEVELS
+RATE = 0.5
+SCORE_BYTES = 3 << 19
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -163,33 +166,30 @@ class Bits:
 
     def __init__(self, t: Tokens, code: Code):
         place = t.place()
-        one, two, three, four, five = (t.previous(k, place).astype(np.uint64) for k in range(1, 6))
+        one, two, three, four = (t.previous(k, place).astype(np.uint64) for k in range(1, 5))
         pair = one.astype(np.int64) << 8 | t.bytes
         length = code.length[pair]
         of = np.repeat(np.arange(len(pair)), length)
         depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
         flat = code.start[pair][of] + depth
-        self.node, self.bit = code.node[flat].astype(np.uint64), code.bit[flat]
+        self.node, self.bit = code.node[flat].astype(np.uint64), code.bit[flat] == 1
         token_bits = np.add.reduceat(length, t.first) if len(t.first) else length
         self.size, self.first = token_bits, np.cumsum(token_bits) - token_bits
         self.opening = length[t.first]
-        self.gate = (np.minimum(place[of], 3) * 4 + np.minimum(depth, 3)).astype(np.uint8)
         begun = span_hashes(prefix_hashes(t.bytes, _FOLDED), np.repeat(t.first, t.size), np.arange(len(t.bytes)))
         with np.errstate(over="ignore"):
-            keys = [
-                one | two << np.uint64(8), one | two << np.uint64(8) | three << np.uint64(16),
-                one | two << np.uint64(8) | three << np.uint64(16) | four << np.uint64(24) | five << np.uint64(32), begun,
-            ]
-            slots = [(one[of] << np.uint64(8) | self.node).astype(np.int64)]
-            for key, log, base in zip(keys, list(TABLES.values())[1:5], OFFSETS[1:5].tolist(), strict=True):
-                mixed = ((key * _G1) ^ (key >> np.uint64(29)))[of] + self.node * _G2
-                slots.append((mix(mixed) >> np.uint64(64 - log)).astype(np.int64) + base)
+            last_two = one | two << np.uint64(8)
+            keys = [last_two, last_two | three << np.uint64(16) | four << np.uint64(24), begun]
+            slots = []
+            for key, log, base in zip(keys, list(TABLES.values())[:3], OFFSETS[:3].tolist(), strict=True):
+                mixed = (mix(key)[of] + self.node * _G2) * _G1
+                slots.append((mixed >> np.uint64(64 - log)).astype(np.int64) + base)
         self.slots = slots
 
 
 def _word_slots(before: np.ndarray, node: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(before + node * _G3) >> np.uint64(64 - TABLES["word"])).astype(np.int64) + OFFSETS[5]
+        return (mix(before + node * _G3) >> np.uint64(64 - TABLES["word"])).astype(np.int64) + OFFSETS[3]
 
 
 def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,29 +201,36 @@ def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- context tables
 
 def _bounded(counts: np.ndarray) -> np.ndarray:
-    """Both counts of a slot scaled down together to one byte each."""
+    """Both counts of a slot scaled down together to two bytes each."""
     most = counts.max(1, keepdims=True)
-    return np.ceil(counts * np.minimum(1.0, 255.0 / np.maximum(most, 1))).astype(np.uint8)
+    return np.minimum(np.ceil(counts * np.minimum(1.0, 65535.0 / np.maximum(most, 1))), 65535).astype(np.uint16)
+
+
+LEVEL = np.searchsorted([1, 3, 8, 24, 80], np.arange(256), "right").astype(np.uint8)
+#: Weight, in observations, of what a shorter context says of a bit.
+PRIOR = 0.5
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    return counts[:, 1].astype(np.uint32) << np.uint32(16) | counts[:, 0]
 
 
 def context_tables(rows: DataFrame, code: Code) -> np.ndarray:
-    """Log-odds of a one in each slot, in sixteenths."""
+    """Counts of ones (upper half) and zeros in each slot."""
     total = int(OFFSETS[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(total * 2, np.float32)
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
+            for _, data, offsets in slices(batch.column(0), 4 << 20):
                 t = Tokens(data, offsets)
                 b = Bits(t, code)
-                times = np.repeat(np.bincount(t.which, minlength=len(t.hashes)), b.size)
+                times = np.repeat(np.bincount(t.which, minlength=len(t.hashes)), b.size).astype(np.float32)
                 for slot in b.slots:
-                    value, inverse = np.unique(slot * 2 + b.bit, return_inverse=True)
-                    counts[value] += np.bincount(inverse, times)
+                    np.add.at(counts, slot * 2 + b.bit, times)
                 at, _ = _spread(b.first[t.which], b.opening[t.which])
                 slot = _word_slots(np.repeat(t.before, b.opening[t.which]), b.node[at])
-                value, n = np.unique(slot * 2 + b.bit[at], return_counts=True)
-                counts[value] += n
+                np.add.at(counts, slot * 2 + b.bit[at], np.float32(1))
         counts = counts.reshape(-1, 2)
         some = np.flatnonzero(counts.any(1))
         small = _bounded(counts[some])
@@ -238,20 +245,18 @@ def context_tables(rows: DataFrame, code: Code) -> np.ndarray:
     def merge(group: pa.Table) -> pa.Table:
         counts = np.zeros((CHUNK, 2), np.float32)
         for slots, some in zip(group.column("slots").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            counts[np.frombuffer(slots, np.uint32)] += np.frombuffer(some, np.uint8).reshape(-1, 2)
-        odds = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
-        packed = np.clip(np.round(odds * 16), -127, 127).astype(np.int8)
-        return pa.table({"chunk": group.column("chunk").slice(0, 1), "odds": pa.array([packed.tobytes()], pa.binary())})
+            counts[np.frombuffer(slots, np.uint32)] += np.frombuffer(some, np.uint16).reshape(-1, 2)
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([_bounded(counts).tobytes()], pa.binary())})
 
     train = rows.filter("train").select("text")
     # each task's tables travel, so tasks are made large
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // 4)
     parts = train.coalesce(tasks).mapInArrow(run, "chunk int, slots binary, counts binary")
-    got = parts.groupBy("chunk").applyInArrow(merge, "chunk int, odds binary").toArrow()
-    out = np.zeros(-(-total // CHUNK) * CHUNK, np.int8)
-    for chunk, odds in zip(got.column("chunk").to_pylist(), got.column("odds").to_pylist(), strict=True):
-        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(odds, np.int8)
-    return out[:total]
+    got = parts.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").toArrow()
+    out = np.zeros((-(-total // CHUNK) * CHUNK, 2), np.uint16)
+    for chunk, own in zip(got.column("chunk").to_pylist(), got.column("counts").to_pylist(), strict=True):
+        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(own, np.uint16).reshape(-1, 2)
+    return packed(out[:total])
 
 
 # ---------------------------------------------------------------- token counts
@@ -313,52 +318,95 @@ class Mixer:
     """Gated weights and the adaptive map, learning as they go."""
 
     def __init__(self) -> None:
-        self.weights = np.full((len(TABLES), GATES), 0.3, np.float32)
+        self.weights = np.zeros((GATES, len(TABLES)), np.float32)
+        # where many observations tell, the whole beginning of the word leads
+        self.weights[:, 1:] = (0.55, 0.45, 0.3)
+        self.weights[-LEVELS:, 1:3] = (0.3, 0.7)
         self.map = np.zeros(GATES * MAP, np.float32)
 
     def step(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, learn: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of the bits; then learn from those marked."""
-        odds = np.zeros(len(bit), np.float32)
-        for k in range(len(x)):
-            odds += self.weights[k][gate] * x[k]
-        cell = gate.astype(np.int64) * MAP + np.clip(np.rint(odds * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
+        """Natural log-probabilities of the bits; then learn from each ``learn`` times.
+
+        ``gate`` is sorted: the bits of a gate are a run.  The weights take damped Newton steps.
+        """
+        cut = np.r_[0, np.flatnonzero(gate[1:] != gate[:-1]) + 1, len(gate)].tolist()
+        odds = np.empty(len(bit), np.float32)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            odds[lo:hi] = self.weights[gate[lo]] @ x[:, lo:hi]
+        cell = gate.astype(np.int32) * MAP + np.clip(np.rint(odds * 2) + MAP // 2, 0, MAP - 1).astype(np.int32)
         odds += self.map[cell]
         np.clip(odds, -20, 20, out=odds)
+        logs = -np.log1p(np.exp(np.where(bit, -odds, odds)))
         p = 1 / (1 + np.exp(-odds))
-        wrong = (bit - p).astype(np.float32)
-        logs = np.log1p(-np.abs(wrong))
-        wrong *= learn
-        seen = np.bincount(gate, learn, GATES) + 200
-        for k in range(len(x)):
-            self.weights[k] += (RATE * np.bincount(gate, wrong * x[k], GATES) / seen).astype(np.float32)
-        sure = np.bincount(cell, learn * p * (1 - p), GATES * MAP) + 50
-        self.map += (0.5 * np.bincount(cell, wrong, GATES * MAP) / sure).astype(np.float32)
+        wrong = (bit - p) * learn
+        open_ = p * (1 - p) * learn
+        damp = np.eye(len(x), dtype=np.float32) * 20
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            part = x[:, lo:hi]
+            self.weights[gate[lo]] += RATE * np.linalg.solve((part * open_[lo:hi]) @ part.T + damp, part @ wrong[lo:hi])
+        sure = np.bincount(cell, open_, GATES * MAP) + 20
+        self.map += (0.3 * np.bincount(cell, wrong, GATES * MAP) / sure).astype(np.float32)
         return logs
 
 
-def _score_slice(t: Tokens, b: Bits, odds: np.ndarray, train: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each document of the slice."""
-    x_all = np.stack([odds[s] for s in b.slots]).astype(np.float32) / 16
-    segment = np.floor(np.log2(t.nth / SEGMENT + 1)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    cut = np.searchsorted(segment[order], np.arange(int(segment.max(initial=0)) + 2))
-    out = np.zeros(len(train))
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        for at in range(lo, hi, 1 << 15):
-            some = order[at:min(hi, at + (1 << 15))]
-            which = t.which[some]
-            size = b.size[which]
-            index, place = _spread(b.first[which], size)
-            x = np.zeros((len(TABLES), len(index)), np.float32)
-            np.take(x_all, index, axis=1, out=x[:-1])
-            opening = np.flatnonzero(place < np.repeat(b.opening[which], size))
-            before = np.repeat(t.before[some], b.opening[which])
-            x[-1, opening] = odds[_word_slots(before, b.node[index[opening]])].astype(np.float32) / 16
-            learn = np.repeat(train[t.row[some]].astype(np.float32), size)
-            logs = mixer.step(x, b.gate[index], b.bit[index], learn)
-            per_token = np.add.reduceat(logs, np.cumsum(size) - size)
-            out += np.bincount(t.row[some], per_token, len(train))
-    return out / np.log(10)
+def _blend(ones: np.ndarray, count: np.ndarray, shorter: np.ndarray | np.float32) -> np.ndarray:
+    """Probability of a one from the counts of a context and what the shorter one says."""
+    return (ones + PRIOR * shorter) / (count + np.float32(PRIOR))
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
+    return np.log(p / (1 - p))
+
+
+def _seen(counts: np.ndarray, slot: np.ndarray, bit: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ones and all of each slot; where ``taught`` the bit's own count is taken out."""
+    both = counts[slot]
+    ones, zeros = both >> np.uint32(16), both & np.uint32(0xFFFF)
+    ones -= (ones > 0) & bit & taught
+    zeros -= (zeros > 0) & ~bit & taught
+    return ones.astype(np.float32), (ones + zeros).astype(np.float32)
+
+
+def _score_slice(t: Tokens, b: Bits, counts: np.ndarray, train: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """log10 probability of each document of the slice.
+
+    Within a slice the weights are fixed, so equal words are computed once (for training and
+    other documents apart), but for their first byte, which depends on the word before.
+    Each context starts from what the shorter one says, so a rare context speaks softly.
+    """
+    learnt = train[t.row]
+    kinds, kind_of, times = np.unique(t.which * 2 + learnt, return_inverse=True, return_counts=True)
+    word = kinds >> 1
+    opening = b.opening[word]
+    rest = b.size[word] - opening
+    inner, _ = _spread(b.first[word] + opening, rest)
+    starting = opening[kind_of]
+    begin, _ = _spread(b.first[t.which], starting)
+    index = np.r_[inner, begin]
+    taught = np.r_[np.repeat((kinds & 1) == 1, rest), np.repeat(learnt, starting)]
+    weight = np.r_[np.repeat(times * (kinds & 1), rest), np.repeat(learnt, starting)].astype(np.float32)
+    bit = b.bit[index]
+    x = np.zeros((len(TABLES), len(index)), np.float32)
+    gate = np.zeros(len(index), np.uint8)
+    p: np.ndarray | np.float32 = np.float32(0.5)
+    for k, slot in enumerate(b.slots):
+        ones, n = _seen(counts, slot[index], bit, taught)
+        p = _blend(ones, n, p)
+        x[k] = _odds(p)
+        if k:
+            gate = gate * np.uint8(LEVELS) + LEVEL[np.minimum(n, 255).astype(np.uint8)]
+    first = slice(len(inner), None)
+    slot = _word_slots(np.repeat(t.before, starting), b.node[begin])
+    x[3, first] = _odds(_blend(*_seen(counts, slot, bit[first], taught[first]), p[first])) - x[2, first]
+    order = np.argsort(gate, kind="stable")
+    logs = np.empty(len(index))
+    logs[order] = mixer.step(x[:, order], gate[order], bit[order], weight[order])
+    sums = np.r_[0.0, np.cumsum(logs)]
+    ends = np.cumsum(rest)
+    of_kind = sums[ends] - sums[ends - rest]
+    ends = len(inner) + np.cumsum(starting)
+    return np.bincount(t.row, of_kind[kind_of] + sums[ends] - sums[ends - starting], len(train)) / np.log(10)
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -366,7 +414,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     scratch = Scratch(docs.sparkSession)
     rows = _rows(docs, text, key)
     code = Code(pair_counts(rows))
-    odds = context_tables(rows, code)
+    counts_of = context_tables(rows, code)
     asked = token_totals(rows, scratch)
     answers = scratch.keep(_answers(asked))
     kinds, tokens = answers.filter("block is null").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
@@ -380,14 +428,14 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         hashes, counts = hashes[order], counts[order]
         train = left.column("train").combine_chunks().to_numpy(zero_copy_only=False)
         mixer, parts = Mixer(), []
-        for first, data, offsets in slices(left.column("text").combine_chunks()):
+        for first, data, offsets in slices(left.column("text").combine_chunks(), SCORE_BYTES):
             t = Tokens(data, offsets)
             c = counts[np.searchsorted(hashes, t.hashes)].astype(np.float64)
             logs = np.log10((c + 0.1) / floor)
             size = len(offsets) - 1
             base = np.bincount(t.row, logs[t.which], size)
             known = np.bincount(t.row, (c > 0)[t.which], size)
-            scores = _score_slice(t, Bits(t, code), odds, train[first:first + size], mixer)
+            scores = _score_slice(t, Bits(t, code), counts_of, train[first:first + size], mixer)
             spelt = np.bincount(t.row, t.size[t.which], size)
             parts.append((t.count, known, base, scores, -scores * np.log2(10) / spelt))
         n, known, base, scores, rate = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, exact_dedup, minhash, mixing, quality, repeats, surrogates, token_counts, url_filter
+from plumbline.llm import context_mixing, decontaminate, exact_dedup, minhash, mixing, quality, repeats, surrogates, token_counts, url_filter
 from plumbline.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_context_mixing": op4_context_mixing,
     "op5_quality": op5_quality,
     "op6_repeats": op6_repeats,
     "op7_url_filter": op7_url_filter,
