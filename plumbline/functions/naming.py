@@ -29,7 +29,7 @@ def source_system_label(name: Column) -> Column:
     """The first path segment starting with ``src_sys_nm=``, else ``unknown``."""
     segments = F.filter(F.split(name, "/"), lambda s: s.startswith(_SEGMENT))
     segment = F.get(segments, F.lit(0))
-    return F.coalesce(F.substring(segment, len(_SEGMENT) + 1, 1 << 20), F.lit("unknown"))
+    return F.coalesce(F.substr(segment, F.lit(len(_SEGMENT) + 1)), F.lit("unknown"))
 
 
 def source_system_sql(name: Column) -> Column:
@@ -52,7 +52,7 @@ def json_label(value: Column) -> Column:
     """
     variant = F.try_parse_json(value)
     text = F.coalesce(F.try_variant_get(variant, "$", "string"), value)
-    label = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))
+    label = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
     return F.coalesce(label, F.lit("Unknown"))
 
 

@@ -90,8 +90,7 @@ def ops_status(rates: DataFrame) -> DataFrame:
         .when(F.col("severity") == "fail", 1)
         .when(F.col("severity") == "warn", 2)
     )
-    # one sortable number instead of a struct keeps the aggregate hash-based
-    order = rank * 1_000_000 + F.col("column_ordinal")
+    order = F.struct(rank.alias("rank"), F.col("column_ordinal").alias("ordinal"))
     reason_code = F.when(F.col("reason") == "all_null_column", 0).when(
         F.col("reason") == "above_fail_threshold", 1).otherwise(2)
     summary = columns.groupBy(*c.KEYS).agg(

@@ -107,7 +107,7 @@ def lookup_codes(raw_codes: DataFrame, enrichment: DataFrame) -> DataFrame:
     named = raw_codes.select(F.concat(F.lit(prefix), "raw_code").alias("candidate"))
     rows = active(enrichment).filter(F.col("lookup_code").isNotNull())
     found = lookup(named, "candidate", rows, "lookup_code")
-    raw = F.substring("candidate", len(prefix) + 1, 1 << 20)
+    raw = F.substr(F.col("candidate"), F.lit(len(prefix) + 1))
     return found.select(raw.alias("raw_code"), F.coalesce("lookup_code", raw).alias("lookup_code"))
 
 

@@ -249,10 +249,15 @@ def default_families(df: DataFrame, *, freshness_column: str, as_of, json_source
 
 
 def expected_partitions(counts: DataFrame, keys: Sequence[str] = c.KEYS) -> DataFrame:
-    """Every day between a dataset's first and last partition."""
+    """Every dataset on every day from the first to the last one of the whole batch.
+
+    A dataset that is absent on the newest day is expected there too.  The two
+    dates are read when the query is built.
+    """
     dataset, day = keys
-    span = counts.groupBy(dataset).agg(F.min(day).alias("first"), F.max(day).alias("last"))
-    return span.select(dataset, F.explode(F.sequence("first", "last")).alias(day))
+    first, last = counts.agg(F.min(day), F.max(day)).first()
+    days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return counts.select(dataset).distinct().select(dataset, F.explode(days).alias(day))
 
 
 def per_partition_clock(hours: int, partition_date: str = "partition_date") -> Column:

@@ -70,11 +70,8 @@ def chk_freshness_status(spark, sf):
     return _rounded(checks.freshness_status(_staleness(spark, sf)), *BASELINE)
 
 
-OPS_COLUMNS = ("value", "tag", "source_event_timestamp", "event_ts")
-
-
 def _null_rates(spark, sf):
-    return profile.null_rates(d.monitored(spark, sf), columns=OPS_COLUMNS)
+    return profile.null_rates(d.monitored(spark, sf))
 
 
 @query
@@ -131,21 +128,22 @@ def chk_dist_summary(spark, sf):
     )
 
 
-@query
-def json_top_level_paths(spark, sf):
+def _numeric_paths(spark, sf, level):
     m = d.monitored_json(spark, sf)
-    both = json_paths.numeric_paths(m, "event_attribute", json_paths.TOP_LEVEL).unionByName(
-        json_paths.numeric_paths(m, "props", json_paths.TOP_LEVEL)
+    both = json_paths.numeric_paths(m, "event_attribute", level).unionByName(
+        json_paths.numeric_paths(m, "props", level)
     )
     return both.select("dataset_name", "column_path")
 
 
+@query
+def json_top_level_paths(spark, sf):
+    return _numeric_paths(spark, sf, json_paths.TOP_LEVEL)
+
+
 @query
 def json_nested_paths(spark, sf):
-    m = d.monitored_json(spark, sf)
-    return json_paths.numeric_paths(m, "event_attribute", json_paths.ALL).select(
-        "dataset_name", "column_path"
-    )
+    return _numeric_paths(spark, sf, json_paths.ALL)
 
 
 @query
@@ -686,6 +684,40 @@ def store_rerun_roundtrip(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def store_rerun_partial(spark, sf):
+    """All runs stored; failed ones expired and run again twice into the same folder.
+
+    Other datasets of the same (quarterly) dates, and all expired rows, must stay as they were.
+    """
+    runs = d.runs(spark, sf).withColumn("partition_date", F.trunc("partition_date", "quarter"))
+    dated = runs.select("run_id", *c.KEYS)
+    parts = {
+        store.RUNS: runs, store.NUMERICS: d.numerics(spark, sf).join(dated, "run_id"),
+        store.DETAILS: d.details(spark, sf).join(dated, "run_id"),
+    }
+    folder = scratch_folder(spark)
+    store.write_metrics(folder, *parts.values())
+    failed = staged(
+        runs.filter((F.col("check_status") == c.FAIL) & (F.col("expiry_date") == store.sentinel()))
+        .select("run_id", *c.KEYS), f"{folder}-failed",
+    )
+    for turn in (1, 2):
+        store.apply_expiry(spark, folder, failed, f"2002-0{turn}-15 00:00:00")
+        again = []
+        for df in parts.values():
+            own = df.join(failed.select("run_id"), "run_id", "left_semi")
+            again.append(own.withColumn("run_id", F.col("run_id") + turn * 1_000_000_000))
+        again[0] = again[0].withColumn("rerun_number", F.col("rerun_number") + turn)
+        store.write_metrics(folder, *again)
+    numbered = [
+        store.read_table(spark, folder, name).groupBy("run_id", "expiry_date").agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(name).alias("table_name"), "run_id", "expiry_date", "row_count")
+        for name in parts
+    ]
+    return numbered[0].unionByName(numbered[1]).unionByName(numbered[2])
+
+
 @query
 def daily_run(spark, sf):
     """All partition checks, score and run rows of every monitored date, stored and read back."""

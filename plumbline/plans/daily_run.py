@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import constants as c
 from plumbline.operators import baseline, patterns, profile, schema, score
 from plumbline.plans import results
-from plumbline.session import staged
+from plumbline.session import scratch_folder, staged
 from plumbline.sources import store
 
 METRIC_COLUMNS = (*c.KEYS, "check_type", "metric_name", "metric_value")
@@ -96,31 +96,31 @@ def run(
     ``past_runs`` (active run rows) and the runs of the batch.
     """
     keys = list(c.KEYS)
-    measured = staged(profile.metrics(monitored, families), f"{folder}/_staging/metrics")
+    work = scratch_folder(spark)
+    measured = staged(profile.metrics(monitored, families), f"{work}/metrics")
     fresh = measured
     if expected is not None:
         empty = expected.select(*keys).join(measured.select(*keys).distinct(), keys, "left_anti")
         fresh = measured.unionByName(_empty_partition_metrics(empty))
+    batch = staged(fresh.select(*keys).distinct(), f"{work}/batch")
     if history is None:
         known = fresh
     else:
         # one row per partition and metric remains, whichever side it came from
-        older = history.select(*METRIC_COLUMNS).withColumn("_new", F.lit(0))
-        both = older.unionByName(fresh.withColumn("_new", F.lit(1)))
-        known = baseline.latest_rerun(
+        older = _recent(history, batch, ["dataset_name", "check_type", "metric_name"], c.BASELINE_ROWS)
+        both = older.select(*METRIC_COLUMNS).withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+        known = staged(baseline.latest_rerun(
             both, [*keys, "check_type", "metric_name"], [F.desc("_new")]
-        ).drop("_new")
-
-    batch = fresh.select(*keys).distinct()
+        ).drop("_new"), f"{work}/known")
     snapshots = schema.snapshot_of(monitored, batch)
     if schema_history is not None:
         snapshots = snapshots.unionByName(
-            schema_history.join(batch, keys, "left_anti"), allowMissingColumns=True
+            _recent(schema_history, batch, ["dataset_name"], 1).join(batch, keys, "left_anti"), allowMissingColumns=True
         )
     columns = [f.name for f in profile.value_columns(monitored, c.KEYS)]
     has_event_time = any("latest_event" in f.aggregates for f in families)
     checked = judge(known, columns, snapshots, batch, has_event_time).join(batch, keys, "left_semi")
-    checked = staged(_enabled_only(checked, config), f"{folder}/_staging/checked")
+    checked = staged(_enabled_only(checked, config), f"{work}/checked")
 
     number = F.lit(rerun_number).alias("rerun_number")
     scored = score.dq_score(
@@ -133,7 +133,7 @@ def run(
     )
     # every partition gets a run, also one without any scored check
     scored = staged(
-        batch.join(scored, keys, "left").join(codes, "dataset_name", "left"), f"{folder}/_staging/scores"
+        batch.join(scored, keys, "left").join(codes, "dataset_name", "left"), f"{work}/scores"
     )
     runs = scored.select(
         *keys, "lookup_code",
@@ -164,14 +164,14 @@ def run(
         across = judge_across(seen, known, batch, enrichment=enrichment, config=config,
                               lob_lookup=lob_lookup, as_of=at).join(batch, keys, "left_semi")
         parts.append(_enabled_only(across, config, always=[c.ORPHAN_DETECTION]))
-    stored = staged(results.union(parts), f"{folder}/_staging/results")
+    stored = staged(results.union(parts), f"{work}/results")
 
     identity = {
         "run_id": store.run_id(*keys, "rerun_number"),
         "create_date": at,
         "expiry_date": store.sentinel(),
     }
-    values = fresh.filter(F.col("metric_value").isNotNull()).unionByName(
+    values = _enabled_only(fresh, config).filter(F.col("metric_value").isNotNull()).unionByName(
         stored.filter(F.col("metric_value").isNotNull())
         .select(*keys, "check_type", F.col("name").alias("metric_name"), "metric_value")
     )
@@ -186,6 +186,18 @@ def run(
     )
 
 
+def _recent(history: DataFrame, batch: DataFrame, group: Sequence[str], count: int) -> DataFrame:
+    """History the batch can look at: the newest ``count`` rows of a group before the
+    batch's first date, and everything since.  The limit is applied before the shuffle."""
+    first = batch.agg(F.min("partition_date")).first()[0]
+    if first is None:
+        return history.limit(0)
+    newest = Window.partitionBy(*group).orderBy(F.desc("partition_date"))
+    before = history.filter(F.col("partition_date") < F.lit(first))
+    before = before.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= count).drop("_nth")
+    return before.unionByName(history.filter(F.col("partition_date") >= F.lit(first)))
+
+
 def _enabled_only(rows: DataFrame, config: DataFrame | None, always: Sequence[str] = ()) -> DataFrame:
     """Rows of check types the configuration enables for the dataset.
 

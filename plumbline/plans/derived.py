@@ -282,10 +282,10 @@ _ENDED = "2000-01-01 00:00:00"
 
 CHECK_CONFIG = [
     # id, dataset_pattern, check_type, enabled, explosion_level, expiry_date
-    (1, "lob=retail/%", c.FRESHNESS, True, 0, None),
-    (2, "lob=commercial/src_sys_nm=beta/dataset=view", c.VOLUME, False, 0, None),
-    (3, "lob=retail/src_sys_nm=alpha/%", c.OPS, True, 2, None),
-    (4, "lob=commercial/%", c.SCHEMA, True, 0, None),
+    (1, "%/dataset=signup", c.OPS, False, 0, None),
+    (2, "lob=commercial/src_sys_nm=gamma/%", c.FRESHNESS, True, 2, None),
+    (3, "lob=r%/dataset=click", c.SCHEMA, True, 1, None),
+    (4, "%src_sys_nm=alpha/dataset=_urchase", c.VOLUME, True, 0, None),
     (5, "lob=automobile/%", c.VOLUME, True, 0, None),
     (6, "lob=building/src_sys_nm=nation_1%", c.DISTRIBUTION, True, 1, None),
     (7, "lob=building/%", c.DISTRIBUTION, True, 2, None),
@@ -302,11 +302,11 @@ CHECK_CONFIG = [
 
 ENRICHMENT = [
     # id, dataset_pattern, lookup_code, custom_weights, sla_hours, explosion_level, expiry_date
-    (1, "src_sys_nm=omni/%", "LOB_LEGACY", None, 24.0, 0, None),
-    (2, "lob=commercial/%", "LOB_COMMERCIAL",
-     '{"FRESHNESS":0.4,"VOLUME":0.3,"SCHEMA":0.2,"OPS":0.1}', 12.0, 0, None),
-    (3, "lob=retail/src_sys_nm=alpha/dataset=click", "LOB_RETAIL",
-     '{"FRESHNESS":0.3,"VOLUME":0.3,"SCHEMA":0.25,"OPS":0.15}', 8.0, 0, None),
+    (1, "lob=retail/%/dataset=click", "LOB_CLICKS",
+     '{"OPS":0.7,"VOLUME":0.2,"FRESHNESS":0.1}', 5.0, 1, None),
+    (2, "%/src_sys_nm=gamma/%", "LOB_SIGNUPS", None, 30.0, 2, None),
+    (3, "lob=commercial/%", "LOB_TRADE",
+     '{"SCHEMA":0.35,"FRESHNESS":0.35,"OPS":0.3}', 13.0, 0, None),
     (4, "src_sys_nm=nation_1_", "LOB_TEENS", None, None, 0, None),
     (5, "src_sys_nm=nation_1%", "LOB_ONES", None, 36.0, 0, None),
     (6, "lob=building/%", None, '{"FRESHNESS":0.5,"VOLUME":0.5}', 24.0, 0, None),
@@ -320,10 +320,10 @@ ENRICHMENT = [
 
 LOB_LOOKUP = [
     # id, lookup_code, lob_name, owner, classification, expiry_date
-    (1, "LOB_BUILDING", "Building", "Jane Doe", "Tier 1 Critical", None),
-    (2, "LOB_AUTOMOBILE", "Automobile", "John Smith", "Tier 2 Standard", None),
-    (3, "LOB_HOUSEHOLD", "Household", "Alice Brown", "Tier 3 Low", None),
-    (4, "LOB_LEGACY", "Legacy Systems", "Bob Gray", "Tier 1 Critical", _ENDED),
+    (1, "LOB_BUILDING", "House building", "team north", "Tier 1 Critical", None),
+    (2, "LOB_AUTOMOBILE", "Cars", "team south", "Tier 2 Standard", None),
+    (3, "LOB_HOUSEHOLD", "Home goods", "team west", "Tier 3 Low", None),
+    (4, "LOB_LEGACY", "Old machines", "team east", "Tier 1 Critical", _ENDED),
 ]
 
 

@@ -194,15 +194,22 @@ SELECT dataset_name, partition_date, column_name, column_ordinal, row_count, nul
   CAST(100 AS DOUBLE) * null_count / row_count AS null_rate_pct,
   CAST(100 AS DOUBLE) * blank_count / row_count AS empty_rate_pct
 FROM (
-  SELECT dataset_name, partition_date, 'value' AS column_name, 0 AS column_ordinal, COUNT(*) AS row_count,
-    COUNT(*) - COUNT(value) AS null_count, CAST(NULL AS BIGINT) AS blank_count FROM m GROUP BY ALL
-  UNION ALL SELECT dataset_name, partition_date, 'tag', 1, COUNT(*), COUNT(*) - COUNT(tag),
-    COUNT(*) FILTER (WHERE trim(tag) = '') FROM m GROUP BY ALL
-  UNION ALL SELECT dataset_name, partition_date, 'event_ts', 2, COUNT(*), COUNT(*) - COUNT(event_ts),
-    NULL FROM m GROUP BY ALL
-  UNION ALL SELECT dataset_name, partition_date, 'source_event_timestamp', 3, COUNT(*),
-    COUNT(*) - COUNT(source_event_timestamp), COUNT(*) FILTER (WHERE trim(source_event_timestamp) = '')
-    FROM m GROUP BY ALL)""",
+  SELECT dataset_name, partition_date, 'event_id' AS column_name, 0 AS column_ordinal, COUNT(*) AS row_count,
+    COUNT(*) - COUNT(event_id) AS null_count, CAST(NULL AS BIGINT) AS blank_count FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'user_id', 1, COUNT(*),
+    COUNT(*) - COUNT(user_id), CAST(NULL AS BIGINT) FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'value', 2, COUNT(*),
+    COUNT(*) - COUNT(value), CAST(NULL AS BIGINT) FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'tag', 3, COUNT(*),
+    COUNT(*) - COUNT(tag), COUNT(*) FILTER (WHERE trim(tag) = '') FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'event_ts', 4, COUNT(*),
+    COUNT(*) - COUNT(event_ts), CAST(NULL AS BIGINT) FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'source_event_timestamp', 5, COUNT(*),
+    COUNT(*) - COUNT(source_event_timestamp), COUNT(*) FILTER (WHERE trim(source_event_timestamp) = '') FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'event_attribute', 6, COUNT(*),
+    COUNT(*) - COUNT(event_attribute), COUNT(*) FILTER (WHERE trim(event_attribute) = '') FROM m GROUP BY ALL
+  UNION ALL SELECT dataset_name, partition_date, 'props', 7, COUNT(*),
+    COUNT(*) - COUNT(props), COUNT(*) FILTER (WHERE trim(props) = '') FROM m GROUP BY ALL)""",
     "stats": """
 SELECT dataset_name, partition_date, column_path, COALESCE(AVG(v), 0) AS mean,
   COALESCE(STDDEV_POP(v), 0) AS stddev, COALESCE(QUANTILE_DISC(v, 0.5), 0) AS p50,
@@ -326,7 +333,8 @@ oracle("chk_zero_row", "", """
 WITH o AS (SELECT 'src_sys_nm=n' || CAST(c_nationkey AS VARCHAR) AS dataset_name,
              CAST(o_orderdate AS DATE) AS partition_date
            FROM orders JOIN customer ON o_custkey = c_custkey),
-span AS (SELECT dataset_name, MIN(partition_date) AS a, MAX(partition_date) AS b FROM o GROUP BY 1),
+span AS (SELECT n.dataset_name, (SELECT MIN(partition_date) FROM o) AS a, (SELECT MAX(partition_date) FROM o) AS b
+         FROM (SELECT DISTINCT dataset_name FROM o) n),
 expected AS (SELECT dataset_name, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS partition_date FROM span)
 SELECT e.dataset_name, e.partition_date, COUNT(o.dataset_name) AS row_count,
   CASE WHEN COUNT(o.dataset_name) = 0 THEN 'FAIL' ELSE 'PASS' END AS status,
@@ -351,7 +359,7 @@ oracle("chk_ops_null_rate", "rates", """
 SELECT dataset_name, partition_date, column_name, row_count, null_count, null_rate_pct FROM rates""")
 oracle("chk_ops_empty_rate", "rates", """
 SELECT dataset_name, partition_date, column_name, row_count, blank_count, empty_rate_pct
-FROM rates WHERE column_name IN ('tag', 'source_event_timestamp')""")
+FROM rates WHERE column_name IN ('tag', 'source_event_timestamp', 'event_attribute', 'props')""")
 
 _NULL_RATE = banded(
     "baseline_count", "null_rate_pct", "baseline_mean + GREATEST(baseline_stddev, 1)",
@@ -423,6 +431,9 @@ WITH RECURSIVE walk(dataset_name, path, j) AS (
   SELECT dataset_name, 'event_attribute.' || k, json_extract(event_attribute, '$.' || k)
   FROM (SELECT dataset_name, event_attribute, unnest(json_keys(event_attribute)) AS k FROM m)
   UNION ALL
+  SELECT dataset_name, 'props.' || k, json_extract(props, '$.' || k)
+  FROM (SELECT dataset_name, props, unnest(json_keys(props)) AS k FROM m)
+  UNION ALL
   SELECT dataset_name, path || '.' || k, json_extract(j, '$.' || k)
   FROM (SELECT dataset_name, path, j, unnest(json_keys(j)) AS k FROM walk WHERE json_type(j) = 'OBJECT'))
 SELECT dataset_name, path AS column_path FROM walk GROUP BY 1, 2
@@ -994,6 +1005,27 @@ oracle("store_rerun_roundtrip", "runs_all numerics_all details_all expired_ids",
     for t in ("runs", "numerics", "details")
 ))
 
+def _rerun_rows(table: str) -> str:
+    """Rows of one table after two reruns of the failed runs: original, first and second."""
+    failed = f"SELECT run_id FROM runs_all WHERE check_status = 'FAIL' AND expiry_date = {SENTINEL}"
+    # expiry by key also ends other active runs of a failed run's dataset and date
+    hit = (f"SELECT a.run_id FROM runs_all a WHERE a.expiry_date = {SENTINEL} AND EXISTS (SELECT 1 FROM runs_all f "
+           f"WHERE f.run_id IN ({failed}) AND f.dataset_name = a.dataset_name "
+           f"AND date_trunc('quarter', f.partition_date) = date_trunc('quarter', a.partition_date))")
+    rows = f"SELECT x.run_id, x.expiry_date FROM {table}_all x JOIN runs_all r ON r.run_id = x.run_id"
+    ended = lambda at, ids: f"CASE WHEN expiry_date = {SENTINEL} AND run_id IN ({ids}) THEN TIMESTAMP '{at}' ELSE expiry_date END"
+    return " UNION ALL ".join((
+        f"SELECT run_id, {ended('2002-01-15 00:00:00', hit)} AS expiry_date FROM ({rows})",
+        f"SELECT run_id + 1000000000, {ended('2002-02-15 00:00:00', failed)} FROM ({rows}) WHERE run_id IN ({failed})",
+        f"SELECT run_id + 2000000000, expiry_date FROM ({rows}) WHERE run_id IN ({failed})",
+    ))
+
+
+oracle("store_rerun_partial", "runs_all numerics_all details_all", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, run_id, expiry_date, COUNT(*) AS row_count FROM ({_rerun_rows(t)}) GROUP BY 2, 3"
+    for t in ("runs", "numerics", "details")
+))
+
 _DAILY_STATUS = f"""
 SELECT dataset_name, partition_date, 'VOLUME' AS k, status FROM (SELECT *, {_VOLUME} FROM
   ({rolling('counts', 'dataset_name', 'row_count', 'dataset_name, partition_date, row_count')}))

@@ -2,18 +2,29 @@
 
 Tables are Parquet folders partitioned by ``partition_date``.  A row is active
 while its ``expiry_date`` is the sentinel.
+
+A store only ever grows.  A batch appends its metrics, then its runs, and last one
+row to ``batches``; rows of a batch without that row are not read, so a crash leaves
+nothing visible and the batch can be written again.  An expiry appends the ids of
+the runs it ends to ``expiries``, in one write; reading applies it to everything
+written before.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import constants as c
 from plumbline.functions.columns import as_column, ntz
 
 RUNS, NUMERICS, DETAILS = "runs", "numerics", "details"
+BATCHES, EXPIRIES = "batches", "expiries"
+_BATCHES = "batch_id string, seq bigint"
+_EXPIRIES = "run_id bigint, expired_at timestamp_ntz, seq bigint"
 
 
 def sentinel() -> Column:
@@ -114,40 +125,57 @@ def run_id(*columns: str) -> Column:
 
 
 def write_metrics(folder: str, runs: DataFrame, numerics: DataFrame, details: DataFrame) -> None:
-    """Replace the written dates in the three tables.
-
-    Runs go last: a date whose runs are visible has all its metrics.  Plain files
-    give no transaction over several tables, so a crash in between leaves metrics
-    without runs, which no active-run query reads; running the date again heals it.
-    """
+    """Append a batch to the three tables; it becomes visible as a whole at the end."""
+    spark, batch = runs.sparkSession, uuid.uuid4().hex
     for name, df in ((NUMERICS, numerics), (DETAILS, details), (RUNS, runs)):
-        _replace_partitions(df, f"{folder}/{name}")
+        (
+            df.withColumn("batch_id", F.lit(batch))
+            .hint("rebalance", "partition_date")
+            .sortWithinPartitions("partition_date", "dataset_name")
+            .write.mode("append").partitionBy("partition_date").parquet(f"{folder}/{name}")
+        )
+    marker = spark.range(1).select(F.lit(batch).alias("batch_id"), F.lit(_next(spark, folder)).cast("bigint").alias("seq"))
+    marker.write.mode("append").parquet(f"{folder}/{BATCHES}")
+
 
+def _log(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
-def _replace_partitions(df: DataFrame, path: str) -> None:
-    (
-        df.hint("rebalance", "partition_date")
-        .sortWithinPartitions("partition_date", "dataset_name")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("partition_date").parquet(path)
+
+def _next(spark: SparkSession, folder: str) -> int:
+    """The number of the next batch or expiry."""
+    numbers = _log(spark, folder, BATCHES, _BATCHES).select("seq").unionByName(
+        _log(spark, folder, EXPIRIES, _EXPIRIES).select("seq")
     )
+    last = numbers.agg(F.max("seq")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    """All rows of complete batches, expired where a later expiry says so."""
+    rows = spark.read.parquet(f"{folder}/{name}")
+    columns = [x for x in rows.columns if x != "batch_id"]
+    numbered = rows.join(_log(spark, folder, BATCHES, _BATCHES), "batch_id")
+    ended = _log(spark, folder, EXPIRIES, _EXPIRIES).groupBy("run_id").agg(
+        F.collect_list(F.struct("expired_at", F.col("seq").alias("at_seq"))).alias("ended")
+    )
+    later = F.filter("ended", lambda e: e["at_seq"] > F.col("seq"))
+    first = F.array_min(F.transform(later, lambda e: e["expired_at"]))
+    expiry = F.when((F.col("expiry_date") == sentinel()) & first.isNotNull(), first).otherwise(F.col("expiry_date"))
+    return numbered.join(ended, "run_id", "left").withColumn("expiry_date", expiry).select(columns)
 
 
 def apply_expiry(spark: SparkSession, folder: str, targets: DataFrame, at) -> None:
-    """Expire the targets in the stored tables, rewriting only their dates.
-
-    Metrics are expired before runs, because they are found through active runs.
-    """
-    dates = targets.select("partition_date").distinct()
-    touched = lambda df: df.join(dates, "partition_date", "left_semi")
-    runs = touched(read_table(spark, folder, RUNS))
-    for name in (NUMERICS, DETAILS):
-        table = touched(read_table(spark, folder, name))
-        _replace_partitions(expire_metrics(table, runs, targets, at), f"{folder}/{name}")
-    _replace_partitions(
-        expire_runs(runs, targets, at).drop("next_rerun_number"), f"{folder}/{RUNS}"
+    """Expire the active runs of the targets, and with them their metrics."""
+    ids = active(read_table(spark, folder, RUNS)).join(
+        targets.select(*c.KEYS).distinct(), list(c.KEYS), "left_semi"
+    ).select(
+        F.col("run_id").cast("bigint").alias("run_id"), ntz(as_column(at)).alias("expired_at"),
+        F.lit(_next(spark, folder)).cast("bigint").alias("seq"),
     )
+    ids.distinct().write.mode("append").parquet(f"{folder}/{EXPIRIES}")

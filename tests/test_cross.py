@@ -95,10 +95,10 @@ def test_inferred_sla_needs_points_and_no_explicit_sla(spark):
 
 def test_sla_countdown_truncates_hours(spark):
     parts = spark.createDataFrame([("lob=commercial/x", DAY), ("nobody", DAY)], "dataset_name string, partition_date date")
-    at = F.lit("2026-03-30 11:59:59").cast("timestamp_ntz")
+    at = F.lit("2026-03-30 12:59:59").cast("timestamp_ntz")
     rows = cross.sla_countdown(parts, d.enrichment(spark), at).collect()
     assert [(r.dataset_name, r.hours_remaining, r.status) for r in rows] == [("lob=commercial/x", 1.0, "WARN")]
-    late = F.lit("2026-03-30 13:00:00").cast("timestamp_ntz")
+    late = F.lit("2026-03-30 14:00:00").cast("timestamp_ntz")
     assert cross.sla_countdown(parts, d.enrichment(spark), late).first().status == "FAIL"
     ahead = F.lit("2026-03-29 23:30:00").cast("timestamp_ntz")
-    assert cross.sla_countdown(parts, d.enrichment(spark), ahead).first().hours_remaining == 12.0
+    assert cross.sla_countdown(parts, d.enrichment(spark), ahead).first().hours_remaining == 13.0

@@ -88,7 +88,7 @@ def test_lob_datasets(runs, numerics):
 
 def test_dataset_detail(spark, runs, numerics):
     lobs = spark.createDataFrame(
-        [("LOB_RETAIL", "Retail Banking", "Jane Doe", "Tier 1 Critical", FOREVER)],
+        [("LOB_RETAIL", "Retail Banking", "team north", "Tier 1 Critical", FOREVER)],
         "lookup_code string, lob_name string, owner string, classification string, expiry_date timestamp_ntz",
     )
     parents = spark.createDataFrame([(1, "lob=retail/src_sys_nm=alpha")], "orchestration_run_id bigint, parent_path string")

@@ -143,7 +143,7 @@ def test_daily_run_with_history_and_rerun(spark):
     assert numerics.filter(F.col("metric_value").isNull()).count() == 0
     runs = store.read_table(spark, first, store.RUNS)
     assert runs.count() == 4 and {r.check_status for r in runs.collect()} == {"PASS"}
-    assert {r.lookup_code for r in runs.collect()} == {"LOB_RETAIL"}
+    assert {r.lookup_code for r in runs.collect()} == {"LOB_CLICKS"}
 
     # the next day is judged against the stored history; an expected dataset stayed away
     missing = spark.createDataFrame(
@@ -170,6 +170,34 @@ def test_daily_run_with_history_and_rerun(spark):
     assert left.select("run_id").distinct().count() == 3
 
 
+def test_two_runs_share_a_store(spark):
+    clock, folder = profile.per_partition_clock(30), scratch_folder(spark)
+    for days in (range(2), range(1, 3)):
+        m = monitored(spark, days)
+        fams = profile.default_families(m, freshness_column="source_event_timestamp", as_of=clock)
+        daily.run(spark, m, folder, families=fams, enrichment=d.enrichment(spark), rerun_number=days.start,
+                  at=F.lit("2026-04-01 06:00:00").cast("timestamp_ntz"))
+    runs = store.read_table(spark, folder, store.RUNS)
+    seen = sorted((r.partition_date, r.rerun_number) for r in runs.collect())
+    assert seen == [(DAY, 0), (DAY + dt.timedelta(1), 0), (DAY + dt.timedelta(1), 1), (DAY + dt.timedelta(2), 1)]
+    spark.range(1).selectExpr("'lost' AS batch_id", "id AS run_id", "'d' AS dataset_name", "0 AS rerun_number",
+                              "timestamp_ntz'9999-12-31 23:59:59' AS expiry_date", "date'2026-03-30' AS partition_date"
+                              ).write.mode("append").partitionBy("partition_date").parquet(f"{folder}/runs")
+    assert store.read_table(spark, folder, store.RUNS).count() == 4
+
+
+def test_disabled_checks_leave_no_metrics(spark):
+    folder, m = scratch_folder(spark), monitored(spark, range(2))
+    fams = profile.default_families(m, freshness_column="source_event_timestamp", as_of=profile.per_partition_clock(30))
+    config = spark.createDataFrame(
+        [(1, "lob=retail/%", "FRESHNESS", True, 0, FOREVER)],
+        "id bigint, dataset_pattern string, check_type string, enabled boolean, explosion_level int, expiry_date timestamp_ntz")
+    daily.run(spark, m, folder, families=fams, enrichment=d.enrichment(spark), config=config,
+              at=F.lit("2026-04-01 06:00:00").cast("timestamp_ntz"))
+    kinds = {r.check_type for r in store.read_table(spark, folder, store.NUMERICS).select("check_type").distinct().collect()}
+    assert kinds <= {"FRESHNESS", "DQS_SCORE"}
+
+
 def test_daily_run_writes_the_whole_vocabulary(spark):
     from plumbline.operators import profile as p
 
@@ -186,7 +214,7 @@ def test_daily_run_writes_the_whole_vocabulary(spark):
         [(i, "lob=%", k, True, 0, FOREVER) for i, k in enumerate(checks)],
         "id bigint, dataset_pattern string, check_type string, enabled boolean, explosion_level int, expiry_date timestamp_ntz")
     lobs = spark.createDataFrame(
-        [("LOB_RETAIL", "Retail", "x", "Tier 1 Critical", FOREVER)],
+        [("LOB_CLICKS", "Clicks", "x", "Tier 1 Critical", FOREVER)],
         "lookup_code string, lob_name string, owner string, classification string, expiry_date timestamp_ntz")
     folder = scratch_folder(spark)
     fams = p.default_families(m, freshness_column="source_event_timestamp", as_of=p.per_partition_clock(30))
