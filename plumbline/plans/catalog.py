@@ -11,7 +11,7 @@ from plumbline.functions import naming
 from plumbline.operators import (
     baseline, checks, cross, json_paths, patterns, profile, reports, schema, score,
 )
-from plumbline.plans import daily_run as daily, derived as d
+from plumbline.plans import daily_run as daily, derived as d, file_run
 from plumbline.session import scratch_folder, staged
 from plumbline.sources import files, store
 
@@ -731,3 +731,59 @@ def daily_run(spark, sf):
     return runs.select(
         *c.KEYS, "check_status", F.col("dqs_score").cast("double").alias("dqs_score")
     )
+
+
+def _mixed_tree(spark, sf) -> str:
+    """Three datasets with columns of their own; ``id`` has a different type in each, and
+    the events gain a column on 2024-01-15."""
+    folder = scratch_folder(spark)
+    events = d.monitored(spark, sf).select(
+        "partition_date", F.lit("ev").alias("src_sys_nm"), F.col("event_id").alias("id"), "value", "tag",
+    )
+    late = F.col("partition_date") >= F.lit("2024-01-15").cast("date")
+    year = lambda day: F.trunc(F.col(day).cast("date"), "year").alias("partition_date")
+    orders = d.table(spark, sf, "orders").select(
+        year("o_orderdate"), F.lit("od").alias("src_sys_nm"), F.col("o_orderkey").cast("string").alias("id"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"),
+    )
+    lines = d.table(spark, sf, "lineitem").select(
+        year("l_shipdate"), F.lit("li").alias("src_sys_nm"), F.col("l_orderkey").cast("double").alias("id"), "l_quantity",
+        F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("flag"),
+    )
+    for df in (events.filter(~late).drop("tag"), events.filter(late), orders, lines):
+        df.withColumn("partition_date", F.date_format("partition_date", "yyyyMMdd")).write.mode("append").partitionBy(
+            "partition_date", "src_sys_nm"
+        ).parquet(folder)
+    return folder
+
+
+@query
+def run_mixed_schemas(spark, sf):
+    """Files of different schemas, each profiled with its own columns: rows, null rates, drift."""
+    folder = scratch_folder(spark)
+    file_run.run(spark, _mixed_tree(spark, sf), folder, enrichment=d.enrichment(spark), at=F.lit("2024-03-01 06:00:00").cast("timestamp_ntz"))
+    return store.read_table(spark, folder, store.NUMERICS).filter(
+        F.col("metric_name").isin("row_count", "added_fields_count", "removed_fields_count", "changed_fields_count")
+        & F.col("check_type").isin(c.VOLUME, c.SCHEMA) | F.col("metric_name").startswith("null_rate_pct::")
+    ).select(*c.KEYS, "check_type", "metric_name", _rounded_value("metric_value"))
+
+
+def _rounded_value(name: str) -> Column:
+    return F.round(name, 6).alias(name)
+
+
+@query
+def run_with_bad_dataset(spark, sf):
+    """The same files beside an unknown format and a broken file: the others are still run."""
+    tree, folder = _mixed_tree(spark, sf), scratch_folder(spark)
+    text = d.table(spark, sf, "nation").select(F.col("n_name").alias("value"))
+    text.write.text(f"{tree}/partition_date=20240110/src_sys_nm=notes")
+    text.coalesce(1).write.text(f"{tree}/partition_date=20240110/src_sys_nm=broken")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{tree}/partition_date=20240110/src_sys_nm=broken")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.listStatus(path):
+        if found.getPath().getName().startswith("part-"):
+            system.rename(found.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, "part-0.parquet"))
+    file_run.run(spark, tree, folder, enrichment=d.enrichment(spark), at=F.lit("2024-03-01 06:00:00").cast("timestamp_ntz"))
+    runs = store.read_table(spark, folder, store.RUNS)
+    return runs.select(*c.KEYS, (F.col("check_status") != c.NOT_RUN).alias("was_run"), "error_message")

@@ -7,7 +7,7 @@ and the stored tables read that copy.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -21,12 +21,19 @@ METRIC_COLUMNS = (*c.KEYS, "check_type", "metric_name", "metric_value")
 
 
 def judge(history: DataFrame, columns: Sequence[str], snapshots: DataFrame,
-          partitions: DataFrame, has_event_time: bool = True) -> DataFrame:
-    """Result rows of all partition checks for every date of the history."""
+          partitions: DataFrame, has_event_time: bool | DataFrame = True) -> DataFrame:
+    """Result rows of all partition checks for every date of the history.
+
+    ``has_event_time``: a flag, or the partitions whose schema has no event time.
+    """
+    timeless = [] if has_event_time is True else [
+        results.freshness_missing(partitions if has_event_time is False else has_event_time)
+    ]
     return results.union([
         results.volume(history),
         results.zero_row(history),
-        results.freshness(history) if has_event_time else results.freshness_missing(partitions),
+        *([] if has_event_time is False else [results.freshness(history)]),
+        *timeless,
         results.ops(history, columns),
         results.distribution(history, partitions),
         results.timestamp_sanity(history, partitions),
@@ -95,9 +102,46 @@ def run(
     ``config`` and ``lob_lookup`` the checks across datasets run too, over
     ``past_runs`` (active run rows) and the runs of the batch.
     """
-    keys = list(c.KEYS)
     work = scratch_folder(spark)
     measured = staged(profile.metrics(monitored, families), f"{work}/metrics")
+    judge_and_store(
+        spark, measured, folder, work,
+        snapshots_of=lambda batch: schema.snapshot_of(monitored, batch),
+        columns=[f.name for f in profile.value_columns(monitored, c.KEYS)],
+        has_event_time=any("latest_event" in f.aggregates for f in families),
+        enrichment=enrichment, at=at, history=history, schema_history=schema_history, expected=expected,
+        past_runs=past_runs, config=config, lob_lookup=lob_lookup, rerun_number=rerun_number,
+        orchestration_run_id=orchestration_run_id,
+    )
+
+
+def judge_and_store(
+    spark: SparkSession,
+    measured: DataFrame,
+    folder: str,
+    work: str,
+    *,
+    snapshots_of: Callable[[DataFrame], DataFrame],
+    columns: Sequence[str],
+    has_event_time: bool | DataFrame,
+    enrichment: DataFrame,
+    at: Column,
+    history: DataFrame | None = None,
+    schema_history: DataFrame | None = None,
+    expected: DataFrame | None = None,
+    past_runs: DataFrame | None = None,
+    config: DataFrame | None = None,
+    lob_lookup: DataFrame | None = None,
+    rerun_number: int = 0,
+    orchestration_run_id: Column | None = None,
+    not_run: DataFrame | None = None,
+) -> None:
+    """Judge the metric rows ``measured`` of a batch and store everything.
+
+    ``not_run``: partitions that could not be checked (keys and ``reason``); each gets a
+    run row without metrics.
+    """
+    keys = list(c.KEYS)
     fresh = measured
     if expected is not None:
         empty = expected.select(*keys).join(measured.select(*keys).distinct(), keys, "left_anti")
@@ -112,13 +156,11 @@ def run(
         known = staged(baseline.latest_rerun(
             both, [*keys, "check_type", "metric_name"], [F.desc("_new")]
         ).drop("_new"), f"{work}/known")
-    snapshots = schema.snapshot_of(monitored, batch)
+    snapshots = snapshots_of(batch)
     if schema_history is not None:
         snapshots = snapshots.unionByName(
             _recent(schema_history, batch, ["dataset_name"], 1).join(batch, keys, "left_anti"), allowMissingColumns=True
         )
-    columns = [f.name for f in profile.value_columns(monitored, c.KEYS)]
-    has_event_time = any("latest_event" in f.aggregates for f in families)
     checked = judge(known, columns, snapshots, batch, has_event_time).join(batch, keys, "left_semi")
     checked = staged(_enabled_only(checked, config), f"{work}/checked")
 
@@ -178,6 +220,14 @@ def run(
     texts = stored.filter(F.col("detail_value").isNotNull()).select(
         *keys, "check_type", F.col("name").alias("detail_type"), "detail_value"
     )
+    if not_run is not None:
+        absent = not_run.join(patterns.lookup(
+            not_run, "dataset_name", patterns.active(enrichment).filter(F.col("lookup_code").isNotNull()), "lookup_code",
+        ), "dataset_name", "left")
+        runs = runs.unionByName(absent.select(
+            *keys, "lookup_code", F.lit(c.NOT_RUN).alias("check_status"), F.lit(None).cast("decimal(5,2)").alias("dqs_score"),
+            number, F.lit(None).cast("bigint").alias("orchestration_run_id"), F.col("reason").alias("error_message"),
+        ))
     store.write_metrics(
         folder,
         runs.withColumns(identity),

@@ -1045,3 +1045,35 @@ oracle("daily_run", "counts stale rates enrichment", f"""
 SELECT split_part(run_id, '@', 1) AS dataset_name, CAST(split_part(run_id, '@', 2) AS DATE) AS partition_date,
   status AS check_status, ROUND(composite_score, 2) AS dqs_score
 FROM ({scored_runs(_DAILY_SCORED)})""")
+
+
+_MIXED = """
+WITH ev AS (SELECT partition_date, event_id AS id, value, tag FROM m),
+od AS (SELECT CAST(date_trunc('year', CAST(o_orderdate AS DATE)) AS DATE) AS partition_date, o_orderkey AS id,
+         CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM orders),
+li AS (SELECT CAST(date_trunc('year', CAST(l_shipdate AS DATE)) AS DATE) AS partition_date, l_orderkey AS id, l_quantity,
+         CASE WHEN l_linenumber > 1 THEN l_returnflag END AS flag FROM lineitem),
+"""
+_NULLS = " UNION ALL ".join(
+    f"SELECT 'src_sys_nm={t}' AS dataset_name, partition_date, 'OPS' AS check_type, 'null_rate_pct::{x}' AS metric_name, "
+    f"ROUND(CAST(100 AS DOUBLE) * (COUNT(*) - COUNT({x})) / COUNT(*), 6) AS metric_value FROM {t}"
+    + (" WHERE partition_date >= DATE '2024-01-15'" if x == "tag" else "") + " GROUP BY partition_date"
+    for t, names in (("ev", ("id", "value", "tag")), ("od", ("id", "price")), ("li", ("id", "l_quantity", "flag"))) for x in names
+)
+oracle("run_mixed_schemas", "m", _MIXED + f"""
+days AS (SELECT 'src_sys_nm=ev' AS dataset_name, partition_date, COUNT(*) AS n FROM ev GROUP BY 2
+  UNION ALL SELECT 'src_sys_nm=od', partition_date, COUNT(*) FROM od GROUP BY 2
+  UNION ALL SELECT 'src_sys_nm=li', partition_date, COUNT(*) FROM li GROUP BY 2),
+gained AS (SELECT MIN(partition_date) AS day FROM ev WHERE partition_date >= DATE '2024-01-15'
+  AND EXISTS (SELECT 1 FROM ev WHERE partition_date < DATE '2024-01-15'))
+SELECT * FROM ({_NULLS})
+UNION ALL SELECT dataset_name, partition_date, 'VOLUME', 'row_count', CAST(n AS DOUBLE) FROM days
+UNION ALL SELECT dataset_name, partition_date, 'SCHEMA', k || '_fields_count',
+  CASE WHEN k = 'added' AND dataset_name = 'src_sys_nm=ev' AND partition_date = (SELECT day FROM gained) THEN 1.0 ELSE 0.0 END
+FROM days, (SELECT unnest(['added', 'removed', 'changed']) AS k)""")
+oracle("run_with_bad_dataset", "m", _MIXED + """
+days AS (SELECT DISTINCT 'src_sys_nm=ev' AS dataset_name, partition_date FROM ev
+  UNION ALL SELECT DISTINCT 'src_sys_nm=od', partition_date FROM od UNION ALL SELECT DISTINCT 'src_sys_nm=li', partition_date FROM li)
+SELECT dataset_name, partition_date, TRUE AS was_run, CAST(NULL AS VARCHAR) AS error_message FROM days
+UNION ALL SELECT 'src_sys_nm=notes', DATE '2024-01-10', FALSE, 'unsupported_format'
+UNION ALL SELECT 'src_sys_nm=broken', DATE '2024-01-10', FALSE, 'execution_error'""")

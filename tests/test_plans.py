@@ -10,7 +10,8 @@ from plumbline.plans import derived as d
 from plumbline.plans.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITING = {"src_file_inventory", "src_format_detect", "src_parquet_partitioned", "store_rerun_roundtrip", "daily_run"}
+WRITING = {"src_file_inventory", "src_format_detect", "src_parquet_partitioned", "store_rerun_roundtrip", "daily_run",
+           "store_rerun_partial", "run_mixed_schemas", "run_with_bad_dataset"}
 
 
 def plan(df) -> str:
@@ -22,7 +23,7 @@ def test_no_nested_loops_and_no_row_python(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
     # only the walk over one type string per dataset runs in Python
-    allowed = 1 if name in ("json_nested_paths",) else 2 if name == "json_top_level_paths" else 0
+    allowed = 2 if name in ("json_nested_paths", "json_top_level_paths") else 0
     assert len(re.findall("BatchEvalPython|ArrowEvalPython|MapInPandas", text)) <= allowed
 
 
