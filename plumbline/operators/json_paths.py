@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import named
+from plumbline.operators import profile
 
 OFF, TOP_LEVEL, ALL = 0, 1, 2
 
@@ -103,20 +104,30 @@ def leaf_sources(column: str, paths: Sequence[Sequence[str]]) -> list[tuple[str,
     return [(".".join([column, *p]), leaf_value(column, p)) for p in paths]
 
 
-def known_paths(df: DataFrame, columns: Sequence[str], level: int) -> dict[str, list[list[str]]]:
-    """Leaf paths per JSON column as plain lists, to build expressions from.
+def leaf_stats(df: DataFrame, columns: Sequence[str], levels: DataFrame | None = None) -> DataFrame:
+    """Statistics per (dataset, date) of the JSON leaves that are numeric in that dataset.
 
-    This reads metadata like ``df.schema`` does: the result grows with the
-    number of distinct JSON keys, not with the rows.
+    ``levels``: (dataset_name, explosion_level) by dataset, all leaves without.  A path
+    that is numeric in one dataset and text or absent in another gives rows for the
+    first only.  The different paths are read while the query is built, to make
+    expressions of them: they grow with the distinct JSON keys, not with the rows.
     """
-    if level == OFF:
-        return {x: [] for x in columns}
-    shapes = df.agg(
-        *(F.schema_of_variant_agg(F.try_parse_json(named(x))).alias(x) for x in columns)
-    ).first()
-    return {
-        x: [p for p in numeric_leaves(shapes[x]) if level == ALL or len(p) == 1] for x in columns
-    }
+    found = [numeric_paths(df, x).withColumn("column", F.lit(x)) for x in columns]
+    paths = found[0]
+    for other in found[1:]:
+        paths = paths.unionByName(other)
+    if levels is not None:
+        level = F.coalesce("explosion_level", F.lit(OFF))
+        paths = paths.join(levels, "dataset_name").filter(
+            (level == ALL) | (level == TOP_LEVEL) & (F.size("key_path") == 1)
+        )
+    listed = paths.select("column", "key_path").distinct().collect()
+    sources = [x for row in listed for x in leaf_sources(row["column"], [row["key_path"]])]
+    if not sources:
+        sources = leaf_sources(columns[0], [[""]])
+    return profile.column_stats(df, columns=[], sources=sources).join(
+        paths.select("dataset_name", "column_path"), ["dataset_name", "column_path"], "left_semi"
+    )
 
 
 def effective_level(level: Column) -> Column:

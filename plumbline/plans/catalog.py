@@ -149,9 +149,15 @@ def json_nested_paths(spark, sf):
 @query
 def chk_dist_json(spark, sf):
     m = d.monitored_json(spark, sf)
-    paths = json_paths.known_paths(m, ["event_attribute", "props"], json_paths.ALL)
-    sources = [x for column in paths for x in json_paths.leaf_sources(column, paths[column])]
-    return _rounded(profile.column_stats(m, columns=[], sources=sources), "mean", "stddev")
+    return _rounded(json_paths.leaf_stats(m, ["event_attribute", "props"]), "mean", "stddev")
+
+
+@query
+def chk_dist_json_levels(spark, sf):
+    """Statistics of the JSON leaves that each dataset's configured level asks for."""
+    m = d.monitored_json(spark, sf)
+    levels = patterns.explosion_levels(m.select("dataset_name").distinct(), d.check_config(spark))
+    return _rounded(json_paths.leaf_stats(m, ["event_attribute", "props"], levels), "mean", "stddev")
 
 
 def _ts_counts(spark, sf):

@@ -59,8 +59,9 @@ def monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN event_type = 'view' AND event_id % 8 = 0 THEN ts - INTERVAL '4000' DAY"
         " ELSE ts END AS event_ts",
         "IF(event_id % 5 = 0, 'junk', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) AS source_event_timestamp",
-        """format_string('{"amount": %s, "details": {"price": %s, "code": "X"}}',"""
-        " event_id % 100, event_id % 17) AS event_attribute",
+        # keys differ by dataset, and the price is text in one of them
+        """concat('{"', IF(event_type = 'click', 'clicks', 'amount'), '": ', event_id % 100, ', "details": {"price": ',"""
+        """ IF(event_type = 'error', '"none"', CAST(event_id % 17 AS STRING)), ', "code": "X"}}') AS event_attribute""",
         "props",
     )
 
@@ -298,6 +299,8 @@ CHECK_CONFIG = [
     (14, "lob=furniture/%", c.FRESHNESS, True, 0, _ENDED),
     (15, "lob=furniture/%", c.VOLUME, False, 0, None),
     (16, "%", c.LINEAGE, False, 0, None),
+    (17, "lob=retail/%", c.DISTRIBUTION, True, 1, None),
+    (18, "lob=commercial/%", c.DISTRIBUTION, True, 2, None),
 ]
 
 ENRICHMENT = [

@@ -47,8 +47,9 @@ SELECT event_id, user_id, ts,
        ELSE ts END AS event_ts,
   CASE WHEN event_id % 5 = 0 THEN 'junk' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END
     AS source_event_timestamp,
-  '{"amount": ' || CAST(event_id % 100 AS VARCHAR) || ', "details": {"price": '
-    || CAST(event_id % 17 AS VARCHAR) || ', "code": "X"}}' AS event_attribute,
+  '{"' || CASE event_type WHEN 'click' THEN 'clicks' ELSE 'amount' END || '": ' || CAST(event_id % 100 AS VARCHAR)
+    || ', "details": {"price": ' || CASE event_type WHEN 'error' THEN '"none"' ELSE CAST(event_id % 17 AS VARCHAR) END
+    || ', "code": "X"}}' AS event_attribute,
   props
 FROM events"""
 
@@ -440,17 +441,25 @@ SELECT dataset_name, path AS column_path FROM walk GROUP BY 1, 2
 HAVING bool_and(json_type(j) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'NULL'))
    AND bool_or(json_type(j) <> 'NULL')""")
 
-oracle("chk_dist_json", "m", f"""
+_JSON_VALUES = """
+SELECT dataset_name, partition_date, 'event_attribute.amount' AS column_path, 1 AS depth,
+  TRY_CAST(json_extract_string(event_attribute, '$.amount') AS DOUBLE) AS v
+FROM m WHERE dataset_name NOT LIKE '%dataset=click'
+UNION ALL SELECT dataset_name, partition_date, 'event_attribute.clicks', 1,
+  TRY_CAST(json_extract_string(event_attribute, '$.clicks') AS DOUBLE) FROM m WHERE dataset_name LIKE '%dataset=click'
+UNION ALL SELECT dataset_name, partition_date, 'event_attribute.details.price', 2,
+  TRY_CAST(json_extract_string(event_attribute, '$.details.price') AS DOUBLE) FROM m WHERE dataset_name NOT LIKE '%dataset=error'
+UNION ALL SELECT dataset_name, partition_date, 'props.k', 1,
+  TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM m"""
+for _name, _wanted in (
+    ("chk_dist_json", "TRUE"),
+    ("chk_dist_json_levels", "(dataset_name LIKE 'lob=commercial/%' OR dataset_name LIKE 'lob=retail/%' AND depth = 1)"),
+):
+    oracle(_name, "m", f"""
 SELECT dataset_name, partition_date, column_path, {near('COALESCE(AVG(v), 0)')} AS mean,
   {near('COALESCE(STDDEV_POP(v), 0)')} AS stddev, COALESCE(QUANTILE_DISC(v, 0.5), 0) AS p50,
   COALESCE(QUANTILE_DISC(v, 0.95), 0) AS p95, COUNT(v) AS sample_count
-FROM (SELECT dataset_name, partition_date, 'event_attribute.amount' AS column_path,
-        TRY_CAST(json_extract_string(event_attribute, '$.amount') AS DOUBLE) AS v FROM m
-      UNION ALL SELECT dataset_name, partition_date, 'event_attribute.details.price',
-        TRY_CAST(json_extract_string(event_attribute, '$.details.price') AS DOUBLE) FROM m
-      UNION ALL SELECT dataset_name, partition_date, 'props.k',
-        TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM m)
-GROUP BY 1, 2, 3""")
+FROM ({_JSON_VALUES}) WHERE {_wanted} GROUP BY 1, 2, 3""")
 
 _TS_STATUS = """
 CASE WHEN future_pct > CAST(0.05 AS DOUBLE) OR stale_pct > CAST(0.05 AS DOUBLE) THEN 'FAIL' ELSE 'PASS' END"""

@@ -23,7 +23,8 @@ def test_no_nested_loops_and_no_row_python(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
     # only the walk over one type string per dataset runs in Python
-    allowed = 2 if name in ("json_nested_paths", "json_top_level_paths") else 0
+    walks = ("json_nested_paths", "json_top_level_paths", "chk_dist_json", "chk_dist_json_levels")
+    allowed = 2 if name in walks else 0
     assert len(re.findall("BatchEvalPython|ArrowEvalPython|MapInPandas", text)) <= allowed
 
 
