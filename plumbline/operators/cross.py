@@ -151,18 +151,13 @@ def lineage(runs: DataFrame) -> DataFrame:
     Everything minus the own source: two groupings instead of a pairing.
     """
     daily = _daily(runs)
-    own = (
-        daily.filter(F.col("score_count") > 0)
-        .groupBy(F.col("src_group").alias("src_sys_nm"), DAY)
-        .agg(F.count(F.lit(1)).alias("_own_n"), F.count_if("failing").alias("_own_bad"))
+    scored = F.col("score_count") > 0
+    own = daily.groupBy(F.col("src_group").alias("src_sys_nm"), DAY).agg(
+        F.count_if(scored).alias("_own_n"), F.count_if(scored & F.col("failing")).alias("_own_bad")
     )
-    # totals come from the few rows per source, not from the datasets again
+    # totals come from the few rows per source and meet them there: no join of datasets on the day alone
     total = own.groupBy(DAY).agg(F.sum("_own_n").alias("_n"), F.sum("_own_bad").alias("_bad"))
-    joined = (
-        daily.select(DATASET, DAY, "src_sys_nm")
-        .join(total, DAY, "left")
-        .join(own, ["src_sys_nm", DAY], "left")
-    )
+    joined = daily.select(DATASET, DAY, "src_sys_nm").join(own.join(total, DAY), ["src_sys_nm", DAY], "left")
     less = lambda whole, part: F.coalesce(whole, F.lit(0)) - F.coalesce(part, F.lit(0))
     known = F.col("src_sys_nm").isNotNull()
     upstream = less("_n", "_own_n")

@@ -229,7 +229,8 @@ def dataset_detail(runs: DataFrame, numerics: DataFrame, details: DataFrame,
     formats = details.filter(
         (F.col("check_type") == c.SCHEMA) & (F.col("detail_type") == "eventAttribute_format")
     ).groupBy("run_id").agg(F.min_by("detail_value", "detail_id").alias("_format"))
-    parents = orchestration.select("orchestration_run_id", "parent_path")
+    # runs without an orchestration get a key of their own each, not one for all
+    parents = orchestration.select(F.col("orchestration_run_id").alias("_parent"), F.lit(False).alias("_alone"), "parent_path")
     previous = previous_row_count(
         runs if run_ids is None
         else runs.join(wanted.select("dataset_name").distinct(), "dataset_name", "left_semi"),
@@ -239,7 +240,11 @@ def dataset_detail(runs: DataFrame, numerics: DataFrame, details: DataFrame,
         wanted.join(_row_counts(numerics), "run_id", "left")
         .join(formats, "run_id", "left")
         .join(previous, "dataset_name", "left")
-        .join(parents, "orchestration_run_id", "left")
+        .withColumns({
+            "_parent": F.coalesce("orchestration_run_id", F.col("run_id").cast("bigint")),
+            "_alone": F.col("orchestration_run_id").isNull(),
+        })
+        .join(parents, ["_parent", "_alone"], "left")
     )
     name, day = F.col("dataset_name"), F.col("partition_date")
     return resolve_lob(joined, lob_lookup).select(
