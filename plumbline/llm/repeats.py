@@ -18,7 +18,7 @@ down and dealt out first, without losing a repeat:
    the offset range and by what the windows of a half have in common, until the parts are
    small; a part of one window has one text.  So no group is gathered in one task whole.
 
-Digests have 128 bits.  The external memory of the method is Spark's: sorted runs and
+Texts meet their regions and spans by shuffles, at every size.  Digests have 128 bits.  The external memory of the method is Spark's: sorted runs and
 merges are its shuffles, which spill to disk, in place of priority queues on disk.
 
 Null texts are empty; texts shorter than ``length`` keep all bytes; a repeated row is a
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _EXACT, Scratch, byte_codes, join_checked, mix, prefix_hashes, slices, span_hashes, text_or_empty
+from plumbline.llm.common import _EXACT, Scratch, byte_codes, mix, prefix_hashes, slices, span_hashes, text_or_empty
 from plumbline.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
@@ -134,7 +134,7 @@ def occurrences(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("k1", "k2", "text").mapInArrow(run, f"k1 bigint, k2 bigint, {_REGION}")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, count: int, length: int) -> DataFrame:
+def _texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The text of each wanted region (k1, k2, grp, d1, d2, low, high, base)."""
     listed = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("grp", "d1", "d2", "low", "high", "base")).alias("of"))
 
@@ -153,7 +153,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, count: int, length: int) -> DataF
                 [*[flat.field(k) for k in range(5)], pa.array(cut, pa.binary())], names=["grp", "d1", "d2", "low", "high", "text"]
             )
 
-    joined = join_checked(rows.select("k1", "k2", "text"), listed, ["k1", "k2"], "inner", count * 4)
+    joined = rows.select("k1", "k2", "text").join(listed, ["k1", "k2"])
     return joined.select("text", "of").mapInArrow(run, "grp bigint, d1 bigint, d2 bigint, low int, high int, text binary")
 
 
@@ -244,8 +244,7 @@ def covered(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     whole = every.join(kinds.filter("many").select("grp", "d1", "d2"), ["grp", "d1", "d2"], "left_semi")
     found = [whole.select("k1", "k2", (F.col("base") - F.col("high")).alias("start"), (F.col("base") - F.col("low") + length).alias("end"))]
     mixed = scratch.keep(kinds.filter("kinds > 1").select("grp", "d1", "d2", "n", "kinds", "at.*"))
-    count = mixed.count()
-    texts = _texts(rows, mixed.drop("n", "kinds"), count, length)
+    texts = _texts(rows, mixed.drop("n", "kinds"), length)
     parts = texts.select("grp", F.lit(0).cast("bigint").alias("e1"), F.lit(0).cast("bigint").alias("e2"), "d1", "d2", "low", "high", "text")
     parts = scratch.keep(parts.join(mixed.groupBy("grp").agg(F.max("kinds").alias("kinds")), "grp"))
     runs, level = [], 0
@@ -305,6 +304,6 @@ def remove(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
             arrays = [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, counts)], pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = join_checked(rows, spans, ["k1", "k2"], "left", 8 * spans.count()).select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     out = joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
