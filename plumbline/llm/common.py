@@ -17,7 +17,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: of a few numbers each (some 8 MB); beyond that the join shuffles both sides.
 BROADCAST_ROWS = 400_000
 #: Text is handled in slices of about this many bytes, so that temporary arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

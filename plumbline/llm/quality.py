@@ -137,7 +137,7 @@ def _lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], 1)
-            for first, data, offsets in slices(batch.column(0), 8 << 20):
+            for first, data, offsets in slices(batch.column(0), 2 << 20):
                 starts, ends, rows = word_spans(data, offsets)
                 terms = np.concatenate(_terms(data, starts, ends))
                 order = np.lexsort((terms, np.tile(rows, 3)))
