@@ -52,7 +52,7 @@ CHUNK = 1 << 17
 LEVELS, MAP = 6, 33
 GATES = LEVELS * LEVELS
 RATE = 0.5
-SCORE_BYTES = 3 << 19
+SCORE_BYTES = 3 << 18
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -222,7 +222,7 @@ def context_tables(rows: DataFrame, code: Code) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(total * 2, np.float32)
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0), 4 << 20):
+            for _, data, offsets in slices(batch.column(0), 1 << 20):
                 t = Tokens(data, offsets)
                 b = Bits(t, code)
                 times = np.repeat(np.bincount(t.which, minlength=len(t.hashes)), b.size).astype(np.float32)
@@ -232,15 +232,14 @@ def context_tables(rows: DataFrame, code: Code) -> np.ndarray:
                 slot = _word_slots(np.repeat(t.before, b.opening[t.which]), b.node[at])
                 np.add.at(counts, slot * 2 + b.bit[at], np.float32(1))
         counts = counts.reshape(-1, 2)
-        some = np.flatnonzero(counts.any(1))
-        small = _bounded(counts[some])
-        chunk = some // CHUNK
-        for k in np.unique(chunk).tolist():
-            lo, hi = np.searchsorted(chunk, [k, k + 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([(some[lo:hi] % CHUNK).astype(np.uint32).tobytes()]), pa.array([small[lo:hi].tobytes()])],
-                names=["chunk", "slots", "counts"],
-            )
+        for k in range(0, len(counts), CHUNK):
+            some = np.flatnonzero(counts[k:k + CHUNK].any(1))
+            if len(some):
+                small = _bounded(counts[k:k + CHUNK][some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k // CHUNK], pa.int32()), pa.array([some.astype(np.uint32).tobytes()]), pa.array([small.tobytes()])],
+                    names=["chunk", "slots", "counts"],
+                )
 
     def merge(group: pa.Table) -> pa.Table:
         counts = np.zeros((CHUNK, 2), np.float32)
