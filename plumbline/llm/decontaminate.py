@@ -5,20 +5,21 @@ nothing else.  Numbers, names (a capital and small letters right after a word) a
 after a number turn into typed placeholders; other tokens are lower-cased.  A question
 whose numbers, names or units were changed keeps its template.
 
-1. All windows of WINDOW template tokens of the benchmark are hashed.  Documents give a
-   window at every ``step``-th token; the step is chosen from the shortest item such that
-   any run as long as 80 % of an item holds a whole window.  A hash join gives (document,
-   item, shift).
+1. An item of n tokens of which SHARE match at one shift leaves room for n // 5 misses, so
+   its longest unbroken run has at least ``width`` tokens (``_widths``: 4, less for some
+   items of up to 15 tokens).  All windows of that width, of the benchmark and at every
+   token of the documents, are hashed and joined: (document, item, shift).
 2. For these alone the two token sequences are laid over each other at the shift.  A
    position matches if the template tokens agree; placeholders match only if the slots are
    consistent: equal benchmark values stand for equal values in the document.  A document
    is contaminated by an item if SHARE of the item's positions match (over all its shifts
    that match at least WEAK of them).
 
-Scale: only hashes leave the first pass; texts of candidates alone are read again.  Sides
-are broadcast only after counting.  All expressions run in the JVM.
+Scale: only hits leave the first pass; texts of candidates alone are read again, and of them
+only stretches as long as the item are kept.  Sides are broadcast only after counting.  All
+expressions run in the JVM.
 
-Items with fewer than WINDOW tokens use shorter windows for all.  Null or empty texts and
+Null or empty texts and
 items match nothing; an empty benchmark gives no rows; repeated rows are one document if
 they share doc_id; rows without a doc_id are not reported.  Other columns are ignored.
 """
@@ -30,9 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import BROADCAST_ROWS, Scratch, join_checked, text_or_empty
 
-WINDOW = 6
 SHARE, WEAK = 0.8, 0.3
-LEAST_WORDS = 3
 NUMBER, NAME, UNIT = "", "", ""
 UNITS = (
     "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "l", "ml", "mph", "kmh", "km/h", "ft", "in", "yd",
@@ -66,17 +65,33 @@ def surface(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{_NUMBER}|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def _windows(tokens: str, width: int, step: int) -> Column:
-    """Array of (pos, hash) of the windows that start at each step-th token."""
-    count = f"greatest(0, (size({tokens}) - {width}) div {step} + 1)"
-    return F.expr(
-        f"if(size({tokens}) < {width}, cast(array() as array<struct<pos:int,hash:bigint>>), "
-        f"transform(sequence(0, {count} - 1), i -> named_struct('pos', i * {step}, 'hash', xxhash64(slice({tokens}, i * {step} + 1, {width})))))"
-    )
+def _misses(n: str) -> str:
+    """How many of n positions may differ; the small number is for rounding."""
+    return f"cast(floor({n} * {1 - SHARE} + 1e-6) as int)"
+
+
+def _widths(n: str) -> Column:
+    """The run of matches that misses cannot prevent."""
+    return F.expr(f"cast(ceil(({n} - {_misses(n)}) / ({_misses(n)} + 1)) as int)")
+
+
+def _windows(df: DataFrame, tokens: str, widths: list[int], *keys: str) -> DataFrame:
+    """Keys, pos and (width, hash) of the windows that start at each token."""
+    df = df.select(*keys, F.transform(tokens, lambda t: F.xxhash64(t)).alias("__h")).filter(F.size("__h") > 0)
+    df = df.select(*keys, "__h", F.explode(F.sequence(F.lit(0), F.size("__h") - 1)).alias("pos"))
 
+    def window(width: int) -> Column:
+        hashed = F.xxhash64(F.lit(width), *(F.get("__h", F.col("pos") + k) for k in range(width)))
+        return F.when(F.col("pos") + width <= F.size("__h"), hashed)
 
-def _literal(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
+    if len(widths) == 1:
+        return df.select(*keys, "pos", F.lit(widths[0]).alias("width"), window(widths[0]).alias("hash"))
+    kinds = F.array(*(F.struct(F.lit(w).alias("width"), window(w).alias("hash")) for w in widths))
+    return df.select(*keys, "pos", F.inline(kinds))
+
+
+def _is_slot(token: Column) -> Column:
+    return token.isin(NUMBER, NAME, UNIT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -85,44 +100,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     items = benchmark.select(F.col(item).alias("item_id"), text_or_empty(text).alias("text")).select(
         "item_id", template(F.col("text")).alias("item_template"), surface(F.col("text")).alias("item_surface")
     )
-    items = scratch.keep(items.filter(F.size("item_template") > 0))
-    least, n_items = items.agg(F.min(F.size("item_template")), F.count("*")).first()
-    width = min(WINDOW, least or WINDOW)
-    step = max(1, int(SHARE * (least or width)) - width + 1)
-    sought = items.select("item_id", F.inline(_windows("item_template", width, 1)), "item_template")
-    sought = sought.filter(_literal(F.slice("item_template", F.col("pos") + 1, F.lit(width))) >= min(LEAST_WORDS, width))
-    sought = scratch.keep(sought.select("hash", "item_id", F.col("pos").alias("at")))
-    seen = docs.select(F.col(key).alias("doc_id"), template(text_or_empty(text)).alias("tokens"))
-    seen = seen.select("doc_id", F.inline(_windows("tokens", width, step)))
+    items = items.withColumn("item_tokens", F.size("item_template")).filter("item_tokens > 0")
+    items = scratch.keep(items.withColumn("item_width", _widths("item_tokens")))
+    n_items = items.count()
+    widths = sorted(r.item_width for r in items.select("item_width").distinct().collect()) or [1]
+    sought = _windows(items, "item_template", widths, "item_id", "item_tokens", "item_width").filter("width = item_width and hash is not null")
+    sought = scratch.keep(sought.select("hash", "item_id", "item_tokens", F.col("pos").alias("at")))
+    seen = docs.select(F.col(key).alias("doc_id"), template(text_or_empty(text)).alias("tokens")).filter("doc_id is not null")
+    seen = _windows(seen, "tokens", widths, "doc_id").drop("width")
     found = join_checked(seen, sought, "hash", "inner", sought.count()).select(
-        "doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")
+        "doc_id", "item_id", "item_tokens", (F.col("pos") - F.col("at")).alias("shift")
     )
-    found = scratch.keep(found.filter("doc_id is not null").distinct())
-    shifts = scratch.keep(found.groupBy("doc_id").agg(F.count("*").alias("n")))
-    texts = join_checked(docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text")), shifts, "doc_id", "inner", shifts.count())
+    found = scratch.keep(found.distinct())
+    shifts = scratch.keep(found.select("doc_id").distinct())
+    texts = join_checked(docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text")), shifts, "doc_id", "left_semi", shifts.count())
     texts = texts.select("doc_id", template(F.col("text")).alias("tokens"), surface(F.col("text")).alias("words"))
-    pairs = texts.join(found, "doc_id")
+    pairs = join_checked(texts, found, "doc_id", "inner", found.count())
+    # only the stretch under the item goes on
+    pairs = pairs.withColumn("from", F.greatest(F.lit(0), -F.col("shift")))
+    part = lambda name: F.slice(name, F.col("shift") + F.col("from") + 1, F.col("item_tokens") - F.col("from"))
+    pairs = pairs.select("doc_id", "item_id", "shift", "from", part("tokens").alias("tokens"), part("words").alias("words"))
     pairs = join_checked(pairs, items, "item_id", "inner", n_items * 64)
     # lay the item over the document: both cut to the overlap
-    pairs = pairs.withColumn("from", F.greatest(F.lit(0), -F.col("shift")))
-    pairs = pairs.withColumn("len", F.greatest(F.lit(0), F.least(
-        F.size("item_template") - F.col("from"), F.size("tokens") - F.col("shift") - F.col("from")
-    )))
-    over = lambda name, start: F.slice(name, start + 1, F.col("len"))
+    over = lambda name: F.slice(name, F.col("from") + 1, F.size("tokens"))
     laid = F.arrays_zip(
-        over("tokens", F.col("shift") + F.col("from")).alias("t"), over("words", F.col("shift") + F.col("from")).alias("w"),
-        over("item_template", F.col("from")).alias("u"), over("item_surface", F.col("from")).alias("v"),
-        F.sequence(F.col("from"), F.col("from") + F.greatest(F.col("len") - 1, F.lit(0))).alias("at"),
+        F.col("tokens").alias("t"), F.col("words").alias("w"), over("item_template").alias("u"), over("item_surface").alias("v"),
+        F.sequence(F.col("from"), F.col("from") + F.size("tokens") - 1).alias("at"),
     )
-    pairs = pairs.filter("len > 0").select(
-        "doc_id", "item_id", F.size("item_template").alias("item_tokens"), F.filter(laid, lambda x: x["t"] == x["u"]).alias("same")
+    pairs = pairs.filter(F.size("tokens") > 0).select(
+        "doc_id", "item_id", "item_tokens", F.filter(laid, lambda x: x["t"] == x["u"]).alias("same")
     ).filter(F.size("same") >= WEAK * F.col("item_tokens"))
-    slots = F.filter("same", lambda x: x["t"].isin(NUMBER, NAME, UNIT))
+    slots = F.filter("same", lambda x: _is_slot(x["t"]))
     pairs = pairs.withColumn("slots", slots)
     consistent = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x["v"])))) == F.size(
         F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x["v"], x["w"])))
     )
-    good = F.when(consistent, F.col("same")).otherwise(F.filter("same", lambda x: ~x["t"].isin(NUMBER, NAME, UNIT)))
+    good = F.when(consistent, F.col("same")).otherwise(F.filter("same", lambda x: ~_is_slot(x["t"])))
     pairs = pairs.select(
         "doc_id", "item_id", "item_tokens", F.transform(good, lambda x: x["at"]).alias("at"),
         F.size(F.filter(good, lambda x: x["v"] == x["w"])).alias("equal"),

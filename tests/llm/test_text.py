@@ -141,6 +141,38 @@ def test_templates_catch_changed_questions(spark, awkward, nothing):
     assert decontaminate.keep_clean(awkward, bench).count() == awkward.count()
 
 
+def _planted(items, kind, step=1):
+    """(doc_id, text, item) with each item, changed by ``kind``, after 0 to 11 words of prose."""
+    return [(1000 * k + d, f"{prose(d, d)} {kind(x)} {prose(99 - d, 9)}", k) for k, x in enumerate(items) for d in range(0, 12, step)]
+
+
+def _found(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string"), bench).collect()
+    return {(r.doc_id, r.item_id): r for r in got}
+
+
+def _plain(seed, count):
+    return [chr(97 + seed) + chr(97 + k // 26) + chr(97 + k % 26) for k in range(count)]
+
+
+@pytest.mark.parametrize("sizes", [[4, 5, 9, 10], [15, 16, 20, 25, 40]])
+def test_scattered_changes_are_found_at_every_offset(spark, sizes):
+    items = [" ".join(_plain(k, n)) for k, n in enumerate(sizes)]
+
+    def spread(x):  # as many changes as 80 % allows, evenly, so that runs are shortest
+        words = x.split()
+        misses = len(words) // 5
+        for j in range(misses):
+            words[(j + 1) * len(words) // (misses + 1) - (j > misses // 2)] = f"zz{'q' * (j + 1)}"
+        return " ".join(words)
+
+    docs = _planted(items, spread)
+    got = _found(spark, items, docs)
+    assert {(d, k) for d, _, k in docs} == set(got)
+    assert all(r.matched == sizes[k] - sizes[k] // 5 for (_, k), r in got.items())
+
+
 def test_surrogates_keep_type_and_identity(spark, awkward, nothing):
     text = "Mrs. Jane Smith (jane.s@mail.example.com) and Mr Brown, +1 (743) 555-3824, 10.20.30.40, 4111 1111 1111 1111, 123-45-6789, token = \"0a1b2c3d4e5f60718293\""
     docs = spark.createDataFrame([(1, text), (2, f"again {text}"), (3, None), (4, "version 3."), (5, "x" * 9000 + "1")], "doc_id bigint, text string")
