@@ -11,9 +11,14 @@ whose numbers, names or units were changed keeps its template.
    token of the documents, are hashed and joined: (document, item, shift).
 2. For these alone the two token sequences are laid over each other at the shift.  A
    position matches if the template tokens agree; placeholders match only if the slots are
-   consistent: equal benchmark values stand for equal values in the document.  A document
-   is contaminated by an item if SHARE of the item's positions match (over all its shifts
-   that match at least WEAK of them).
+   consistent: equal benchmark values stand for equal values in the document (if
+   not all are, those inside runs of ``width`` are tried, as other positions match by chance
+   behind an inserted or dropped word).
+3. The matches of all shifts found are united, without a floor per shift: those of shifts
+   that differ by up to a fifth of the item, or NEAR (a place), and from anywhere those that
+   match at least FAR of the item.  Short chance matches spread over a long document
+   therefore do not add up.  A document is contaminated by an item if SHARE of the item's positions match.  A piece
+   shorter than ``width`` that stands at a shift of its own is not found.
 
 Scale: only hits leave the first pass; texts of candidates alone are read again, and of them
 only stretches as long as the item are kept.  Sides are broadcast only after counting.  All
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import BROADCAST_ROWS, Scratch, join_checked, text_or_empty
 
-SHARE, WEAK = 0.8, 0.3
+SHARE = 0.8
+#: Shifts that differ by so much are always one place; those that match FAR of the item count wherever they stand.
+NEAR, FAR = 4, 0.3
 NUMBER, NAME, UNIT = "", "", ""
 UNITS = (
     "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "l", "ml", "mph", "kmh", "km/h", "ft", "in", "yd",
@@ -94,6 +101,12 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
+def _runs(at: Column, width: Column) -> Column:
+    """Those of the sorted positions that lie in runs of ``width``."""
+    starts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + width - 1) == x + width - 1, F.lit(False)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda x: F.sequence(x, x + width - 1))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """(doc_id, item_id, matched, item_tokens, verbatim) of contaminated documents."""
     scratch = Scratch(docs.sparkSession)
@@ -128,22 +141,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
         F.sequence(F.col("from"), F.col("from") + F.size("tokens") - 1).alias("at"),
     )
     pairs = pairs.filter(F.size("tokens") > 0).select(
-        "doc_id", "item_id", "item_tokens", F.filter(laid, lambda x: x["t"] == x["u"]).alias("same")
-    ).filter(F.size("same") >= WEAK * F.col("item_tokens"))
-    slots = F.filter("same", lambda x: _is_slot(x["t"]))
-    pairs = pairs.withColumn("slots", slots)
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x["v"])))) == F.size(
-        F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x["v"], x["w"])))
+        "doc_id", "item_id", "item_tokens", "item_width", "shift", F.filter(laid, lambda x: x["t"] == x["u"]).alias("same")
     )
-    good = F.when(consistent, F.col("same")).otherwise(F.filter("same", lambda x: ~_is_slot(x["t"])))
+    pairs = pairs.withColumn("runs", _runs(F.transform("same", lambda x: x["at"]), F.col("item_width")))
+    pairs = pairs.withColumn("inner", F.filter("same", lambda x: ~_is_slot(x["t"]) | F.array_contains("runs", x["at"])))
+
+    def consistent(matches: str) -> Column:
+        slots = F.filter(matches, lambda x: _is_slot(x["t"]))
+        return F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["t"], x["v"])))) == F.size(
+            F.array_distinct(F.transform(slots, lambda x: F.struct(x["t"], x["v"], x["w"])))
+        )
+
+    literal = F.filter("same", lambda x: ~_is_slot(x["t"]))
+    pairs = pairs.withColumn("good", F.when(consistent("same"), F.col("same")).when(consistent("inner"), F.col("inner")).otherwise(literal))
+    of = ["doc_id", "item_id", "item_tokens"]
     pairs = pairs.select(
-        "doc_id", "item_id", "item_tokens", F.transform(good, lambda x: x["at"]).alias("at"),
-        F.size(F.filter(good, lambda x: x["v"] == x["w"])).alias("equal"),
+        *of, "shift", F.transform("good", lambda x: x["at"]).alias("at"),
+        F.transform(F.filter("good", lambda x: ~_is_slot(x["t"])), lambda x: x["at"]).alias("literal"),
+        F.transform(F.filter("good", lambda x: x["v"] == x["w"]), lambda x: x["at"]).alias("same_text"),
+        F.size(F.filter("good", lambda x: x["v"] == x["w"])).alias("equal"),
+    ).withColumn("far", F.when(F.size("at") >= FAR * F.col("item_tokens"), F.col("at")).otherwise(F.array().cast("array<int>")))
+    # two rows of places, half a place apart: shifts that differ by up to ``near`` share one
+    near = f"greatest({NEAR}, {_misses('item_tokens')})"
+    places = F.expr(f"array(floor(shift / (2 * {near})) * 2, floor((shift + {near}) / (2 * {near})) * 2 + 1)")
+    united = lambda name: F.array_distinct(F.flatten(F.collect_set(name))).alias(name)
+    pairs = pairs.select("*", F.explode(places).alias("place")).groupBy(*of, "place").agg(
+        united("at"), united("far"), united("same_text"), F.max(F.size("literal")).alias("literal"), F.max("equal").alias("equal")
     )
-    union = pairs.groupBy("doc_id", "item_id", "item_tokens").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("matched"), F.max("equal").alias("equal")
+    union = pairs.groupBy(*of).agg(
+        F.collect_set("at").alias("places"), united("far"), united("same_text"), F.max("literal").alias("literal"), F.max("equal").alias("equal")
     )
-    return union.filter(F.col("matched") >= SHARE * F.col("item_tokens")).select(
+    best = F.array_max(F.transform("places", lambda at: F.size(F.array_union(at, F.col("far")))))
+    return union.withColumn("matched", best).filter(F.col("matched") >= SHARE * F.col("item_tokens")).select(
         "doc_id", "item_id", "matched", "item_tokens", (F.col("equal") == F.col("item_tokens")).alias("verbatim")
     )
 

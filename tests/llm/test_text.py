@@ -173,6 +173,31 @@ def test_scattered_changes_are_found_at_every_offset(spark, sizes):
     assert all(r.matched == sizes[k] - sizes[k] // 5 for (_, k), r in got.items())
 
 
+def test_inserted_and_dropped_words_are_found_at_every_offset(spark):
+    sizes = [15, 20, 28, 40]
+    items = [" ".join(_plain(k, n)) for k, n in enumerate(sizes)]
+    for parts in (2, 4, 5):  # one, three and four insertions, so that each shift matches little
+
+        def cut(x, parts=parts):
+            words = x.split()
+            if len(words) < 4 * parts:
+                parts = len(words) // 4
+            ends = [len(words) * k // parts for k in range(parts + 1)]
+            return " zzq ".join(" ".join(words[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+
+        docs = _planted(items, cut, 3)
+        got = _found(spark, items, docs)
+        assert {(d, k): sizes[k] for d, _, k in docs} == {x: r.matched for x, r in got.items()}
+    docs = _planted(items, lambda x: " ".join(w for j, w in enumerate(x.split()) if j % 10 != 5), 3)
+    assert {(d, k) for d, _, k in docs} == set(_found(spark, items, docs))
+    numbers = ["buy 5 kg and 3 lb or 7 kg for 20 euros and then sell 9 kg for 80 euros at noon"]
+    docs = _planted(numbers, lambda x: x.replace("for 20", "just for 21").replace("9 kg", "all 4 kg"), 3)
+    assert {(d, k) for d, _, k in docs} == set(_found(spark, numbers, docs))
+    words = items[3].split()
+    pieces = " ".join(" ".join(words[j:j + 4]) + " " + prose(j, 90) for j in range(0, 40, 4))
+    assert not _found(spark, items, [(1, pieces, 3)])  # chance phrases far from each other
+
+
 def test_surrogates_keep_type_and_identity(spark, awkward, nothing):
     text = "Mrs. Jane Smith (jane.s@mail.example.com) and Mr Brown, +1 (743) 555-3824, 10.20.30.40, 4111 1111 1111 1111, 123-45-6789, token = \"0a1b2c3d4e5f60718293\""
     docs = spark.createDataFrame([(1, text), (2, f"again {text}"), (3, None), (4, "version 3."), (5, "x" * 9000 + "1")], "doc_id bigint, text string")
