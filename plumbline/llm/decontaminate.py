@@ -24,7 +24,9 @@ Scale: only hits leave the first pass; texts of candidates alone are read again,
 only stretches as long as the item are kept.  Sides are broadcast only after counting.  All
 expressions run in the JVM.
 
-Null or empty texts and
+Windows may consist of placeholders alone.  So that not every run of numbers is a leak, a
+match needs a literal, or LEAST_EQUAL slots equal as written (all of a shorter item).  So an
+item without literals is found as written; its template alone says nothing.  Null or empty texts and
 items match nothing; an empty benchmark gives no rows; repeated rows are one document if
 they share doc_id; rows without a doc_id are not reported.  Other columns are ignored.
 """
@@ -39,6 +41,8 @@ from plumbline.llm.common import BROADCAST_ROWS, Scratch, join_checked, text_or_
 SHARE = 0.8
 #: Shifts that differ by so much are always one place; those that match FAR of the item count wherever they stand.
 NEAR, FAR = 4, 0.3
+#: A match without any literal must have so many slots equal as written.
+LEAST_EQUAL = 3
 NUMBER, NAME, UNIT = "", "", ""
 UNITS = (
     "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "l", "ml", "mph", "kmh", "km/h", "ft", "in", "yd",
@@ -171,6 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     union = pairs.groupBy(*of).agg(
         F.collect_set("at").alias("places"), united("far"), united("same_text"), F.max("literal").alias("literal"), F.max("equal").alias("equal")
     )
+    union = union.filter((F.col("literal") > 0) | (F.size("same_text") >= F.least(F.lit(LEAST_EQUAL), F.col("item_tokens"))))
     best = F.array_max(F.transform("places", lambda at: F.size(F.array_union(at, F.col("far")))))
     return union.withColumn("matched", best).filter(F.col("matched") >= SHARE * F.col("item_tokens")).select(
         "doc_id", "item_id", "matched", "item_tokens", (F.col("equal") == F.col("item_tokens")).alias("verbatim")

@@ -173,6 +173,25 @@ def test_scattered_changes_are_found_at_every_offset(spark, sizes):
     assert all(r.matched == sizes[k] - sizes[k] // 5 for (_, k), r in got.items())
 
 
+def test_number_heavy_items_are_found_at_every_offset(spark):
+    items = [
+        "add 12 + 7 * 31 - 4 / 2 + 19 - 6", "move 5 kg 3 km 20 m then 8 lb", "12 30 42 99 7 15 28 64",
+        "walk far and bring 5 kg 3 km down again to lovely old town by bus", "5 kg 3 km 20 m 11 lb 2 ft 9 in",
+    ]
+    docs = _planted(items, str)
+    got = _found(spark, items, docs)
+    assert all(got[(d, k)].verbatim for d, _, k in docs)
+
+    def renumbered(x):
+        return re.sub("[0-9]+", lambda m: str(int(m.group()) + 1000), x)
+
+    docs = _planted(items, renumbered)
+    got = _found(spark, items, docs)
+    # numbers alone have no template that other numbers lack
+    assert {(d, k) for d, _, k in docs if k != 2} <= set(got) and not {x for x in got if x[1] == 2}
+    assert not _found(spark, items, [(d, prose(d, 300), 0) for d in range(9)])
+
+
 def test_inserted_and_dropped_words_are_found_at_every_offset(spark):
     sizes = [15, 20, 28, 40]
     items = [" ".join(_plain(k, n)) for k, n in enumerate(sizes)]
