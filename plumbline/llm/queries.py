@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import context_mixing, decontaminate, exact_dedup, minhash, mixing, quality, repeats, surrogates, token_counts, url_filter
+from plumbline.llm import context_mixing, decontaminate, exact_dedup, minhash, mixing, quality, repeats, sentence_pieces, surrogates, token_counts, url_filter
 from plumbline.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "entities", "text")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op11_sentence_pieces": op11_sentence_pieces,
 }
 
 ORACLE: dict[str, str] = {
