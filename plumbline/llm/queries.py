@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import context_mixing, decontaminate, exact_dedup, minhash, mixing, quality, repeats, sentence_pieces, surrogates, token_counts, url_filter
+from plumbline.llm import context_mixing, decontaminate, exact_dedup, importance, minhash, mixing, quality, repeats, sentence_pieces, surrogates, token_counts, url_filter
 from plumbline.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_importance": op12_importance,
 }
 
 ORACLE: dict[str, str] = {
