@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import context_mixing, decontaminate, exact_dedup, importance, minhash, mixing, quality, repeats, sentence_pieces, surrogates, token_counts, url_filter
+from plumbline.llm import context_mixing, conversations, decontaminate, exact_dedup, importance, minhash, mixing, quality, repeats, sentence_pieces, surrogates, token_counts, url_filter
 from plumbline.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_importance": op12_importance,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE: dict[str, str] = {
