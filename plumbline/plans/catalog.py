@@ -129,11 +129,8 @@ def chk_dist_summary(spark, sf):
 
 
 def _numeric_paths(spark, sf, level):
-    m = d.monitored_json(spark, sf)
-    both = json_paths.numeric_paths(m, "event_attribute", level).unionByName(
-        json_paths.numeric_paths(m, "props", level)
-    )
-    return both.select("dataset_name", "column_path")
+    found = json_paths.numeric_paths(d.monitored_json(spark, sf), ["event_attribute", "props"], level)
+    return found.select("dataset_name", "column_path")
 
 
 @query
@@ -724,6 +721,74 @@ def store_rerun_partial(spark, sf):
     return numbered[0].unionByName(numbered[1]).unionByName(numbered[2])
 
 
+def _orchestrated_runs(spark, sf):
+    """Runs with a parent path per source and year; those without a score could not be run."""
+    start = F.lit("1999-01-01 03:00:00").cast("timestamp_ntz")
+    nation, year = F.floor(F.col("orchestration_run_id") / 10000), F.col("orchestration_run_id") % 10000
+    path = F.concat(F.lit("/prod/nation_"), nation.cast("string"), F.lit("/"), year.cast("string"))
+    return d.runs(spark, sf).filter(F.col("orchestration_run_id").isNotNull()).withColumns({
+        "parent_path": path, "partition_date": F.trunc("partition_date", "year"),
+        "check_status": F.when(F.col("check_status") == "UNKNOWN", c.NOT_RUN).otherwise(F.col("check_status")),
+        "orchestration_run_id": store.orchestration_id(path, start),
+    }), start
+
+
+def _states(rows: DataFrame, moment: str) -> DataFrame:
+    return rows.drop("orchestration_run_id").withColumn("moment", F.lit(moment))
+
+
+@query
+def orchestration_lifecycle(spark, sf):
+    """Orchestration runs at three commits: started; those before 1998 finalized with their counts;
+    the 1992 paths started again, which expires their former runs."""
+    folder = scratch_folder(spark)
+    runs, start = _orchestrated_runs(spark, sf)
+    paths = staged(runs.select("parent_path").distinct(), f"{folder}-paths")
+    store.write_running(folder, store.running(paths, start))
+    none = runs.limit(0)
+    store.write_metrics(
+        folder, runs.drop("parent_path"), none.select("run_id", *c.KEYS, F.lit(0.0).alias("metric_value")),
+        none.select("run_id", *c.KEYS, F.lit("").alias("detail_value")),
+    )
+    begun = store.last_commit(spark, folder)
+    done = paths.filter(~F.col("parent_path").endswith("1998")).select(
+        store.orchestration_id(F.col("parent_path"), start).alias("orchestration_run_id"))
+    store.finalize(spark, folder, "1999-01-01 04:30:00", only=done)
+    finished = store.last_commit(spark, folder)
+    again = paths.filter(F.col("parent_path").endswith("1992"))
+    store.write_running(folder, store.running(again, F.lit("1999-01-02 03:00:00")))
+    return _states(store.read_orchestrations(spark, folder, begun), "begun").unionByName(
+        _states(store.read_orchestrations(spark, folder, finished), "finished")
+    ).unionByName(_states(store.read_orchestrations(spark, folder), "again"))
+
+
+@query
+def store_compacted(spark, sf):
+    """Failed runs of a stored year run again in one commit with the end of the old ones; then the
+    store is compacted and an orchestration is written after it: rows, ends and rerun numbers stay."""
+    folder = scratch_folder(spark)
+    runs = d.runs(spark, sf).withColumn("partition_date", F.trunc("partition_date", "year"))
+    dated = runs.select("run_id", *c.KEYS)
+    numerics, details = (x.join(dated, "run_id") for x in (d.numerics(spark, sf), d.details(spark, sf)))
+    store.write_metrics(folder, runs, numerics, details)
+    failed = staged(runs.filter((F.col("check_status") == c.FAIL) & (F.col("expiry_date") == store.sentinel()))
+                    .select("run_id", *c.KEYS), f"{folder}-failed")
+    again = [df.join(failed.select("run_id"), "run_id", "left_semi").withColumn("run_id", F.col("run_id") + 1_000_000_000)
+             for df in (runs, numerics, details)]
+    again[0] = again[0].withColumn("rerun_number", F.col("rerun_number") + 1)
+    store.write_metrics(folder, *again, replace=failed, at="2002-01-15 00:00:00")
+    store.compact(spark, folder)
+    store.write_running(folder, store.start_orchestration(spark, ["/prod/x"], "2002-01-15 00:00:00"))
+    runs_read = store.read_table(spark, folder, store.RUNS).select(
+        F.lit(store.RUNS).alias("table_name"), "run_id", "expiry_date", "next_rerun_number", F.lit(1).cast("bigint").alias("row_count"))
+    others = [
+        store.read_table(spark, folder, name).groupBy("run_id", "expiry_date").agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(name).alias("table_name"), "run_id", "expiry_date", F.lit(None).cast("int").alias("next_rerun_number"), "row_count")
+        for name in (store.NUMERICS, store.DETAILS)
+    ]
+    return runs_read.unionByName(others[0]).unionByName(others[1])
+
+
 @query
 def daily_run(spark, sf):
     """All partition checks, score and run rows of every monitored date, stored and read back."""

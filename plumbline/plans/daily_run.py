@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import constants as c
-from plumbline.operators import baseline, patterns, profile, schema, score
+from plumbline.operators import baseline, json_paths, patterns, profile, schema, score
 from plumbline.plans import results
 from plumbline.session import scratch_folder, staged
 from plumbline.sources import store
@@ -92,6 +92,8 @@ def run(
     lob_lookup: DataFrame | None = None,
     rerun_number: int = 0,
     orchestration_run_id: Column | None = None,
+    json_columns: Sequence[str] = (),
+    rerun: bool = False,
 ) -> None:
     """Check the partitions of ``monitored`` against ``history`` and store the results.
 
@@ -101,9 +103,17 @@ def run(
     With ``config`` only the enabled check types of a dataset are kept; with
     ``config`` and ``lob_lookup`` the checks across datasets run too, over
     ``past_runs`` (active run rows) and the runs of the batch.
+    ``json_columns``: JSON text columns whose numeric leaves are measured too, as far as the
+    explosion level that ``config`` gives a dataset says.
+    With ``rerun`` active runs of the same datasets and dates end in the commit that shows the
+    new ones, which take the rerun numbers that follow.
     """
     work = scratch_folder(spark)
+    seen = store.last_commit(spark, folder)
     measured = staged(profile.metrics(monitored, families), f"{work}/metrics")
+    leaves = leaf_metrics(monitored, measured, json_columns, config)
+    if leaves is not None:
+        measured = measured.unionByName(staged(leaves, f"{work}/leaves"))
     judge_and_store(
         spark, measured, folder, work,
         snapshots_of=lambda batch: schema.snapshot_of(monitored, batch),
@@ -111,10 +121,22 @@ def run(
         has_event_time=any("latest_event" in f.aggregates for f in families),
         enrichment=enrichment, at=at, history=history, schema_history=schema_history, expected=expected,
         past_runs=past_runs, config=config, lob_lookup=lob_lookup, rerun_number=rerun_number,
-        orchestration_run_id=orchestration_run_id,
+        orchestration_run_id=orchestration_run_id, rerun=rerun, seen=seen,
     )
 
 
+def leaf_metrics(df: DataFrame, named: DataFrame, json_columns: Sequence[str], config: DataFrame | None) -> DataFrame | None:
+    """Metric rows of the JSON leaves that the configured levels ask for; None without any.
+
+    ``named`` holds every dataset name of ``df``; without a configuration all levels are OFF.
+    """
+    present = [x for x in json_columns if x in df.columns]
+    if not present or config is None:
+        return None
+    levels = patterns.explosion_levels(named.select("dataset_name").distinct(), config)
+    return json_paths.leaf_metrics(json_paths.leaf_stats(df, present, levels))
+
+
 def judge_and_store(
     spark: SparkSession,
     measured: DataFrame,
@@ -135,13 +157,16 @@ def judge_and_store(
     rerun_number: int = 0,
     orchestration_run_id: Column | None = None,
     not_run: DataFrame | None = None,
+    rerun: bool = False,
+    seen: int | None = None,
 ) -> None:
     """Judge the metric rows ``measured`` of a batch and store everything.
 
     ``not_run``: partitions that could not be checked (keys and ``reason``); each gets a
-    run row without metrics.
+    run row without metrics.  ``seen``: the last commit of the store that the batch knows.
     """
     keys = list(c.KEYS)
+    orchestration = (F.lit(None).cast("bigint") if orchestration_run_id is None else orchestration_run_id).alias("orchestration_run_id")
     fresh = measured
     if expected is not None:
         empty = expected.select(*keys).join(measured.select(*keys).distinct(), keys, "left_anti")
@@ -164,7 +189,6 @@ def judge_and_store(
     checked = judge(known, columns, snapshots, batch, has_event_time).join(batch, keys, "left_semi")
     checked = staged(_enabled_only(checked, config), f"{work}/checked")
 
-    number = F.lit(rerun_number).alias("rerun_number")
     scored = score.dq_score(
         checked.filter(F.col("name").isin(*c.SCORED_DETAILS.values())).select(*keys, "check_type", "status"),
         patterns.score_weights(batch, enrichment), keys=c.KEYS, on=["dataset_name"],
@@ -181,9 +205,7 @@ def judge_and_store(
         *keys, "lookup_code",
         F.coalesce("status", F.lit(c.NOT_RUN)).alias("check_status"),
         F.col("composite_score").cast("decimal(5,2)").alias("dqs_score"),
-        number,
-        (F.lit(None).cast("bigint") if orchestration_run_id is None else orchestration_run_id)
-        .alias("orchestration_run_id"),
+        orchestration,
         F.lit(None).cast("string").alias("error_message"),
     )
     parts = [
@@ -198,12 +220,12 @@ def judge_and_store(
         ),
     ]
     if config is not None and lob_lookup is not None:
-        seen = runs.select(*keys, "lookup_code", "check_status", "dqs_score")
+        active = runs.select(*keys, "lookup_code", "check_status", "dqs_score")
         if past_runs is not None:
-            seen = seen.unionByName(
-                past_runs.select(seen.columns).join(batch, keys, "left_anti")
+            active = active.unionByName(
+                past_runs.select(active.columns).join(batch, keys, "left_anti")
             )
-        across = judge_across(seen, known, batch, enrichment=enrichment, config=config,
+        across = judge_across(active, known, batch, enrichment=enrichment, config=config,
                               lob_lookup=lob_lookup, as_of=at).join(batch, keys, "left_semi")
         parts.append(_enabled_only(across, config, always=[c.ORPHAN_DETECTION]))
     stored = staged(results.union(parts), f"{work}/results")
@@ -226,13 +248,23 @@ def judge_and_store(
         ), "dataset_name", "left")
         runs = runs.unionByName(absent.select(
             *keys, "lookup_code", F.lit(c.NOT_RUN).alias("check_status"), F.lit(None).cast("decimal(5,2)").alias("dqs_score"),
-            number, F.lit(None).cast("bigint").alias("orchestration_run_id"), F.col("reason").alias("error_message"),
+            orchestration, F.col("reason").alias("error_message"),
         ))
+    seen = store.last_commit(spark, folder) if seen is None else seen
+    again = runs.select(*keys) if rerun else None
+    if rerun and store.has_table(spark, folder, store.RUNS, seen):
+        numbers = store.rerun_numbers(store.read_table(spark, folder, store.RUNS, seen), again)
+        first = F.when(F.col("previous_rerun_number").isNull(), rerun_number).otherwise(F.col("rerun_number"))
+        numbers = staged(numbers.select(*keys, first.alias("rerun_number")), f"{work}/numbers")
+        numbered = lambda df: df.join(numbers, keys)
+    else:
+        numbered = lambda df: df.withColumn("rerun_number", F.lit(rerun_number))
     store.write_metrics(
         folder,
-        runs.withColumns(identity),
-        values.select("*", number).withColumns(identity).drop("rerun_number"),
-        texts.select("*", number).withColumns(identity).drop("rerun_number"),
+        numbered(runs).withColumns(identity),
+        numbered(values).withColumns(identity).drop("rerun_number"),
+        numbered(texts).withColumns(identity).drop("rerun_number"),
+        replace=again, at=at, seen=seen,
     )
 
 

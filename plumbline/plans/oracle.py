@@ -1035,6 +1035,51 @@ oracle("store_rerun_partial", "runs_all numerics_all details_all", " UNION ALL "
     for t in ("runs", "numerics", "details")
 ))
 
+_PATH = "'/prod/nation_' || CAST(orchestration_run_id // 10000 AS VARCHAR) || '/' || CAST(orchestration_run_id % 10000 AS VARCHAR)"
+_BEGUN = ", ".join(f"CAST(NULL AS {t}) AS {x}" for x, t in (
+    ("end_time", "TIMESTAMP"), ("total_datasets", "BIGINT"), ("passed_datasets", "BIGINT"), ("failed_datasets", "BIGINT"),
+    ("not_run_datasets", "BIGINT"), ("error_summary", "VARCHAR")))
+_FINISHED = f"""
+SELECT parent_path, CASE WHEN f + n > 0 THEN 'completed_with_errors' ELSE 'completed' END AS run_status,
+  TIMESTAMP '1999-01-01 03:00:00' AS start_time, TIMESTAMP '1999-01-01 04:30:00' AS end_time, total AS total_datasets,
+  p AS passed_datasets, f AS failed_datasets, n AS not_run_datasets,
+  CASE WHEN f > 0 AND n > 0 THEN CAST(f AS VARCHAR) || ' failed, ' || CAST(n AS VARCHAR) || ' not run'
+       WHEN f > 0 THEN CAST(f AS VARCHAR) || ' failed' WHEN n > 0 THEN CAST(n AS VARCHAR) || ' not run' END AS error_summary
+FROM (SELECT a.parent_path, COUNT(r.run_id) AS total, COUNT(*) FILTER (WHERE r.check_status = 'PASS') AS p,
+        COUNT(*) FILTER (WHERE r.check_status = 'FAIL') AS f, COUNT(*) FILTER (WHERE r.check_status = 'UNKNOWN') AS n
+      FROM paths a LEFT JOIN (SELECT *, {_PATH} AS parent_path FROM runs WHERE orchestration_run_id IS NOT NULL) r
+        ON r.parent_path = a.parent_path
+      WHERE a.parent_path NOT LIKE '%1998' GROUP BY 1)"""
+_STARTED = f"SELECT parent_path, 'running' AS run_status, TIMESTAMP '1999-01-01 03:00:00' AS start_time, {_BEGUN} FROM paths"
+_COLUMNS = "parent_path, run_status, start_time, end_time, total_datasets, passed_datasets, failed_datasets, not_run_datasets, error_summary"
+oracle("orchestration_lifecycle", "runs_all runs", f"""
+WITH paths AS (SELECT DISTINCT {_PATH} AS parent_path FROM runs_all WHERE orchestration_run_id IS NOT NULL),
+begun AS ({_STARTED}), finished AS (SELECT {_COLUMNS} FROM ({_FINISHED}) UNION ALL SELECT {_COLUMNS} FROM begun WHERE parent_path LIKE '%1998')
+SELECT {_COLUMNS}, {SENTINEL} AS expiry_date, 'begun' AS moment FROM begun
+UNION ALL SELECT {_COLUMNS}, {SENTINEL}, 'finished' FROM finished
+UNION ALL SELECT {_COLUMNS}, CASE WHEN parent_path LIKE '%1992' THEN TIMESTAMP '1999-01-02 03:00:00' ELSE {SENTINEL} END, 'again' FROM finished
+UNION ALL SELECT parent_path, 'running', TIMESTAMP '1999-01-02 03:00:00', {_BEGUN}, {SENTINEL}, 'again' FROM paths WHERE parent_path LIKE '%1992'""")
+
+
+def _replaced_rows(table: str) -> str:
+    """Rows of one table after the failed runs of a year ran again in one commit."""
+    failed = f"SELECT run_id FROM runs_all WHERE check_status = 'FAIL' AND expiry_date = {SENTINEL}"
+    hit = (f"SELECT a.run_id FROM runs_all a WHERE a.expiry_date = {SENTINEL} AND EXISTS (SELECT 1 FROM runs_all f "
+           f"WHERE f.run_id IN ({failed}) AND f.dataset_name = a.dataset_name "
+           f"AND date_trunc('year', f.partition_date) = date_trunc('year', a.partition_date))")
+    number = "r.rerun_number" if table == "runs" else "NULL"
+    rows = f"SELECT x.run_id, x.expiry_date, {number} AS n FROM {table}_all x JOIN runs_all r ON r.run_id = x.run_id"
+    ends = f"expiry_date = {SENTINEL} AND run_id IN ({hit})"
+    return (f"SELECT run_id, CASE WHEN {ends} THEN TIMESTAMP '2002-01-15 00:00:00' ELSE expiry_date END AS expiry_date, "
+            f"CASE WHEN {ends} THEN CAST(n + 1 AS INTEGER) END AS next_rerun_number FROM ({rows}) "
+            f"UNION ALL SELECT run_id + 1000000000, expiry_date, CAST(NULL AS INTEGER) FROM ({rows}) WHERE run_id IN ({failed})")
+
+
+oracle("store_compacted", "runs_all numerics_all details_all", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, run_id, expiry_date, next_rerun_number, COUNT(*) AS row_count FROM ({_replaced_rows(t)}) GROUP BY 2, 3, 4"
+    for t in ("runs", "numerics", "details")
+))
+
 _DAILY_STATUS = f"""
 SELECT dataset_name, partition_date, 'VOLUME' AS k, status FROM (SELECT *, {_VOLUME} FROM
   ({rolling('counts', 'dataset_name', 'row_count', 'dataset_name, partition_date, row_count')}))

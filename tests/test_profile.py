@@ -162,3 +162,16 @@ def test_latest_column_stats_split_at_the_last_dot(spark):
     df = spark.createDataFrame(rows, f"{KEY}, check_type string, metric_name string, metric_value double")
     got = baseline.latest_column_stats(df).collect()
     assert [(r.column_path, r.baseline_mean, r.baseline_stddev, r.baseline_p50) for r in got] == [("a.b", 1.0, 2.0, 0.0)]
+
+
+def test_json_statistics_follow_mixed_and_deep_shapes(spark):
+    rows = [("d", t) for t in (
+        '{"a": 1, "b": {"c": 2.5, "d": [1]}, "e": null, "f": "5", "g": {}}', "junk", None, '{"m": {"x": 1}}', '{"m": 3, "b": {"c": null}}',
+        '{"deep": {"a": {"b": {"c": {"d": {"e": {"f": 7}}}}}}}')] + [("list", "[1]"), ("list", '{"a": 1}')]
+    df = spark.createDataFrame(rows, "dataset_name string, t string").withColumn("partition_date", F.lit("2024-01-01").cast("date"))
+    got = {(r.dataset_name, r.column_path): (r.mean, r.sample_count) for r in json_paths.leaf_stats(df, ["t"]).collect()}
+    # m is a number in one row and an object in another, the texts of "list" are not all objects
+    assert got == {("d", "t.a"): (1.0, 1), ("d", "t.b.c"): (2.5, 1), ("d", "t.deep.a.b.c.d.e.f"): (7.0, 1)}
+    assert sorted(r.column_path for r in json_paths.numeric_paths(df, ["t"]).collect()) == sorted(p for _, p in got)
+    plan = json_paths._opened(df, ["t"], None, ["dataset_name"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate variant_explode") == 4 and plan.count("parseJson") == 1 and "Python" not in plan
