@@ -13,7 +13,9 @@ Scale: copies are counted by digest before anything is dealt to shards (with par
 aggregation), so a text that makes up a third of all rows is one row by then.  Digests
 are uniform, hence shards are of even size; their number follows from counts.
 
-Empty tables give no rows; repeated rows count as copies; other columns are ignored.
+Empty tables give no rows; repeated rows count as copies, also those that repeat an id with
+another text; other columns are ignored.  Of rows alike in id and bare text the longest stays
+(``decide`` marks them all).  A very long text is hashed where it lies.
 """
 
 from __future__ import annotations
@@ -177,18 +179,26 @@ def decide(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with their columns; rows without a doc_id can't be told apart and stay.
+    """The rows that stay, with their columns: one of each group of equal texts.
 
-    The text is not sorted: dropped ids alone are joined, and rows that repeat an id and
-    stay are thinned to one only where there are such ids.
+    Rows are told apart by id and digest, so rows that repeat an id with different texts do not
+    stand for each other, and rows without an id are copies like any.  The text is not sorted:
+    what goes is joined, and rows alike in id and digest are thinned to the longest text only
+    where there are such rows.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.keep(decide(docs).select("doc_id", "kept"))
-    dropped = scratch.keep(marked.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    again = scratch.keep(marked.filter("kept").groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    rows = join_checked(docs, dropped, "doc_id", "left_anti", dropped.count())
+    same = F.struct("doc_id", "text_sha256").alias("__same")
+    marked = scratch.keep(decide(docs).select("kept", same))
+    dropped = scratch.keep(marked.filter(~F.col("kept")).select("__same").distinct())
+    again = scratch.keep(marked.filter("kept").groupBy("__same").count().filter("count > 1").select("__same"))
+    bare = F.translate(text_or_empty(), " \t\n\x0b\x0c\r", "").cast("binary")
+    own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(bare, 256).alias("text_sha256"))
+    rows = join_checked(docs.withColumn("__same", own), dropped, "__same", "left_anti", dropped.count())
     repeats = again.count()
-    if not repeats:
-        return rows
-    once = join_checked(rows, again, "doc_id", "left_anti", repeats)
-    return once.unionByName(join_checked(rows, again, "doc_id", "left_semi", repeats).dropDuplicates(["doc_id"]))
+    if repeats:
+        once = join_checked(rows, again, "__same", "left_anti", repeats)
+        several = join_checked(rows, again, "__same", "left_semi", repeats)
+        whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
+        longest = several.groupBy("__same").agg(F.max_by(whole, F.length(text_or_empty())).alias("__row"))
+        rows = once.select(docs.columns).unionByName(longest.select("__row.*").select(docs.columns))
+    return rows.select(docs.columns)

@@ -23,7 +23,10 @@ CPU with the square of its *different* texts, as finding all links must, but nei
 memory nor rows.  Nothing is dropped or capped.
 
 Null and empty texts have no shingles: they form one class of equal texts.  Repeated rows
-are equal texts.  Empty tables give no rows.  Other columns are ignored.
+are equal texts.  Rows that repeat an id with different texts are different documents.  Rows
+without an id are equal to rows of the same text and are compared with no others.  Of ties the
+smallest id stays.  Empty tables give no rows.  Other columns are ignored, columns named like
+helper columns included.  A very long text is a slice and a block of its own.
 """
 
 from __future__ import annotations
@@ -334,19 +337,24 @@ def _verifying(idf: np.ndarray, threshold: float) -> Callable[[pa.Table], Iterat
     return work
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, class_size): class_id is the smallest doc_id of the class."""
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def _named(rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, digest, class, class_id, keeps) of each row.
+
+    Texts are named by a number per digest, so rows that repeat an id keep their own texts.
+    ``class`` tells classes apart, ``class_id`` is the smallest doc_id of the class, ``keeps``
+    the digest of that row's text.
+    """
     idf = idf_table(*document_frequencies(rows))
     signed = scratch.keep(signatures(rows, idf))
     # one row for equal texts; what has no words or no id is compared by digest alone
-    copies = scratch.keep(signed.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("n_bytes").alias("n_bytes")
-    ))
-    reps = copies.filter("n > 0 and rep is not null").select("rep", "digest")
+    by_id = signed.groupBy("digest", "doc_id").agg(F.max("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.count("*").alias("times"))
+    copies = scratch.keep(by_id.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.min_by("times", "doc_id").alias("times")
+    ).withColumn("node", F.monotonically_increasing_id()))
+    reps = copies.filter("n > 0 and rep is not null").select("rep", "digest", "node")
     own = signed.select("doc_id", "digest", "signature", "bands", "n_bytes")
-    unique = own.join(reps, [own["digest"] == reps["digest"], own["doc_id"] == reps["rep"]]).select("doc_id", "signature", "bands", "n_bytes")
+    unique = own.join(reps, [own["digest"] == reps["digest"], own["doc_id"] == reps["rep"]]).select(
+        F.col("node").alias("doc_id"), "signature", "bands", "n_bytes")
     unique = scratch.keep(unique.dropDuplicates(["doc_id"]))
     keyed = scratch.keep(unique.select("doc_id", F.explode("bands").alias("band")))
     full = scratch.keep(keyed.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").withColumn(
@@ -358,23 +366,56 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
     sizes = clusters.join(unique.select(F.col("doc_id").alias("id"), "n_bytes"), "id").groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / TEXT_BLOCK), F.ceil(F.sum("n_bytes") / TEXT_BLOCK_BYTES)).alias("blocks")
     )
-    dealt = scratch.keep(clusters.join(sizes, "component").withColumnRenamed("id", "doc_id"))
-    texts = join_checked(rows, dealt, "doc_id", "inner", dealt.count())
+    where = copies.select(F.col("node").alias("id"), F.col("rep").alias("__rep"), F.col("digest").alias("__digest"), "times")
+    dealt = scratch.keep(clusters.join(sizes, "component").join(where, "id"))
+    side = dealt.withColumnRenamed("id", "node").withColumn("__id", F.col("__rep"))
+    texts = join_checked(rows.withColumnRenamed("doc_id", "__id"), side, "__id", "inner", dealt.count())
+    texts = texts.filter(F.sha2(text_or_empty().cast("binary"), 256) == F.col("__digest")).select(
+        F.col("node").alias("doc_id"), "text", "component", "blocks", "times")
+    # rows that are alike in id and text are one
+    texts = texts.filter("times = 1").unionByName(texts.filter("times > 1").dropDuplicates(["doc_id"])).drop("times")
     links = _in_blocks(
         _pair_rows(texts, "component", "blocks"), ["component", "lo", "hi"], ["own", "doc_id", "text"], _verifying(idf, threshold)
     )
-    linked = components(links, scratch).withColumnRenamed("id", "rep")
-    named = copies.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    named = scratch.keep(signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id"))
-    counts = named.groupBy(F.col("class_id").alias("__class")).agg(F.count("*").alias("class_size"))
-    return named.join(counts, F.col("class_id").eqNullSafe(F.col("__class"))).select("doc_id", "class_id", "class_size")
+    linked = components(links, scratch).withColumnRenamed("id", "node")
+    placed = copies.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    first = placed.groupBy("class").agg(F.min(F.struct("rep", "digest")).alias("first"))
+    named = placed.select("digest", "class").join(first, "class").select(
+        "digest", "class", F.col("first.rep").alias("class_id"), F.col("first.digest").alias("keeps"))
+    return scratch.keep(signed.select("doc_id", "digest").join(named, "digest"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, class_size): class_id is the smallest doc_id of the class."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    named = _named(rows, threshold, scratch)
+    counts = named.groupBy("class").agg(F.count("*").alias("class_size"))
+    return named.join(counts, "class").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document of the smallest id of each class, with its columns; rows without an id stay."""
+    """The document of the smallest id of each class, with its columns.
+
+    Rows that repeat an id are told apart by their texts; rows alike in both are one.  Of rows
+    without an id one of each text stays.
+    """
     scratch = Scratch(docs.sparkSession)
-    found = classes(docs, threshold, text, key)
-    dropped = scratch.keep(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct())
-    count = dropped.count()
-    side = F.broadcast(dropped) if count <= 400_000 else dropped
-    return docs.join(side, docs[key].cast("bigint") == F.col("__id"), "left_anti")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    found = _named(rows, threshold, scratch)
+    kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("keeps")))
+    same = F.struct("doc_id", "digest").alias("__same")
+    dropped = scratch.keep(found.filter(~kept).select(same).distinct())
+    again = scratch.keep(found.filter(kept).groupBy("doc_id", "digest").count().filter("count > 1").select(same))
+    own = F.struct(F.col(key).cast("bigint").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"))
+    left = join_checked(docs.withColumn("__same", own), dropped, "__same", "left_anti", dropped.count())
+    return thin(left, again, "__same").drop("__same").select(docs.columns)
+
+
+def thin(rows: DataFrame, again: DataFrame, on: str) -> DataFrame:
+    """One row for each value of ``on`` that ``again`` lists; the others as they are."""
+    repeats = again.count()
+    if not repeats:
+        return rows
+    once = join_checked(rows, again, on, "left_anti", repeats)
+    return once.unionByName(join_checked(rows, again, on, "left_semi", repeats).dropDuplicates([on]))

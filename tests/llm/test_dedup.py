@@ -123,3 +123,29 @@ def test_repeats_match_brute_force(spark, awkward, nothing, monkeypatch):
         monkeypatch.setattr(repeats, "SHARD_REGIONS", most)
         assert Counter(map(tuple, repeats.remove(df).collect())) == want
     assert repeats.remove(nothing).count() == 0
+
+
+REPEATED = [(6, "A"), (6, "B"), (5, "B"), (None, "C"), (None, "C"), (None, "C"), (7, "D"), (7, "D"), (8, "E e"), (8, "E  e"), (9, "F")]
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    df = spark.createDataFrame(REPEATED, "doc_id bigint, text string").selectExpr("*", "1 AS __id", "2 AS times", "3 AS digest", "4 AS node", "5 AS class")
+    kept = exact_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [
+        (5, "B"), (6, "A"), (7, "D"), (8, "E  e"), (9, "F"), (None, "C")]
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    # white space between words is no difference of shingles
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert len(got) == 6 and got[:3] == [(5, "B"), (6, "A"), (7, "D")] and got[4:] == [(9, "F"), (None, "C")] and got[3][0] == 8
+
+
+def test_repeated_ids_are_compared_by_text(spark):
+    """Both texts of a repeated id take part; the class of one is not that of the other."""
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, prose(3, 80))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in minhash.classes(df).collect())
+    assert got == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 1)]
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(df).collect()) == sorted([(1, a), (1, b), (4, prose(3, 80))])
