@@ -2,17 +2,19 @@
 
 A LIKE join has no equality, so Spark would compare every name with every
 pattern.  The functions here derive equality keys first and keep LIKE as the
-residual test.  With ``body`` = the pattern up to its first ``%`` or escape:
-
-* either every ``_`` of ``body`` meets a ``_`` in the name: the name starts with
-  ``body`` itself - key ``=body``;
-* or some ``_`` first meets another character at position i: the name starts
-  with ``body[:i]`` and goes on with a non-``_`` - key ``?body[:i]``.
-
-Each matching pair has exactly one such key, so nothing is lost or doubled.  A
-name only gets keys of the lengths that patterns have.  Both sides are
-equality-joined; Spark broadcasts the pattern side only when its size is under
-the configured threshold and shuffles otherwise.
+residual test.  Wildcards divide a pattern into literal runs (escaped characters
+are literal); each pattern is filed under its longest run:
+
+* ``^run`` if the pattern starts with it: names have the key of each of their beginnings;
+* ``$run`` if it ends with it: names have the key of each of their ends;
+* ``~run`` if it stands inside: names have the keys of their substrings.
+
+A name only gets keys of the lengths that patterns have.  Each matching pair has
+its pattern's one key, so nothing is lost or doubled, and no key is shared by all
+names.  Both sides are equality-joined; Spark broadcasts the pattern side only when its
+size is under the configured threshold and shuffles otherwise.  Patterns without any
+literal, like ``%``, match by length alone: they travel to the names as one small array
+(a table has few of them that differ), without a join.
 """
 
 from __future__ import annotations
@@ -24,64 +26,72 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import constants as c
 from plumbline.operators.json_paths import effective_level
 
-
-def _keyed_patterns(patterns: DataFrame, pattern: str) -> DataFrame:
-    body = f"regexp_extract(`{pattern}`, '^[^%\\\\\\\\]*', 0)"
-    wild = (
-        "transform(filter(sequence(0, length(_body)), i -> substr(_body, i + 1, 1) = '_'), "
-        "i -> concat('?', substr(_body, 1, i)))"
+#: Stand-ins for escaped wildcards while a pattern is divided: code points no text may hold.
+_PERCENT, _LINE, _SLASH = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _anchored(patterns: DataFrame, pattern: str) -> DataFrame:
+    """The patterns with ``_key``, NULL for those without a literal."""
+    p = f"`{pattern}`"
+    # a stand-in inside a pattern itself would be taken for a wildcard: cut the run there
+    plain = f"regexp_replace({p}, '[{_PERCENT}{_LINE}{_SLASH}]', '_')"
+    hidden = (f"replace(replace(replace({plain}, '\\\\\\\\', '{_SLASH}'), '\\\\%', '{_PERCENT}'), '\\\\_', '{_LINE}')")
+    shown = f"replace(replace(replace(_run, '{_PERCENT}', '%'), '{_LINE}', '_'), '{_SLASH}', '\\\\')"
+    runs = patterns.withColumn("_runs", F.split(F.expr(hidden), "[%_]"))
+    # the longest run; of equal ones a beginning or an end serves better than an inner one
+    listed = F.expr(
+        "transform(_runs, (r, i) -> struct(length(r) AS size, i = 0 OR i = size(_runs) - 1 AS edge,"
+        " IF(i = 0, '^', IF(i = size(_runs) - 1, '$', '~')) AS kind, r AS run))"
     )
-    return patterns.withColumn("_body", F.expr(body)).withColumn(
-        "_key", F.explode(F.expr(f"concat(array(concat('=', _body)), {wild})"))
-    ).drop("_body")
-
-
-def _keyed_names(names: DataFrame, name: str, keyed_patterns: DataFrame) -> DataFrame:
-    # key lengths of either kind: at most one integer per character position
-    lengths = keyed_patterns.agg(
-        F.expr("collect_set(length(_key) - 1) FILTER (WHERE _key LIKE '=%')").alias("e"),
-        F.expr("collect_set(length(_key) - 1) FILTER (WHERE _key LIKE '?%')").alias("w"),
-    ).select(F.struct("e", "w")).scalar()
+    best = runs.withColumn("_best", F.array_max(listed)).withColumn("_run", F.col("_best.run"))
+    key = F.when(F.col("_best.size") > 0, F.concat(F.col("_best.kind"), F.expr(shown)))
+    return best.withColumn("_key", key).drop("_runs", "_best", "_run")
+
+
+def _keyed_names(names: DataFrame, name: str, anchored: DataFrame) -> DataFrame:
+    """(name, _key): the keys a name can be found under, of the lengths that patterns have."""
+    sizes = [
+        F.expr(f"collect_set(length(_key) - 1) FILTER (WHERE startswith(_key, '{kind}'))").alias(alias)
+        for kind, alias in (("^", "b"), ("$", "e"), ("~", "m"))
+    ]
+    lengths = anchored.agg(*sizes).select(F.struct("b", "e", "m")).scalar()
     q = f"`{name}`"
-    exact = f"transform(filter(_l.e, k -> k <= length({q})), k -> concat('=', substr({q}, 1, k)))"
-    wild = (
-        f"transform(filter(_l.w, k -> k < length({q}) AND substr({q}, k + 1, 1) <> '_'), "
-        f"k -> concat('?', substr({q}, 1, k)))"
-    )
-    distinct = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    return distinct.withColumn("_l", lengths).select(
-        name, F.explode_outer(F.expr(f"concat({exact}, {wild})")).alias("_key")
+    fit = lambda x: f"filter(_l.{x}, k -> k <= length({q}))"
+    keys = (
+        f"concat(transform({fit('b')}, k -> concat('^', left({q}, k))), transform({fit('e')}, k -> concat('$', right({q}, k))),"
+        f" flatten(transform({fit('m')}, k -> array_distinct(transform(sequence(1, length({q}) - k + 1), i -> concat('~', substr({q}, i, k)))))))"
     )
+    return names.withColumn("_l", lengths).select(name, F.explode(F.expr(keys)).alias("_key"))
+
+
+def _distinct_names(names: DataFrame, name: str) -> DataFrame:
+    return names.select(name).filter(F.col(name).isNotNull()).distinct()
 
 
 def match(names: DataFrame, name: str, patterns: DataFrame,
           pattern: str = "dataset_pattern") -> DataFrame:
     """Distinct names with the columns of every pattern row they match."""
-    right = _keyed_patterns(patterns, pattern)
-    return (
-        _keyed_names(names, name, right).join(right, "_key")
-        .filter(F.like(F.col(name), F.col(pattern)))
-        .drop("_key")
-    )
+    distinct, anchored = _distinct_names(names, name), _anchored(patterns, pattern)
+    columns = [F.col(f"`{x}`") for x in patterns.columns]
+    like = F.like(F.col(name), F.col(pattern))
+    keyed = _keyed_names(distinct, name, anchored).join(anchored.filter(F.col("_key").isNotNull()), "_key").filter(like).select(name, *columns)
+    free = anchored.filter(F.col("_key").isNull() & F.col(pattern).isNotNull()).agg(F.collect_list(F.struct(*columns)).alias("_free")).scalar()
+    loose = distinct.withColumn("_free", free).select(name, F.inline("_free")).filter(like)
+    return keyed.unionByName(loose.select(name, *columns))
 
 
 def lookup(names: DataFrame, name: str, patterns: DataFrame, value: str,
            pattern: str = "dataset_pattern") -> DataFrame:
     """Every distinct name with the value of its matching row of lowest id, else NULL.
 
-    The left join keeps names without a match, so nothing is joined back; names,
-    keys and the final grouping share one partitioning by name.
+    Names without a match take part in the grouping, so nothing is joined back.
     """
-    right = _keyed_patterns(
-        patterns.select(
-            F.col("id").alias("_id"), F.col(pattern).alias("_pattern"), F.col(value).alias("_value")
-        ),
-        "_pattern",
-    )
-    hit = F.like(F.col(name), F.col("_pattern"))
-    return _keyed_names(names, name, right).join(right, "_key", "left").groupBy(name).agg(
-        F.min_by("_value", F.when(hit, F.col("_id"))).alias(value)
+    rows = patterns.select(
+        F.col("id").alias("_id"), F.col(pattern).alias("_pattern"), F.col(value).alias("_value")
     )
+    hits = match(names, name, rows, "_pattern").select(name, "_id", "_value")
+    every = _distinct_names(names, name).select(name, F.lit(None).alias("_id"), F.lit(None).alias("_value"))
+    return every.unionByName(hits).groupBy(name).agg(F.min_by("_value", "_id").alias(value))
 
 
 # ---- configuration lookups --------------------------------------------------

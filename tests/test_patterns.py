@@ -80,3 +80,28 @@ def test_explosion_level_and_orphans(spark):
     assert levels == {"x/1": 2, "y/1": 0, "z/1": 0}
     orphans = {r.dataset_name: r.status for r in patterns.orphan_detection(names, table).collect()}
     assert orphans == {"x/1": "PASS", "y/1": "PASS", "z/1": "FAIL"}
+
+
+def test_no_key_is_shared_by_all_names(spark):
+    """Leading wildcards are filed under their end or an inner run; '%' needs no join."""
+    pats = ["%/dataset=signup", "%src_sys_nm=alpha/%", "_ob=x%", "%", "__%", "a\\_b%", "%\\%", "lob=%/long-inner-part/%z", "\\\\%", "%a\\\\b%"]
+    rows = spark.createDataFrame(list(enumerate(pats)), "id bigint, dataset_pattern string")
+    keys = [r._key for r in patterns._anchored(rows, "dataset_pattern").orderBy("id").collect()]
+    assert keys == ["$/dataset=signup", "~nm=alpha/", "~ob=x", None, None, "^a_b", "$%", "~/long-inner-part/", "^\\", "~a\\b"]
+    names = spark.range(1000).selectExpr("concat('lob=l', id % 7, '/src_sys_nm=s', id, '/dataset=d', id) AS dataset_name")
+    anchored = patterns._anchored(rows, "dataset_pattern")
+    shared = patterns._keyed_names(names, "dataset_name", anchored).join(anchored.filter("_key IS NOT NULL"), "_key")
+    assert shared.count() == 0
+
+
+def test_patterns_shuffle_without_a_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = spark.range(50).selectExpr("concat('lob=retail/src_sys_nm=s', id, '/dataset=d') AS dataset_name")
+        rows = spark.createDataFrame([(1, "%/dataset=d"), (2, "%_nm=s7/%"), (3, "%")], "id bigint, dataset_pattern string")
+        hits = patterns.match(names, "dataset_name", rows)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+        assert sorted(r["count"] for r in hits.groupBy("id").count().collect()) == [1, 50, 50]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
