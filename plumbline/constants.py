@@ -50,6 +50,8 @@ SCORE_PASS_AT = 80.0
 SCORE_WARN_AT = 50.0
 
 BASELINE_ROWS = 30
+#: Values kept per metric between batches: a baseline and ten days that may run again.
+KEPT_ROWS = 40
 BASELINE_MIN_SAMPLES = 2
 
 PERCENTILE_ACCURACY = 10000

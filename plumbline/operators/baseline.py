@@ -49,6 +49,42 @@ def rolling_baseline(
     )
 
 
+# ---- kept state: what the next day needs of all days before it ---------------
+
+def kept_values(history: DataFrame, value: str = "metric_value", keys: Sequence[str] = METRIC_KEYS,
+                day: str = "partition_date", rows: int = c.KEPT_ROWS) -> DataFrame:
+    """One row per key with its newest ``rows`` (day, value), newest last; NULL values included.
+
+    The limit is applied before the shuffle, so an array never holds more.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.desc(day))
+    recent = history.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= rows)
+    pair = F.struct(F.col(day).alias("day"), F.col(value).cast("double").alias("value"))
+    return recent.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("kept"))
+
+
+def kept_history(state: DataFrame, value: str = "metric_value", keys: Sequence[str] = METRIC_KEYS,
+                 day: str = "partition_date") -> DataFrame:
+    """The kept values as history rows."""
+    return state.select(*keys, F.inline("kept")).withColumnsRenamed({"day": day, "value": value})
+
+
+def advanced(state: DataFrame | None, fresh: DataFrame, value: str = "metric_value", keys: Sequence[str] = METRIC_KEYS,
+             day: str = "partition_date", rows: int = c.KEPT_ROWS) -> DataFrame:
+    """The state after a batch: fresh values replace kept ones of the same day."""
+    new = fresh.select(*keys, day, F.col(value).cast("double").alias(value), F.lit(1).alias("_new"))
+    if state is None:
+        return kept_values(new, value, keys, day, rows)
+    old = kept_history(state, value, keys, day).select(*keys, day, value, F.lit(0).alias("_new"))
+    return kept_values(latest_rerun(old.unionByName(new), [*keys, day], [F.desc("_new")]), value, keys, day, rows)
+
+
+def reaches(state: DataFrame, first_day, need: int = c.BASELINE_ROWS, rows: int = c.KEPT_ROWS) -> bool:
+    """Whether the state still holds the ``need`` values before a day, for every key that ever had them."""
+    before = F.size(F.filter("kept", lambda x: x["day"] < F.lit(first_day)))
+    return state.filter((F.size("kept") >= rows) & (before < need)).isEmpty()
+
+
 def previous_values(
     history: DataFrame,
     columns: Sequence[str],

@@ -207,6 +207,25 @@ def hist_rolling_baseline(spark, sf):
     return _rounded(out, *BASELINE)
 
 
+@query
+def hist_kept_baseline(spark, sf):
+    """The rolling baseline, year by year: each year sees the kept state of the years before only."""
+    folder, state, parts = scratch_folder(spark), None, []
+    history = staged(d.metric_history(spark, sf), f"{folder}/history")
+    first, last = history.agg(F.min(F.year("partition_date")), F.max(F.year("partition_date"))).first()
+    for year in range(first, last + 1):
+        fresh = history.filter(F.year("partition_date") == year)
+        known = fresh.select(*baseline.METRIC_KEYS, "partition_date", "metric_value")
+        if state is not None:
+            known = known.unionByName(baseline.kept_history(state))
+        parts.append(baseline.rolling_baseline(known).filter(F.year("partition_date") == year))
+        state = staged(baseline.advanced(state, fresh), f"{folder}/state-{year}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _rounded(out.select(*c.KEYS, "check_type", "metric_name", "metric_value", *BASELINE, "baseline_count"), *BASELINE)
+
+
 @query
 def hist_latest_column_stats(spark, sf):
     m = d.monitored(spark, sf)

@@ -94,6 +94,7 @@ def run(
     orchestration_run_id: Column | None = None,
     json_columns: Sequence[str] = (),
     rerun: bool = False,
+    keep_baselines: bool = False,
 ) -> None:
     """Check the partitions of ``monitored`` against ``history`` and store the results.
 
@@ -107,6 +108,8 @@ def run(
     explosion level that ``config`` gives a dataset says.
     With ``rerun`` active runs of the same datasets and dates end in the commit that shows the
     new ones, which take the rerun numbers that follow.
+    With ``keep_baselines`` the newest values of every metric are kept in the store and the next
+    batch reads them and no history; batches then come in date order, but for the last ten days.
     """
     work = scratch_folder(spark)
     seen = store.last_commit(spark, folder)
@@ -121,7 +124,7 @@ def run(
         has_event_time=any("latest_event" in f.aggregates for f in families),
         enrichment=enrichment, at=at, history=history, schema_history=schema_history, expected=expected,
         past_runs=past_runs, config=config, lob_lookup=lob_lookup, rerun_number=rerun_number,
-        orchestration_run_id=orchestration_run_id, rerun=rerun, seen=seen,
+        orchestration_run_id=orchestration_run_id, rerun=rerun, keep_baselines=keep_baselines, seen=seen,
     )
 
 
@@ -158,6 +161,7 @@ def judge_and_store(
     orchestration_run_id: Column | None = None,
     not_run: DataFrame | None = None,
     rerun: bool = False,
+    keep_baselines: bool = False,
     seen: int | None = None,
 ) -> None:
     """Judge the metric rows ``measured`` of a batch and store everything.
@@ -172,6 +176,13 @@ def judge_and_store(
         empty = expected.select(*keys).join(measured.select(*keys).distinct(), keys, "left_anti")
         fresh = measured.unionByName(_empty_partition_metrics(empty))
     batch = staged(fresh.select(*keys).distinct(), f"{work}/batch")
+    seen = store.last_commit(spark, folder) if seen is None else seen
+    kept = store.read_baselines(spark, folder, seen) if keep_baselines else None
+    if kept is not None and history is None:
+        first = batch.agg(F.min("partition_date")).first()[0]
+        if first is not None and not baseline.reaches(kept, first):
+            raise ValueError(f"the kept values do not reach back before {first}; pass the history")
+        history = baseline.kept_history(kept)
     if history is None:
         known = fresh
     else:
@@ -250,7 +261,6 @@ def judge_and_store(
             *keys, "lookup_code", F.lit(c.NOT_RUN).alias("check_status"), F.lit(None).cast("decimal(5,2)").alias("dqs_score"),
             orchestration, F.col("reason").alias("error_message"),
         ))
-    seen = store.last_commit(spark, folder) if seen is None else seen
     again = runs.select(*keys) if rerun else None
     if rerun and store.has_table(spark, folder, store.RUNS, seen):
         numbers = store.rerun_numbers(store.read_table(spark, folder, store.RUNS, seen), again)
@@ -264,7 +274,7 @@ def judge_and_store(
         numbered(runs).withColumns(identity),
         numbered(values).withColumns(identity).drop("rerun_number"),
         numbered(texts).withColumns(identity).drop("rerun_number"),
-        replace=again, at=at, seen=seen,
+        replace=again, at=at, seen=seen, baselines=baseline.advanced(kept, fresh) if keep_baselines else None,
     )
 
 

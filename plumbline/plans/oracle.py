@@ -515,7 +515,9 @@ GROUP BY 1, 2, 3""")
 
 # ---- history ----------------------------------------------------------------
 
-oracle("hist_rolling_baseline", "history", f"""
+# the second reads kept states instead of all history
+for _name in ("hist_rolling_baseline", "hist_kept_baseline"):
+    oracle(_name, "history", f"""
 SELECT dataset_name, partition_date, check_type, metric_name, metric_value, {BASE}
 FROM ({rolling('history', 'dataset_name check_type metric_name', 'metric_value',
                'dataset_name, partition_date, check_type, metric_name, metric_value')})""")

@@ -29,7 +29,7 @@ from plumbline import constants as c
 from plumbline.functions.columns import as_column, ntz
 
 RUNS, NUMERICS, DETAILS = "runs", "numerics", "details"
-EXPIRIES, ORCHESTRATIONS, COMMITS = "expiries", "orchestrations", "commits"
+EXPIRIES, ORCHESTRATIONS, BASELINES, COMMITS = "expiries", "orchestrations", "baselines", "commits"
 _COMMIT = "batch_id string, seq bigint, covers bigint, schemas map<string,string>"
 _EXPIRIES = "run_id bigint, expired_at timestamp_ntz, next_rerun_number int"
 _ORCHESTRATIONS = (
@@ -280,13 +280,13 @@ def _commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame], seen
     seq = seen + 1
     while not _claim(spark, folder, seq, record):
         if covers is None and RUNS in tables:
-            _refuse_same_keys(spark, folder, tables[RUNS], seq)
+            _refuse_same_keys(spark, folder, tables[RUNS], seq, BASELINES in tables)
         seq += 1
     return seq
 
 
-def _refuse_same_keys(spark: SparkSession, folder: str, runs: DataFrame, seq: int) -> None:
-    """Raise if a commit holds runs of the same keys.
+def _refuse_same_keys(spark: SparkSession, folder: str, runs: DataFrame, seq: int, state: bool) -> None:
+    """Raise if a commit holds runs of the same keys, or a kept state where this batch has one.
 
     A commit file is filled right after its creation; one that stays empty was left by a writer
     that died, and shows nothing for good.
@@ -296,7 +296,9 @@ def _refuse_same_keys(spark: SparkSession, folder: str, runs: DataFrame, seq: in
         if system.getFileStatus(path).getLen() > 0:
             break
         time.sleep(0.1)
-    other = [r for r in _commits(spark, folder, seq) if r["seq"] == seq and RUNS in (r["schemas"] or {})]
+    other = [r for r in _commits(spark, folder, seq) if r["seq"] == seq and r["covers"] is None and RUNS in (r["schemas"] or {})]
+    if other and state and BASELINES in other[0]["schemas"]:
+        raise Conflict(f"commit {seq} holds a newer kept state")
     if other:
         theirs = _read_batches(spark, folder, RUNS, other).select(*c.KEYS)
         if not runs.select(*c.KEYS).join(theirs, list(c.KEYS), "left_semi").isEmpty():
@@ -329,17 +331,21 @@ def run_id(*columns: str) -> Column:
 
 
 def write_metrics(folder: str, runs: DataFrame, numerics: DataFrame, details: DataFrame, *,
-                  replace: DataFrame | None = None, at=None, seen: int | None = None) -> int:
+                  replace: DataFrame | None = None, at=None, seen: int | None = None,
+                  baselines: DataFrame | None = None) -> int:
     """Append a batch to the three tables; it becomes visible as a whole.
 
     ``replace``: (dataset, date) whose active runs end at ``at`` in the same commit.
     ``seen``: the last commit the rows were made from; now, without.
+    ``baselines``: the whole kept state after the batch, which takes the place of the former.
     """
     spark = runs.sparkSession
     seen = last_commit(spark, folder) if seen is None else seen
     tables = {NUMERICS: numerics, DETAILS: details, RUNS: runs}
     if replace is not None and has_table(spark, folder, RUNS, seen):
         tables[EXPIRIES] = _ended(spark, folder, replace, at, seen)
+    if baselines is not None:
+        tables[BASELINES] = baselines
     return _commit(spark, folder, tables, seen)
 
 
@@ -372,6 +378,12 @@ def read_table(spark: SparkSession, folder: str, name: str, as_of: int | None =
     return rows.select(*columns, *(["next_rerun_number"] if name == RUNS else []))
 
 
+def read_baselines(spark: SparkSession, folder: str, as_of: int | None = None) -> DataFrame | None:
+    """The kept state after the newest commit that has one; a state is written whole."""
+    own = [r for r in _commits(spark, folder, as_of) if BASELINES in (r["schemas"] or {})]
+    return _read_batches(spark, folder, BASELINES, own[-1:]).drop("seq") if own else None
+
+
 def _ended(spark: SparkSession, folder: str, targets: DataFrame, at, as_of: int | None = None) -> DataFrame:
     """The active runs of the targets with their end."""
     return active(read_table(spark, folder, RUNS, as_of)).join(
@@ -400,4 +412,7 @@ def compact(spark: SparkSession, folder: str) -> int:
     if states is not None:
         newest = Window.partitionBy("orchestration_run_id").orderBy(F.desc("seq"))
         tables[ORCHESTRATIONS] = states.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth", "seq")
+    kept = read_baselines(spark, folder, seen)
+    if kept is not None:
+        tables[BASELINES] = kept
     return _commit(spark, folder, tables, seen, covers=seen)

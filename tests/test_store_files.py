@@ -274,3 +274,41 @@ def test_partitions_without_event_time(spark):
         "FRESHNESS": ("NOT_RUN", "missing_source_event_timestamp"),
         "DISTRIBUTION": ("PASS", "no_numeric_columns"), "TIMESTAMP_SANITY": ("PASS", "no_timestamp_columns"),
     }
+
+
+def test_kept_baselines_replace_the_history(spark, monkeypatch):
+    """Day by day from the kept state: the verdicts of a run over the whole history, which is not read."""
+    fams = lambda m: profile.default_families(m, freshness_column="source_event_timestamp", as_of=profile.per_partition_clock(30))
+    options = {"enrichment": d.enrichment(spark), "at": F.lit("2026-04-01 06:00:00").cast("timestamp_ntz")}
+    kept, whole = scratch_folder(spark), scratch_folder(spark)
+    for k in range(5):
+        m = monitored(spark, [k], 1.0 if k < 4 else 50.0)
+        daily.run(spark, m, kept, families=fams(m), keep_baselines=True, **options)
+        if k == 3:
+            # from here on a read of stored metrics would fail
+            monkeypatch.setattr(store, "read_table", lambda *_, **__: pytest.fail("history was read"))
+    monkeypatch.undo()
+    m = monitored(spark, range(4), 1.0).unionByName(monitored(spark, [4], 50.0))
+    daily.run(spark, m, whole, families=fams(m), **options)
+    def details(folder):
+        rows = store.read_table(spark, folder, store.DETAILS)
+        # schemas are not part of the kept values
+        return sorted((r.partition_date, r.check_type, r.detail_type, r.detail_value) for r in rows.filter("check_type NOT IN ('SCHEMA', 'BREAKING_CHANGE')").collect())
+    assert details(kept) == details(whole)
+    state = store.read_baselines(spark, kept)
+    assert {r.n for r in state.selectExpr("size(kept) AS n").collect()} == {5}
+    store.compact(spark, kept)
+    assert store.read_baselines(spark, kept).count() == state.count()
+
+
+def test_kept_baselines_know_their_reach(spark):
+    from plumbline.operators import baseline
+
+    days = [(DAY + dt.timedelta(days=k), float(k)) for k in range(60)]
+    history = spark.createDataFrame([("d", "c", "m", *x) for x in days], "dataset_name string, check_type string, metric_name string, partition_date date, metric_value double")
+    state = baseline.kept_values(history)
+    assert len(state.first().kept) == 40 and state.first().kept[-1]["value"] == 59.0
+    assert baseline.reaches(state, DAY + dt.timedelta(days=50)) and not baseline.reaches(state, DAY + dt.timedelta(days=49))
+    again = baseline.advanced(state, history.limit(0).unionByName(history.filter("metric_value = 59").withColumn("metric_value", F.lit(-1.0))))
+    assert len(again.first().kept) == 40 and again.first().kept[-1]["value"] == -1.0
+    assert baseline.reaches(baseline.kept_values(history.limit(5)), DAY)
