@@ -823,6 +823,45 @@ def daily_run(spark, sf):
     )
 
 
+def _full_run(spark, sf) -> str:
+    """Two batches into one store with everything switched on: history kept in the store, configuration,
+    reference data, the first batch's runs as past runs, JSON levels, an orchestration run."""
+    folder, m = scratch_folder(spark), d.monitored(spark, sf)
+    at = F.lit("2024-01-31 06:00:00").cast("timestamp_ntz")
+    started = staged(store.start_orchestration(spark, ["/prod/events"], at), f"{folder}-started")
+    store.write_running(folder, started)
+    first = F.col("partition_date") < F.lit("2024-01-16").cast("date")
+    for batch in (m.filter(first), m.filter(~first)):
+        past = store.active(store.read_table(spark, folder, store.RUNS)) if store.has_table(spark, folder, store.RUNS) else None
+        daily.run(
+            spark, batch, folder, families=_families(m), enrichment=d.enrichment(spark), config=d.check_config(spark, d.FULL_CONFIG),
+            lob_lookup=d.lob_lookup(spark), past_runs=past, at=at, keep_baselines=True, json_columns=("event_attribute", "props"),
+            orchestration_run_id=store.orchestration_id(F.lit("/prod/events"), at),
+        )
+    store.finalize(spark, folder, at)
+    return folder
+
+
+@query
+def daily_run_numerics(spark, sf):
+    """Every stored number of a run with everything switched on."""
+    rows = store.read_table(spark, _full_run(spark, sf), store.NUMERICS)
+    return _rounded(rows.select(*c.KEYS, "check_type", "metric_name", "metric_value"), "metric_value")
+
+
+@query
+def daily_run_details(spark, sf):
+    """Status and reason of the checks of the same run."""
+    rows = store.read_table(spark, _full_run(spark, sf), store.DETAILS)
+    listed = (c.VOLUME, c.FRESHNESS, c.OPS, c.TIMESTAMP_SANITY, c.SLA_COUNTDOWN, c.INFERRED_SLA, c.SOURCE_SYSTEM_HEALTH,
+              c.CORRELATION, c.LINEAGE, c.CLASSIFICATION_WEIGHTED, c.DQS_SCORE)
+    of_check = F.col("check_type").isin(*listed) & (F.col("detail_type").endswith("_status") | F.col("detail_type").isin(
+        "dqs_score_breakdown", "timestamp_sanity.event_ts", "timestamp_sanity_summary"))
+    return rows.filter(of_check).select(
+        *c.KEYS, "check_type", "detail_type", F.get_json_object("detail_value", "$.status").alias("status"),
+        F.get_json_object("detail_value", "$.reason").alias("reason"))
+
+
 def _mixed_tree(spark, sf) -> str:
     """Three datasets with columns of their own; ``id`` has a different type in each, and
     the events gain a column on 2024-01-15."""

@@ -327,6 +327,17 @@ LOB_LOOKUP = [
     (2, "LOB_AUTOMOBILE", "Cars", "team south", "Tier 2 Standard", None),
     (3, "LOB_HOUSEHOLD", "Home goods", "team west", "Tier 3 Low", None),
     (4, "LOB_LEGACY", "Old machines", "team east", "Tier 1 Critical", _ENDED),
+    (5, "LOB_CLICKS", "Web clicks", "team web", "Tier 1 Critical", None),
+    (6, "LOB_TRADE", "Trade", "team trade", "Tier 3 Low", None),
+]
+
+# every check for every dataset, but for time stamps of one source, and JSON levels by business
+FULL_CONFIG = [
+    *((k, "%", check, True, 0, None) for k, check in enumerate(c.CHECK_TYPES) if check not in (c.TIMESTAMP_SANITY, c.DISTRIBUTION)),
+    (101, "lob=%", c.TIMESTAMP_SANITY, True, 0, None),
+    (102, "lob=retail/%", c.DISTRIBUTION, True, 1, None),
+    (103, "lob=commercial/%", c.DISTRIBUTION, True, 2, None),
+    (104, "src_sys_nm=%", c.DISTRIBUTION, True, 0, None),
 ]
 
 
@@ -340,9 +351,9 @@ def _dimension(spark: SparkSession, rows, names: str, types) -> DataFrame:
     ).drop("ended")
 
 
-def check_config(spark: SparkSession) -> DataFrame:
+def check_config(spark: SparkSession, rows=None) -> DataFrame:
     return _dimension(
-        spark, CHECK_CONFIG, "id dataset_pattern check_type enabled explosion_level",
+        spark, CHECK_CONFIG if rows is None else rows, "id dataset_pattern check_type enabled explosion_level",
         [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32()],
     )
 

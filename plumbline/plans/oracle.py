@@ -1102,6 +1102,79 @@ SELECT split_part(run_id, '@', 1) AS dataset_name, CAST(split_part(run_id, '@',
   status AS check_status, ROUND(composite_score, 2) AS dqs_score
 FROM ({scored_runs(_DAILY_SCORED)})""")
 
+# runs of the daily run in the place of the order runs, for the checks over run history
+_DAILY_RUNS = sql("counts stale rates enrichment", f"""
+SELECT ROW_NUMBER() OVER () AS run_id, x.*, {lowest('lookup_code', 'enrichment', 'x.dataset_name', 'e.lookup_code IS NOT NULL')} AS lookup_code,
+  0 AS rerun_number, {SENTINEL} AS expiry_date
+FROM (SELECT split_part(run_id, '@', 1) AS dataset_name, CAST(split_part(run_id, '@', 2) AS DATE) AS partition_date, status AS check_status,
+        CAST(ROUND(composite_score, 2) AS DECIMAL(5,2)) AS dqs_score, CAST(ROUND(composite_score * 100) AS BIGINT) AS cents, composite_score, reason
+      FROM ({scored_runs(_DAILY_SCORED)})) x""")
+
+
+def _over_daily_runs(name: str) -> str:
+    return ORACLE[name].replace(CTE["runs_all"].strip(), _DAILY_RUNS)
+
+
+_DAILY_SLA = f"""
+SELECT dataset_name, partition_date, sla_hours - datesub('hour', CAST(partition_date AS TIMESTAMP), TIMESTAMP '2024-01-31 06:00:00') AS hours_remaining, sla_hours
+FROM (SELECT *, CAST({lowest('sla_hours', 'enrichment', 'x.dataset_name', 'e.sla_hours IS NOT NULL')} AS DOUBLE) AS sla_hours FROM counts x)
+WHERE sla_hours IS NOT NULL"""
+_DAILY_INFERRED = ORACLE["chk_inferred_sla"].replace(
+    ORACLE["chk_inferred_sla"].split("h AS MATERIALIZED (")[1].split("),\nown")[0], "SELECT dataset_name, partition_date, hours_since_update FROM stale")
+_DAILY_CLASS = f"""
+SELECT r.dataset_name, r.partition_date, l.classification, CASE WHEN l.classification = 'Tier 1 Critical' THEN 2.0
+  WHEN l.classification = 'Tier 2 Standard' THEN 1.0 WHEN l.classification IS NOT NULL THEN 0.5 END AS multiplier
+FROM ({_DAILY_RUNS}) r LEFT JOIN lob_lookup l ON l.lookup_code = r.lookup_code"""
+
+
+def _numbers(source: str, check: str, *columns: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT dataset_name, partition_date, '{check}', '{x}', CAST({x} AS DOUBLE) FROM ({source}) WHERE {x} IS NOT NULL" for x in columns)
+
+
+_JSON_STATS = ORACLE["chk_dist_json_levels"]
+_FULL_NUMBERS = " UNION ALL ".join([
+    f"SELECT * FROM ({_ALL_METRICS}) WHERE metric_value IS NOT NULL AND (check_type <> 'TIMESTAMP_SANITY' OR dataset_name LIKE 'lob=%')",
+    *(f"SELECT dataset_name, partition_date, 'DISTRIBUTION', column_path || '.{n}', CAST({x} AS DOUBLE) FROM ({_JSON_STATS})"
+      for n, x in (("mean", "mean"), ("stddev", "stddev"), ("p50", "p50"), ("p95", "p95"), ("count", "sample_count"))),
+    _numbers(ORACLE["chk_volume_status"], "VOLUME", "pct_change", "row_count_stddev"),
+    _numbers("SELECT * FROM counts", "ZERO_ROW", "row_count"),
+    _numbers("SELECT dataset_name, partition_date, 0 AS added_fields_count, 0 AS removed_fields_count, 0 AS changed_fields_count FROM counts",
+             "SCHEMA", "added_fields_count", "removed_fields_count", "changed_fields_count"),
+    _numbers(_DAILY_SLA, "SLA_COUNTDOWN", "hours_remaining"),
+    _numbers(_DAILY_INFERRED, "INFERRED_SLA", "inferred_sla_hours", "deviation_from_inferred"),
+    _numbers(f"SELECT dataset_name, partition_date, multiplier AS classification_weighted_score FROM ({_DAILY_CLASS})",
+             "CLASSIFICATION_WEIGHTED", "classification_weighted_score"),
+    _numbers(_over_daily_runs("chk_source_health"), "SOURCE_SYSTEM_HEALTH", "aggregate_score", "dataset_count"),
+    _numbers(_over_daily_runs("chk_correlation"), "CORRELATION", "correlated_dataset_count", "correlation_ratio"),
+    _numbers(_over_daily_runs("chk_lineage"), "LINEAGE", "upstream_dataset_count", "upstream_failed_count"),
+    _numbers(_DAILY_RUNS, "DQS_SCORE", "composite_score"),
+])
+oracle("daily_run_numerics", "stats counts stale ts_judged enrichment lob_lookup", f"""
+SELECT dataset_name, partition_date, check_type, metric_name, {near('metric_value')} AS metric_value FROM ({_FULL_NUMBERS})""")
+
+
+def _judgements(source: str, check: str, detail: str) -> str:
+    return f"SELECT dataset_name, partition_date, '{check}' AS check_type, '{detail}' AS detail_type, status, reason FROM ({source})"
+
+
+oracle("daily_run_details", "stats counts stale ts_judged enrichment lob_lookup", " UNION ALL ".join([
+    _judgements(ORACLE["chk_volume_status"], "VOLUME", "volume_status"),
+    _judgements(ORACLE["chk_freshness_status"], "FRESHNESS", "freshness_status"),
+    _judgements(ORACLE["chk_ops_status"], "OPS", "ops_status"),
+    _judgements(f"SELECT * FROM ({ORACLE['chk_ts_sanity']}) WHERE dataset_name LIKE 'lob=%'", "TIMESTAMP_SANITY", "timestamp_sanity.event_ts"),
+    _judgements(f"SELECT * FROM ({ORACLE['chk_ts_sanity_summary']}) WHERE dataset_name LIKE 'lob=%'", "TIMESTAMP_SANITY", "timestamp_sanity_summary"),
+    _judgements(f"""SELECT *, CASE WHEN hours_remaining < 0 THEN 'FAIL' WHEN hours_remaining <= sla_hours * CAST(0.2 AS DOUBLE) THEN 'WARN' ELSE 'PASS' END AS status,
+      CASE WHEN hours_remaining < 0 THEN 'sla_breached' WHEN hours_remaining <= sla_hours * CAST(0.2 AS DOUBLE) THEN 'approaching_sla'
+      ELSE 'within_sla' END AS reason FROM ({_DAILY_SLA})""", "SLA_COUNTDOWN", "sla_countdown_status"),
+    _judgements(_DAILY_INFERRED, "INFERRED_SLA", "inferred_sla_status"),
+    _judgements(f"""SELECT *, 'PASS' AS status, CASE WHEN classification IS NULL THEN 'no_classification_found' ELSE 'classification_captured' END
+      AS reason FROM ({_DAILY_CLASS})""", "CLASSIFICATION_WEIGHTED", "classification_weighted_status"),
+    _judgements(_over_daily_runs("chk_source_health"), "SOURCE_SYSTEM_HEALTH", "source_system_health_status"),
+    _judgements(_over_daily_runs("chk_correlation"), "CORRELATION", "correlation_status"),
+    _judgements(_over_daily_runs("chk_lineage"), "LINEAGE", "lineage_status"),
+    _judgements(f"SELECT dataset_name, partition_date, check_status AS status, reason FROM ({_DAILY_RUNS})", "DQS_SCORE", "dqs_score_breakdown"),
+]))
 
 _MIXED = """
 WITH ev AS (SELECT partition_date, event_id AS id, value, tag FROM m),
