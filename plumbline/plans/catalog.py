@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline import constants as c
 from plumbline.functions import naming
 from plumbline.operators import (
-    baseline, checks, cross, json_paths, patterns, profile, reports, schema, score,
+    baseline, checks, cross, json_paths, patterns, profile, reports, schema, score, sketches,
 )
 from plumbline.plans import daily_run as daily, derived as d, file_run
 from plumbline.session import scratch_folder, staged
@@ -196,6 +196,25 @@ def profile_lineitem(spark, sf):
     return _rounded(profile.column_stats(lines), "mean", "stddev")
 
 
+@query
+def profile_month_quantiles(spark, sf):
+    """Quantiles of a month from the merged sketches of its days; whether their true ranks are as stated."""
+    m = d.monitored(spark, sf).select(*c.KEYS, "event_id", "user_id", "value")
+    days = staged(sketches.column_sketches(m), scratch_folder(spark))
+    month = F.trunc("partition_date", "month").alias("month")
+    asked = {"p50": 0.5, "p95": 0.95}
+    found = sketches.quantiles(sketches.merged(days.select("*", month), ["dataset_name", "month"]), asked)
+    values = F.array(*(F.struct(F.lit(x).alias("column_path"), F.col(x).cast("double").alias("v")) for x in ("event_id", "user_id", "value")))
+    rows = m.select("dataset_name", month, F.inline(values)).filter(F.col("v").isNotNull()).join(found, ["dataset_name", "month", "column_path"])
+    n = F.count(F.lit(1))
+    close = [
+        ((F.count_if(F.col("v") < F.col(x)) / n <= p + sketches.RANK_ERROR) & (F.count_if(F.col("v") <= F.col(x)) / n >= p - sketches.RANK_ERROR)).alias(f"{x}_close")
+        for x, p in asked.items()
+    ]
+    return rows.groupBy("dataset_name", "month", "column_path").agg(
+        F.max("sample_count").cast("bigint").alias("sample_count"), n.alias("row_count"), *close)
+
+
 # ---- history ----------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import constants as c
-from plumbline.operators import baseline, json_paths, patterns, profile, schema, score
+from plumbline.operators import baseline, json_paths, patterns, profile, schema, score, sketches
 from plumbline.plans import results
 from plumbline.session import scratch_folder, staged
 from plumbline.sources import store
@@ -95,6 +95,7 @@ def run(
     json_columns: Sequence[str] = (),
     rerun: bool = False,
     keep_baselines: bool = False,
+    keep_sketches: bool = False,
 ) -> None:
     """Check the partitions of ``monitored`` against ``history`` and store the results.
 
@@ -110,6 +111,7 @@ def run(
     new ones, which take the rerun numbers that follow.
     With ``keep_baselines`` the newest values of every metric are kept in the store and the next
     batch reads them and no history; batches then come in date order, but for the last ten days.
+    With ``keep_sketches`` a quantile sketch of every numeric column is stored too.
     """
     work = scratch_folder(spark)
     seen = store.last_commit(spark, folder)
@@ -125,6 +127,7 @@ def run(
         enrichment=enrichment, at=at, history=history, schema_history=schema_history, expected=expected,
         past_runs=past_runs, config=config, lob_lookup=lob_lookup, rerun_number=rerun_number,
         orchestration_run_id=orchestration_run_id, rerun=rerun, keep_baselines=keep_baselines, seen=seen,
+        sketch_rows=sketches.column_sketches(monitored) if keep_sketches else None,
     )
 
 
@@ -163,6 +166,7 @@ def judge_and_store(
     rerun: bool = False,
     keep_baselines: bool = False,
     seen: int | None = None,
+    sketch_rows: DataFrame | None = None,
 ) -> None:
     """Judge the metric rows ``measured`` of a batch and store everything.
 
@@ -274,6 +278,7 @@ def judge_and_store(
         numbered(runs).withColumns(identity),
         numbered(values).withColumns(identity).drop("rerun_number"),
         numbered(texts).withColumns(identity).drop("rerun_number"),
+        sketches=None if sketch_rows is None else numbered(sketch_rows).withColumns(identity).drop("rerun_number"),
         replace=again, at=at, seen=seen, baselines=baseline.advanced(kept, fresh) if keep_baselines else None,
     )
 

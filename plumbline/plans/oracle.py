@@ -502,6 +502,12 @@ oracle("profile_metrics", "stats counts stale ts_judged", f"""
 SELECT dataset_name, partition_date, check_type, metric_name, {near('metric_value')} AS metric_value
 FROM ({_ALL_METRICS})""")
 
+oracle("profile_month_quantiles", "m", """
+SELECT dataset_name, CAST(date_trunc('month', partition_date) AS DATE) AS month, column_path, COUNT(v) AS sample_count,
+  COUNT(v) AS row_count, TRUE AS p50_close, TRUE AS p95_close
+FROM (SELECT dataset_name, partition_date, unnest(['event_id', 'user_id', 'value']) AS column_path,
+        unnest([CAST(event_id AS DOUBLE), CAST(user_id AS DOUBLE), value]) AS v FROM m)
+GROUP BY 1, 2, 3 HAVING COUNT(v) > 0""")
 oracle("profile_lineitem", "", f"""
 SELECT 'src_sys_nm=s' || CAST(l_suppkey AS VARCHAR) AS dataset_name,
   CAST(date_trunc('year', l_shipdate) AS DATE) AS partition_date, column_path,

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from plumbline import constants as c
 from plumbline.functions.columns import as_column, ntz
 
-RUNS, NUMERICS, DETAILS = "runs", "numerics", "details"
+RUNS, NUMERICS, DETAILS, SKETCHES = "runs", "numerics", "details", "sketches"
 EXPIRIES, ORCHESTRATIONS, BASELINES, COMMITS = "expiries", "orchestrations", "baselines", "commits"
 _COMMIT = "batch_id string, seq bigint, covers bigint, schemas map<string,string>"
 _EXPIRIES = "run_id bigint, expired_at timestamp_ntz, next_rerun_number int"
@@ -332,18 +332,21 @@ def run_id(*columns: str) -> Column:
 
 def write_metrics(folder: str, runs: DataFrame, numerics: DataFrame, details: DataFrame, *,
                   replace: DataFrame | None = None, at=None, seen: int | None = None,
-                  baselines: DataFrame | None = None) -> int:
+                  baselines: DataFrame | None = None, sketches: DataFrame | None = None) -> int:
     """Append a batch to the three tables; it becomes visible as a whole.
 
     ``replace``: (dataset, date) whose active runs end at ``at`` in the same commit.
     ``seen``: the last commit the rows were made from; now, without.
     ``baselines``: the whole kept state after the batch, which takes the place of the former.
+    ``sketches``: rows with a run_id like the metrics, which end with their runs.
     """
     spark = runs.sparkSession
     seen = last_commit(spark, folder) if seen is None else seen
     tables = {NUMERICS: numerics, DETAILS: details, RUNS: runs}
     if replace is not None and has_table(spark, folder, RUNS, seen):
         tables[EXPIRIES] = _ended(spark, folder, replace, at, seen)
+    if sketches is not None:
+        tables[SKETCHES] = sketches
     if baselines is not None:
         tables[BASELINES] = baselines
     return _commit(spark, folder, tables, seen)
@@ -407,7 +410,7 @@ def compact(spark: SparkSession, folder: str) -> int:
     readers that began before, and for reads as of an earlier commit.
     """
     seen = last_commit(spark, folder)
-    tables = {name: read_table(spark, folder, name, seen) for name in (NUMERICS, DETAILS, RUNS) if has_table(spark, folder, name)}
+    tables = {name: read_table(spark, folder, name, seen) for name in (NUMERICS, DETAILS, SKETCHES, RUNS) if has_table(spark, folder, name, seen)}
     states = _visible(spark, folder, ORCHESTRATIONS, seen)
     if states is not None:
         newest = Window.partitionBy("orchestration_run_id").orderBy(F.desc("seq"))

@@ -175,3 +175,23 @@ def test_json_statistics_follow_mixed_and_deep_shapes(spark):
     assert sorted(r.column_path for r in json_paths.numeric_paths(df, ["t"]).collect()) == sorted(p for _, p in got)
     plan = json_paths._opened(df, ["t"], None, ["dataset_name"], 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate variant_explode") == 4 and plan.count("parseJson") == 1 and "Python" not in plan
+
+
+def test_sketches_merge_over_days_and_reruns(spark):
+    from plumbline.operators import sketches
+
+    df = spark.range(60_000).selectExpr("concat('d', id % 2) AS dataset_name", "date_add(date'2026-01-01', cast(id % 30 AS int)) AS partition_date",
+                                        "cast(pmod(hash(id), 1000003) AS double) AS x", "cast(NULL AS double) AS empty")
+    days = sketches.column_sketches(df)
+    assert days.count() == 2 * 15 * 2 and max(len(r.sketch) for r in days.collect()) < 40_000
+    got = {(r.dataset_name, r.column_path): r for r in sketches.quantiles(sketches.merged(days, ["dataset_name"]), {"p50": 0.5, "p95": 0.95}).collect()}
+    for name in ("d0", "d1"):
+        values = sorted(r.x for r in df.filter(F.col("dataset_name") == name).select("x").collect())
+        row = got[(name, "x")]
+        assert row.sample_count == len(values)
+        for p, q in ((0.5, row.p50), (0.95, row.p95)):
+            rank = sum(v <= q for v in values) / len(values)
+            assert abs(rank - p) <= sketches.RANK_ERROR
+        assert (got[(name, "empty")].p50, got[(name, "empty")].sample_count) == (None, 0)
+    plan = sketches.column_sketches(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate") + plan.count("SortAggregate") == 2 and plan.count("Exchange") == 1

@@ -312,3 +312,18 @@ def test_kept_baselines_know_their_reach(spark):
     again = baseline.advanced(state, history.limit(0).unionByName(history.filter("metric_value = 59").withColumn("metric_value", F.lit(-1.0))))
     assert len(again.first().kept) == 40 and again.first().kept[-1]["value"] == -1.0
     assert baseline.reaches(baseline.kept_values(history.limit(5)), DAY)
+
+
+def test_sketches_end_with_their_runs(spark):
+    from plumbline.operators import sketches
+
+    folder = scratch_folder(spark)
+    for value in (1.0, 9.0):
+        m = monitored(spark, [0], value)
+        fams = profile.default_families(m, freshness_column="source_event_timestamp", as_of=profile.per_partition_clock(30))
+        daily.run(spark, m, folder, families=fams, enrichment=d.enrichment(spark), keep_sketches=True, rerun=True,
+                  at=F.lit("2026-04-01 06:00:00").cast("timestamp_ntz"))
+    rows = store.read_table(spark, folder, store.SKETCHES)
+    assert rows.count() == 4 and store.active(rows).count() == 2
+    got = sketches.quantiles(sketches.merged(store.active(rows), ["dataset_name"]), {"p50": 0.5}).collect()
+    assert {r.column_path: r.p50 for r in got}["value"] == 9.0
