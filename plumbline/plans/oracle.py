@@ -1125,8 +1125,9 @@ _DAILY_SLA = f"""
 SELECT dataset_name, partition_date, sla_hours - datesub('hour', CAST(partition_date AS TIMESTAMP), TIMESTAMP '2024-01-31 06:00:00') AS hours_remaining, sla_hours
 FROM (SELECT *, CAST({lowest('sla_hours', 'enrichment', 'x.dataset_name', 'e.sla_hours IS NOT NULL')} AS DOUBLE) AS sla_hours FROM counts x)
 WHERE sla_hours IS NOT NULL"""
+# hours that no row gives are not stored
 _DAILY_INFERRED = ORACLE["chk_inferred_sla"].replace(
-    ORACLE["chk_inferred_sla"].split("h AS MATERIALIZED (")[1].split("),\nown")[0], "SELECT dataset_name, partition_date, hours_since_update FROM stale")
+    ORACLE["chk_inferred_sla"].split("h AS MATERIALIZED (")[1].split("),\nown")[0], "SELECT dataset_name, partition_date, hours_since_update FROM stale WHERE hours_since_update IS NOT NULL")
 _DAILY_CLASS = f"""
 SELECT r.dataset_name, r.partition_date, l.classification, CASE WHEN l.classification = 'Tier 1 Critical' THEN 2.0
   WHEN l.classification = 'Tier 2 Standard' THEN 1.0 WHEN l.classification IS NOT NULL THEN 0.5 END AS multiplier
