@@ -48,8 +48,8 @@ def _anchored(patterns: DataFrame, pattern: str) -> DataFrame:
     return best.withColumn("_key", key).drop("_runs", "_best", "_run")
 
 
-def _keyed_names(names: DataFrame, name: str, anchored: DataFrame) -> DataFrame:
-    """(name, _key): the keys a name can be found under, of the lengths that patterns have."""
+def _keyed_names(names: DataFrame, name: str, anchored: DataFrame, *others: str, outer: bool = False) -> DataFrame:
+    """(name, others, _key): the keys a name can be found under, of the lengths that patterns have."""
     sizes = [
         F.expr(f"collect_set(length(_key) - 1) FILTER (WHERE startswith(_key, '{kind}'))").alias(alias)
         for kind, alias in (("^", "b"), ("$", "e"), ("~", "m"))
@@ -61,7 +61,8 @@ def _keyed_names(names: DataFrame, name: str, anchored: DataFrame) -> DataFrame:
         f"concat(transform({fit('b')}, k -> concat('^', left({q}, k))), transform({fit('e')}, k -> concat('$', right({q}, k))),"
         f" flatten(transform({fit('m')}, k -> array_distinct(transform(sequence(1, length({q}) - k + 1), i -> concat('~', substr({q}, i, k)))))))"
     )
-    return names.withColumn("_l", lengths).select(name, F.explode(F.expr(keys)).alias("_key"))
+    explode = F.explode_outer if outer else F.explode
+    return names.withColumn("_l", lengths).select(name, *others, explode(F.expr(keys)).alias("_key"))
 
 
 def _distinct_names(names: DataFrame, name: str) -> DataFrame:
@@ -84,14 +85,21 @@ def lookup(names: DataFrame, name: str, patterns: DataFrame, value: str,
            pattern: str = "dataset_pattern") -> DataFrame:
     """Every distinct name with the value of its matching row of lowest id, else NULL.
 
-    Names without a match take part in the grouping, so nothing is joined back.
+    The left join keeps names without a match, so nothing is joined back; names,
+    keys and the final grouping share one partitioning by name.
     """
     rows = patterns.select(
         F.col("id").alias("_id"), F.col(pattern).alias("_pattern"), F.col(value).alias("_value")
     )
-    hits = match(names, name, rows, "_pattern").select(name, "_id", "_value")
-    every = _distinct_names(names, name).select(name, F.lit(None).alias("_id"), F.lit(None).alias("_value"))
-    return every.unionByName(hits).groupBy(name).agg(F.min_by("_value", "_id").alias(value))
+    anchored = _anchored(rows, "_pattern")
+    free = anchored.filter("_key IS NULL AND _pattern IS NOT NULL").agg(F.collect_list(F.struct("_id", "_value", "_pattern")).alias("_free")).scalar()
+    fitting = F.filter("_free", lambda p: F.like(F.col(name), p["_pattern"]))
+    loose = F.array_min(F.transform(fitting, lambda p: F.struct(p["_id"].alias("_id"), p["_value"].alias("_value"))))
+    distinct = _distinct_names(names, name).withColumn("_free", free).select(name, loose.alias("_loose"))
+    keyed = _keyed_names(distinct, name, anchored, "_loose", outer=True)
+    hit = F.when(F.like(F.col(name), F.col("_pattern")), F.struct("_id", "_value"))
+    best = keyed.join(anchored.filter("_key IS NOT NULL"), "_key", "left").groupBy(name).agg(F.min(hit).alias("_hit"), F.first("_loose").alias("_loose"))
+    return best.select(name, F.array_min(F.array("_hit", "_loose"))["_value"].alias(value))
 
 
 # ---- configuration lookups --------------------------------------------------
