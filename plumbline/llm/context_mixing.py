@@ -1,37 +1,42 @@
 """Language-model scores by online logistic context mixing.
 
-Texts are lower-cased (A-Z) token sequences: words, then one end.  A token is spelt as its
-bytes and a terminator; each byte is coded in bits along a Huffman tree that belongs to the
-byte before it, so likely bytes take few decisions.
-
-Predictors.  A bit is predicted in several hashed contexts: the last 2 and 4 bytes of the
-word, the whole beginning of the word, and for a first byte the word before.  Each
-context's 0/1 counts come from all training documents (crc32 of doc_id modulo 10 not 0)
-and give the log-odds of a bit.  For a training document the bit at hand is taken out of
-its own counts; else the mixer would learn to trust what it has merely memorised.
-
-Mixer.  Log-odds are added with weights of a gate (how much is known in the two longest
-contexts) and refined by an adaptive map of (gate, log-odds).  Weights and map learn online: a block's
-documents come in the order of their ids, in slices of about a megabyte; a slice is scored
-first, then its training documents correct the weights.  The sum of the log-probabilities
-is the score; bits per byte follow from it.
+Texts are lower-cased (A-Z) token sequences: words, then one end.  A token is coded by up to
+three bits: does it follow the two tokens before it somewhere in the training texts (crc32 of
+doc_id modulo 10 not 0), else does it follow the one before it, else does it occur at all.  A
+bit that says yes leaves the token to the frequencies of that context; after three times no
+its bytes are coded one by one, each after the one before it.
+
+Predictors.  Each hashed context tells how often it was seen (n) and how many different tokens
+followed (t); both give the log-odds that the next token is among them.  Counts are exact and
+come from all training documents.  For a training document the token at hand is taken out of
+its own counts, and its spelt bytes out of theirs; else the mixer would learn to trust what it has
+merely memorised.
+
+Mixer.  The log-odds of the contexts are added with the weights of a gate (which bit, how much
+its context has seen) and refined by an adaptive map of all levels.  Documents meet the mixer in
+16 slices (by hash of id and text); the weights take one damped step per slice, online, and the
+map is fitted last.  What a slice teaches is a histogram of levels of bounded size, so weights
+are learnt once, from all training documents, whatever the partitioning; then every document is
+scored with them.  The sum of the log-probabilities is the score; bits per byte divide it by the
+text's UTF-8 bytes (by 1 if there are none).
 
 Base.  ``base_score`` is the unigram score with all token counts of the training documents.
-Counts are exact: each block asks shards of the hash space for its different tokens, and
-the shards answer with totals.
 
-Scale: the context tables have a fixed number of slots with bounded counters and are
-broadcast; token counts grow with the corpus and are never gathered in one place.  A block
-holds documents of nearby ids and of bounded size; a source or a token of any frequency
-costs one entry per block.
-
-Null texts are empty (one end token); rows without a doc_id count as held out; repeated
-rows are scored each; empty tables give no rows; other columns are ignored.
+Scale.  Contexts and counts grow with the corpus and are never gathered in one place.  Texts are
+dealt to blocks of about 16 MB by hash of id and text; a block sends its different (context,
+token) pairs with counts to as many shards of the hash space and gets totals back.  Shard and
+block numbers follow the counted bytes, so groups keep their size as the corpus grows; a pair of
+any frequency is one entry per block.  A context is known by some 32 bits within its shard, a
+token there by 24: about one context in a thousand shares its counts with another, at any size.
+Rows equal in id and text share a block; only a single text can make a block larger.
+
+Null texts are empty (one end token); rows without a doc_id count as held out; repeated rows
+are scored each; very long texts are scored whole by one task; empty tables give no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,18 +46,23 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import _FOLDED, Scratch, mix, prefix_hashes, slices, span_hashes, text_or_empty, word_spans
 
-BLOCK_DOCS = 4096
+#: Bytes of text in a block, on average.
+BLOCK_BYTES = 1 << 24
 END, GAP = 0x0A, 0x20
 END_HASH = np.uint64(0xE17A1465D0C3AB29)
-#: log2 of the slots of each context table, in this order
-TABLES = {"two": 18, "four": 21, "start": 22, "word": 20}
-OFFSETS = np.cumsum([0, *[1 << b for b in TABLES.values()]])
-CHUNK = 1 << 17
-#: Gates are pairs of confidence levels: of the word's beginning and of the last four bytes.
-LEVELS, MAP = 6, 33
-GATES = LEVELS * LEVELS
-RATE = 0.5
-SCORE_BYTES = 3 << 18
+#: Slices in which the mixer meets the documents.
+SLICES = 16
+TOKEN_BITS = 24
+#: Levels of how often a context was seen, and of followers per sight, with their middles.
+SEEN, SEEN_MIDDLE = (1, 2, 3, 5, 9, 33), np.array([0, 1, 2, 3.5, 6.5, 18, 80])
+FRESH, FRESH_MIDDLE = (0.2, 0.5, 0.7, 0.999), np.array([0.1, 0.35, 0.6, 0.85, 1.0])
+STATES = len(SEEN_MIDDLE) * len(FRESH_MIDDLE)
+#: Cells: (bit, state of the longer context, state of the shorter one, outcome), then pairs of bytes.
+CELLS = 3 * STATES * STATES
+PAIRS = 2 * CELLS
+SYMBOLS = PAIRS + (1 << 16)
+#: Sights of a pair of bytes before the first one.
+UNSEEN = 0.05
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -60,13 +70,10 @@ _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10
-    return docs.select(
-        F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"), (remainder != 0).alias("train"),
-        F.coalesce(F.floor(F.col(key).cast("bigint") / BLOCK_DOCS), F.lit(-1)).cast("bigint").alias("block"),
-    )
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"), (remainder != 0).alias("train"))
 
 
-# ---------------------------------------------------------------- tokens and codes
+# ---------------------------------------------------------------- tokens and contexts
 
 class Tokens:
     """Different tokens of a slice (the end is one), and the sequence of all tokens."""
@@ -83,367 +90,325 @@ class Tokens:
         is_end = np.zeros(len(every), bool)
         is_end[last] = True
         every[is_end], every[~is_end] = END_HASH, hashes
-        self.hashes, first, self.which = np.unique(every, return_index=True, return_inverse=True)
-        self.row = np.repeat(np.arange(docs), self.count)
-        self.nth = np.arange(len(every)) - np.repeat(last - words, self.count)
-        self.before = np.r_[END_HASH, every[:-1]] if len(every) else every
-        self.before[self.nth == 0] = END_HASH
-        source = np.cumsum(~is_end) - 1
-        ended = is_end[first]
-        size = np.where(ended, 1, 0)
-        at = source[first[~ended]]
-        size[~ended] = ends[at] - starts[at] + 1
-        self.first = np.cumsum(size) - size
-        self.size = size
-        self.bytes = np.full(int(size.sum()), GAP, np.uint8)
-        self.bytes[self.first[ended]] = END
-        inner = size[~ended] - 1
-        step = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner)
-        self.bytes[np.repeat(self.first[~ended], inner) + step] = data[np.repeat(starts[at], inner) + step]
-
-    def place(self) -> np.ndarray:
-        return np.arange(len(self.bytes)) - np.repeat(self.first, self.size)
-
-    def previous(self, back: int, place: np.ndarray) -> np.ndarray:
-        out = np.full(len(self.bytes), GAP, np.uint8)
-        out[back:] = self.bytes[:-back]
-        out[place < back] = GAP
-        return out
-
-
-def pair_counts(rows: DataFrame) -> np.ndarray:
-    """How often each byte follows each other one in the training tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
-                t = Tokens(data, offsets)
-                pair = t.previous(1, t.place()).astype(np.int64) << 8 | t.bytes
-                times = np.bincount(t.which, minlength=len(t.hashes))
-                counts += np.bincount(pair, np.repeat(times, t.size), 1 << 16).astype(np.int64)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["pair", "n"])
-
-    got = rows.filter("train").select("text").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << 16, np.int64)
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(256, 256)
-
-
-class Code:
-    """Huffman codes of a byte after each byte: (pair) -> nodes and bits."""
-
-    def __init__(self, counts: np.ndarray):
-        lengths, nodes, bits = np.zeros(1 << 16, np.int64), [], []
-        for before in range(256):
-            # every byte can follow: unseen ones share a small weight
-            heap = [(int(n) * 4096 + 1, s, None) for s, n in enumerate(counts[before])]
-            heapq.heapify(heap)
-            made = 256
-            while len(heap) > 1:
-                a, b = heapq.heappop(heap), heapq.heappop(heap)
-                heapq.heappush(heap, (a[0] + b[0], made, (a, b)))
-                made += 1
-            codes: list[tuple[list[int], list[int]]] = [([], [])] * 256
-            stack, number = [(heap[0], [], [])], 0
-            while stack:
-                (_, symbol, pair), path, taken = stack.pop()
-                if pair is None:
-                    codes[symbol] = (path, taken)
-                    continue
-                here, number = number, number + 1
-                stack += [(pair[k], [*path, here], [*taken, k]) for k in (0, 1)]
-            for symbol, (path, taken) in enumerate(codes):
-                lengths[before << 8 | symbol] = len(path)
-                nodes.append(np.array(path, np.uint8))
-                bits.append(np.array(taken, np.uint8))
-        self.length, self.start = lengths, np.cumsum(lengths) - lengths
-        self.node, self.bit = np.concatenate(nodes), np.concatenate(bits)
-
-
-class Bits:
-    """The bits of the different tokens of a slice with their context slots and gates."""
-
-    def __init__(self, t: Tokens, code: Code):
-        place = t.place()
-        one, two, three, four = (t.previous(k, place).astype(np.uint64) for k in range(1, 5))
-        pair = one.astype(np.int64) << 8 | t.bytes
-        length = code.length[pair]
-        of = np.repeat(np.arange(len(pair)), length)
-        depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-        flat = code.start[pair][of] + depth
-        self.node, self.bit = code.node[flat].astype(np.uint64), code.bit[flat] == 1
-        token_bits = np.add.reduceat(length, t.first) if len(t.first) else length
-        self.size, self.first = token_bits, np.cumsum(token_bits) - token_bits
-        self.opening = length[t.first]
-        begun = span_hashes(prefix_hashes(t.bytes, _FOLDED), np.repeat(t.first, t.size), np.arange(len(t.bytes)))
+        self.every, self.row = every, np.repeat(np.arange(docs), self.count)
+        self.start, self.end = np.full(len(every), -1), np.full(len(every), -1)
+        self.start[~is_end], self.end[~is_end] = starts, ends
+        self.data = data
+        nth = np.arange(len(every)) - np.repeat(last - words, self.count)
+        one, two = np.full(len(every), END_HASH), np.full(len(every), END_HASH)
+        one[1:], two[2:] = every[:-1], every[:-2]
+        one[nth == 0] = END_HASH
+        two[nth <= 1] = END_HASH
         with np.errstate(over="ignore"):
-            last_two = one | two << np.uint64(8)
-            keys = [last_two, last_two | three << np.uint64(16) | four << np.uint64(24), begun]
-            slots = []
-            for key, log, base in zip(keys, list(TABLES.values())[:3], OFFSETS[:3].tolist(), strict=True):
-                mixed = (mix(key)[of] + self.node * _G2) * _G1
-                slots.append((mixed >> np.uint64(64 - log)).astype(np.int64) + base)
-        self.slots = slots
-
-
-def _word_slots(before: np.ndarray, node: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(before + node * _G3) >> np.uint64(64 - TABLES["word"])).astype(np.int64) + OFFSETS[3]
-
-
-def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices first, first + 1, ... of each run, and the place inside the run."""
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return np.repeat(first, size) + place, place
-
-
-# ---------------------------------------------------------------- context tables
-
-def _bounded(counts: np.ndarray) -> np.ndarray:
-    """Both counts of a slot scaled down together to two bytes each."""
-    most = counts.max(1, keepdims=True)
-    return np.minimum(np.ceil(counts * np.minimum(1.0, 65535.0 / np.maximum(most, 1))), 65535).astype(np.uint16)
-
-
-LEVEL = np.searchsorted([1, 3, 8, 24, 80], np.arange(256), "right").astype(np.uint8)
-#: Weight, in observations, of what a shorter context says of a bit.
-PRIOR = 0.5
-
-
-def packed(counts: np.ndarray) -> np.ndarray:
-    return counts[:, 1].astype(np.uint32) << np.uint32(16) | counts[:, 0]
-
-
-def context_tables(rows: DataFrame, code: Code) -> np.ndarray:
-    """Counts of ones (upper half) and zeros in each slot."""
-    total = int(OFFSETS[-1])
-
+            short = mix(one * _G2 + _G1)
+            self.contexts = mix(short + mix(two + _G3)), short
+
+    def spelt(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, pair) of the bytes of some tokens; a word's last byte is a gap, the end's only one a mark."""
+        size = np.where(self.start[which] < 0, 1, self.end[which] - self.start[which] + 1)
+        first = np.cumsum(size) - size
+        out = np.full(int(size.sum()), GAP, np.int64)
+        place = np.arange(len(out)) - np.repeat(first, size)
+        inner = place < np.repeat(size - 1, size)
+        out[inner] = self.data[(np.repeat(self.start[which], size) + place)[inner]]
+        out[first[self.start[which] < 0]] = END
+        before = np.r_[np.int64(GAP), out[:-1]]
+        before[first] = GAP
+        return np.repeat(self.row[which], size), before << 8 | out
+
+
+def _pairs(t: Tokens, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and 56-bit name of each (context, token)."""
+    context = t.contexts[order]
+    name = context >> np.uint64(32) << np.uint64(TOKEN_BITS) | t.every >> np.uint64(64 - TOKEN_BITS)
+    return (context & np.uint64(0xFFFFFFFF)) % np.uint64(shards), name
+
+
+def _distinct(shard: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the different (shard, name): shards, names and each entry's number."""
+    order = np.lexsort((name, shard))
+    s, v = shard[order], name[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
+    number = np.empty(len(s), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return s[new], v[new], number
+
+
+class Block:
+    """All tokens of a block with the different names that it asks shards for."""
+
+    def __init__(self, table: pa.Table, shards: int):
+        self.train = table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
+        self.slices = [(first, len(o) - 1, Tokens(data, o)) for first, data, o in slices(table.column("text").combine_chunks(), 1 << 22)]
+        learnt = [self.train[first:first + size][t.row] for first, size, t in self.slices]
+        self.learnt = np.concatenate([np.zeros(0, bool), *learnt])
+        self.asked = []
+        every = np.concatenate([np.zeros(0, np.uint64), *[t.every for *_, t in self.slices]])
+        self.asked.append(_distinct(every % np.uint64(shards), every))
+        for order in (0, 1):
+            shard, name = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in zip(*[_pairs(t, order, shards) for *_, t in self.slices], strict=True))
+            self.asked.append(_distinct(shard, name))
+
+
+def _planes(x: np.ndarray, kind: type) -> bytes:
+    """Bytes of equal weight side by side: high ones are mostly zero and take no room in a shuffle."""
+    x = np.ascontiguousarray(x, kind)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _joined(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+ASKED = "shard bigint, block bigint, what int, names binary, counts binary"
+ANSWERED = "block bigint, shard bigint, what int, own binary, seen binary, fresh binary, kinds bigint, tokens bigint"
+
+
+def _ask(table: pa.Table, shards: int) -> pa.Table:
+    block, rows = Block(table, shards), []
+    number = table.column("block")[0].as_py()
+    for what, (shard, name, which) in enumerate(block.asked):
+        counts = np.bincount(which[block.learnt], minlength=len(name))
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            rows.append((int(shard[lo]), number, what, _planes(np.diff(name[lo:hi], prepend=np.uint64(0)), np.uint64), _planes(counts[lo:hi], np.uint32)))
+    shard, number, what, names, counts = zip(*rows, strict=True)
+    return pa.table({
+        "shard": pa.array(shard, pa.int64()), "block": pa.array(number, pa.int64()), "what": pa.array(what, pa.int32()),
+        "names": pa.array(names, pa.binary()), "counts": pa.array(counts, pa.binary()),
+    })
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For each asking block the totals of its names: of the pair, of its context, and different tokens after it."""
+    kinds_of = table.column("what").to_numpy()
+    rows = []
+    for what in np.unique(kinds_of).tolist():
+        part = table.filter(pa.array(kinds_of == what))
+        with np.errstate(over="ignore"):
+            names = [np.cumsum(_joined(x, np.uint64), dtype=np.uint64) for x in part.column("names").to_pylist()]
+        counts = np.concatenate([_joined(x, np.uint32) for x in part.column("counts").to_pylist()])
+        value, which = np.unique(np.concatenate(names), return_inverse=True)
+        own = np.bincount(which, counts, len(value)).astype(np.uint64)
+        if what:
+            context = value >> np.uint64(TOKEN_BITS)
+            number = np.cumsum(np.r_[False, context[1:] != context[:-1]])
+            seen = np.bincount(number, own).astype(np.uint64)[number]
+            fresh = np.bincount(number, own > 0).astype(np.uint64)[number]
+        ends = np.cumsum([len(x) for x in names]).tolist()
+        for block, shard, x, end in zip(part.column("block").to_pylist(), part.column("shard").to_pylist(), names, ends, strict=True):
+            at = which[end - len(x):end]
+            more = (_planes(seen[at], np.uint64), _planes(fresh[at], np.uint64)) if what else (b"", b"")
+            rows.append((block, shard, what, _planes(own[at], np.uint64), *more, 0, 0))
+        if not what:
+            rows.append((None, None, 0, b"", b"", b"", int((own > 0).sum()), int(own.sum())))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    names = ("block", "shard", "what", "own", "seen", "fresh", "kinds", "tokens")
+    return pa.table({n: pa.array(x, t) for n, t, x in zip(names, types, zip(*rows, strict=True), strict=True)})
+
+
+# ---------------------------------------------------------------- bits and their cells
+
+def _state(seen: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    level = np.searchsorted(SEEN, seen, "right")
+    return level * len(FRESH_MIDDLE) + np.searchsorted(FRESH, fresh / np.maximum(seen, 1), "right")
+
+
+CODED = (
+    "doc_id bigint, train boolean, slice int, n_bytes bigint, n_tokens bigint, n_known bigint, base double, within double, plain bigint,"
+    " cells binary, times binary, kinds bigint, tokens bigint"
+)
+
+
+def _code(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
+    """What scoring needs of each document: sums that depend on counts alone, and a histogram of its cells."""
+    if not len(left):  # the answers' totals
+        none = {n: pa.nulls(len(right), t) for n, t in (
+            ("doc_id", pa.int64()), ("train", pa.bool_()), ("slice", pa.int32()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+            ("base", pa.float64()), ("within", pa.float64()), ("plain", pa.int64()), ("cells", pa.binary()), ("times", pa.binary()))}
+        return pa.table({**none, "kinds": right.column("kinds"), "tokens": right.column("tokens")})
+    block = Block(left, shards)
+    right = right.sort_by([("what", "ascending"), ("shard", "ascending")])
+    what = right.column("what").to_numpy()
+    given = []
+    for k, (_, name, which) in enumerate(block.asked):
+        part = right.filter(pa.array(what == k))
+        columns = ("own", "seen", "fresh") if k else ("own",)
+        got = [np.concatenate([np.zeros(0, np.uint64), *[_joined(x, np.uint64) for x in part.column(c).to_pylist()]]).astype(np.int64) for c in columns]
+        if any(len(x) != len(name) for x in got):
+            raise RuntimeError("shards answered other names than those asked for")
+        given.append([x[which] for x in got])
+    (total,), (own2, seen2, fresh2), (own1, seen1, fresh1) = given
+    base, known = np.log10(total + 0.1), total > 0
+    # a training document does not learn from itself
+    taught = block.learnt
+    fresh2, fresh1 = fresh2 - (taught & (own2 == 1)), fresh1 - (taught & (own1 == 1))
+    own2, seen2, own1, seen1, total = (x - taught for x in (own2, seen2, own1, seen1, total))
+    states = _state(seen2, fresh2) * STATES + _state(seen1, fresh1)
+    asks2 = seen2 > 0
+    hit2 = own2 > 0
+    asks1 = ~hit2 & (seen1 > 0)
+    hit1 = asks1 & (own1 > 0)
+    asks0 = ~hit2 & ~hit1
+    hit0 = asks0 & (total > 0)
+    within = np.zeros(len(total))
+    within[hit2] = np.log10(own2[hit2] / seen2[hit2])
+    within[hit1] = np.log10(own1[hit1] / seen1[hit1])
+    within[hit0] = np.log10(total[hit0])
+    out: list[tuple[np.ndarray, ...]] = []
+    cells, times = [], []
+    at = 0
+    for _, size, t in block.slices:
+        here = slice(at, at + len(t.every))
+        at += len(t.every)
+        rows, symbols = [], []
+        for bit, (asks, hit) in enumerate(((asks2, hit2), (asks1, hit1), (asks0, hit0))):
+            some = asks[here]
+            rows.append(t.row[some])
+            symbols.append(((bit * STATES * STATES + states[here][some]) << 1) | hit[here][some])
+        row, pair = t.spelt(np.flatnonzero((asks0 & ~hit0)[here]))
+        rows.append(row)
+        symbols.append(PAIRS + pair)
+        value, n = np.unique(np.concatenate(rows) * SYMBOLS + np.concatenate(symbols), return_counts=True)
+        ends = np.searchsorted(value, np.arange(size + 1) * SYMBOLS)
+        symbol, n = (value % SYMBOLS).astype(np.uint32), n.astype(np.uint32)
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            cells.append(symbol[lo:hi].tobytes())
+            times.append(n[lo:hi].tobytes())
+        out.append((
+            t.count, np.bincount(t.row, known[here], size), np.bincount(t.row, base[here], size),
+            np.bincount(t.row, within[here], size), np.bincount(t.row, hit0[here], size),
+        ))
+    count, known_n, base_sum, within_sum, plain = (np.concatenate(x) for x in zip(*out, strict=True))
+    whole = lambda x: pa.array(x.astype(np.int64))
+    nought = pa.array(np.zeros(len(left), np.int64))
+    return pa.table({
+        "doc_id": left.column("doc_id"), "train": left.column("train"), "slice": left.column("slice"), "n_bytes": left.column("n_bytes"),
+        "n_tokens": whole(count), "n_known": whole(known_n), "base": pa.array(base_sum), "within": pa.array(within_sum), "plain": whole(plain),
+        "cells": pa.array(cells, pa.binary()), "times": pa.array(times, pa.binary()), "kinds": nought, "tokens": nought,
+    })
+
+
+# ---------------------------------------------------------------- the mixer
+
+def _lessons(coded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms of the training documents: of bits by slice, of pairs of bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(total * 2, np.float32)
-        for batch in batches:
-            for _, data, offsets in slices(batch.column(0), 1 << 20):
-                t = Tokens(data, offsets)
-                b = Bits(t, code)
-                times = np.repeat(np.bincount(t.which, minlength=len(t.hashes)), b.size).astype(np.float32)
-                for slot in b.slots:
-                    np.add.at(counts, slot * 2 + b.bit, times)
-                at, _ = _spread(b.first[t.which], b.opening[t.which])
-                slot = _word_slots(np.repeat(t.before, b.opening[t.which]), b.node[at])
-                np.add.at(counts, slot * 2 + b.bit[at], np.float32(1))
-        counts = counts.reshape(-1, 2)
-        for k in range(0, len(counts), CHUNK):
-            some = np.flatnonzero(counts[k:k + CHUNK].any(1))
-            if len(some):
-                small = _bounded(counts[k:k + CHUNK][some])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // CHUNK], pa.int32()), pa.array([some.astype(np.uint32).tobytes()]), pa.array([small.tobytes()])],
-                    names=["chunk", "slots", "counts"],
-                )
-
-    def merge(group: pa.Table) -> pa.Table:
-        counts = np.zeros((CHUNK, 2), np.float32)
-        for slots, some in zip(group.column("slots").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            counts[np.frombuffer(slots, np.uint32)] += np.frombuffer(some, np.uint16).reshape(-1, 2)
-        return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([_bounded(counts).tobytes()], pa.binary())})
-
-    train = rows.filter("train").select("text")
-    # each task's tables travel, so tasks are made large
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, train.rdd.getNumPartitions() // 4)
-    parts = train.coalesce(tasks).mapInArrow(run, "chunk int, slots binary, counts binary")
-    got = parts.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").toArrow()
-    out = np.zeros((-(-total // CHUNK) * CHUNK, 2), np.uint16)
-    for chunk, own in zip(got.column("chunk").to_pylist(), got.column("counts").to_pylist(), strict=True):
-        out[chunk * CHUNK:(chunk + 1) * CHUNK] = np.frombuffer(own, np.uint16).reshape(-1, 2)
-    return packed(out[:total])
-
-
-# ---------------------------------------------------------------- token counts
-
-def token_totals(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(block, hashes, counts): the training counts of a block's tokens; block null: (V, N) of a shard."""
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, pairs = np.zeros((SLICES, PAIRS), np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            block = batch.column(1).to_numpy()
-            train = batch.column(2).to_numpy(zero_copy_only=False)
-            parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for first, data, offsets in slices(batch.column(0)):
-                t = Tokens(data, offsets)
-                own = block[first:first + len(offsets) - 1]
-                learnt = train[first:first + len(offsets) - 1]
-                for k in np.unique(own).tolist():
-                    mine = own[t.row] == k
-                    n = np.bincount(t.which[mine & learnt[t.row]], minlength=len(t.hashes))
-                    here = np.bincount(t.which[mine], minlength=len(t.hashes)) > 0
-                    parts.setdefault(k, []).append((t.hashes[here], n[here]))
-            for k, found in parts.items():
-                hashes, inverse = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([x for _, x in found])).astype(np.uint32)
-                shard = hashes >> np.uint64(54)
-                for s in np.unique(shard):
-                    lo, hi = np.searchsorted(shard, [s, s + np.uint64(1)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(s)], pa.int32()), pa.array([k]), pa.array([hashes[lo:hi].tobytes()]), pa.array([n[lo:hi].tobytes()]), pa.array([int(hi - lo)], pa.int64())],
-                        names=["shard", "block", "hashes", "counts", "n"],
-                    )
-
-    asked = scratch.keep(rows.select("text", "block", "train").mapInArrow(ask, "shard int, block bigint, hashes binary, counts binary, n bigint"))
-    return asked
-
-
-def _answers(asked: DataFrame) -> DataFrame:
-    """Totals for each asking block.  The 1024 shards are dealt as they are: each is a range of hashes."""
-    def answer(group: pa.Table) -> pa.Table:
-        blocks = group.column("block").to_pylist()
-        parts = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
-        value, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, counts, len(value))
-        ends = np.cumsum([len(x) for x in parts])
-        back = [total[inverse[e - len(x):e]].astype(np.uint32).tobytes() for x, e in zip(parts, ends.tolist(), strict=True)]
-        known = total > 0
-        return pa.table({
-            "block": pa.array([*blocks, None], pa.int64()), "hashes": pa.array([*[x.tobytes() for x in parts], b""], pa.binary()),
-            "counts": pa.array([*back, b""], pa.binary()),
-            "kinds": pa.array([*[0] * len(blocks), int(known.sum())], pa.int64()), "tokens": pa.array([*[0] * len(blocks), int(total.sum())], pa.int64()),
-        })
-
-    return asked.groupBy("shard").applyInArrow(answer, "block bigint, hashes binary, counts binary, kinds bigint, tokens bigint")
-
-
-# ---------------------------------------------------------------- scoring
+            for k, cells, times in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                symbol, n = np.frombuffer(cells, np.uint32), np.frombuffer(times, np.uint32)
+                cut = int(np.searchsorted(symbol, PAIRS))
+                bits[k, symbol[:cut]] += n[:cut]
+                pairs[symbol[cut:] - PAIRS] += n[cut:]
+        for k, counts in enumerate((*bits, pairs)):
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["k", "cell", "n"])
+
+    got = coded.filter("train").select("slice", "cells", "times").mapInArrow(run, "k int, cell int, n bigint").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    bits, pairs = np.zeros((SLICES, PAIRS)), np.zeros(1 << 16)
+    k, cell, n = (got.column(c).to_numpy() for c in ("k", "cell", "n"))
+    bits[k[k < SLICES], cell[k < SLICES]] = n[k < SLICES]
+    pairs[cell[k == SLICES]] = n[k == SLICES]
+    return bits.reshape(SLICES, CELLS, 2), pairs
+
 
 class Mixer:
-    """Gated weights and the adaptive map, learning as they go."""
+    """Gated weights of the contexts' log-odds and the adaptive map over cells."""
 
     def __init__(self) -> None:
-        self.weights = np.zeros((GATES, len(TABLES)), np.float32)
-        # where many observations tell, the whole beginning of the word leads
-        self.weights[:, 1:] = (0.55, 0.45, 0.3)
-        self.weights[-LEVELS:, 1:3] = (0.3, 0.7)
-        self.map = np.zeros(GATES * MAP, np.float32)
-
-    def step(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, learn: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of the bits; then learn from each ``learn`` times.
-
-        ``gate`` is sorted: the bits of a gate are a run.  The weights take damped Newton steps.
-        """
-        cut = np.r_[0, np.flatnonzero(gate[1:] != gate[:-1]) + 1, len(gate)].tolist()
-        odds = np.empty(len(bit), np.float32)
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            odds[lo:hi] = self.weights[gate[lo]] @ x[:, lo:hi]
-        cell = gate.astype(np.int32) * MAP + np.clip(np.rint(odds * 2) + MAP // 2, 0, MAP - 1).astype(np.int32)
-        odds += self.map[cell]
-        np.clip(odds, -20, 20, out=odds)
-        logs = -np.log1p(np.exp(np.where(bit, -odds, odds)))
-        p = 1 / (1 + np.exp(-odds))
-        wrong = (bit - p) * learn
-        open_ = p * (1 - p) * learn
-        damp = np.eye(len(x), dtype=np.float32) * 20
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            part = x[:, lo:hi]
-            self.weights[gate[lo]] += RATE * np.linalg.solve((part * open_[lo:hi]) @ part.T + damp, part @ wrong[lo:hi])
-        sure = np.bincount(cell, open_, GATES * MAP) + 20
-        self.map += (0.3 * np.bincount(cell, wrong, GATES * MAP) / sure).astype(np.float32)
-        return logs
-
-
-def _blend(ones: np.ndarray, count: np.ndarray, shorter: np.ndarray | np.float32) -> np.ndarray:
-    """Probability of a one from the counts of a context and what the shorter one says."""
-    return (ones + PRIOR * shorter) / (count + np.float32(PRIOR))
-
-
-def _odds(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
-    return np.log(p / (1 - p))
-
-
-def _seen(counts: np.ndarray, slot: np.ndarray, bit: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ones and all of each slot; where ``taught`` the bit's own count is taken out."""
-    both = counts[slot]
-    ones, zeros = both >> np.uint32(16), both & np.uint32(0xFFFF)
-    ones -= (ones > 0) & bit & taught
-    zeros -= (zeros > 0) & ~bit & taught
-    return ones.astype(np.float32), (ones + zeros).astype(np.float32)
-
-
-def _score_slice(t: Tokens, b: Bits, counts: np.ndarray, train: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each document of the slice.
-
-    Within a slice the weights are fixed, so equal words are computed once (for training and
-    other documents apart), but for their first byte, which depends on the word before.
-    Each context starts from what the shorter one says, so a rare context speaks softly.
-    """
-    learnt = train[t.row]
-    kinds, kind_of, times = np.unique(t.which * 2 + learnt, return_inverse=True, return_counts=True)
-    word = kinds >> 1
-    opening = b.opening[word]
-    rest = b.size[word] - opening
-    inner, _ = _spread(b.first[word] + opening, rest)
-    starting = opening[kind_of]
-    begin, _ = _spread(b.first[t.which], starting)
-    index = np.r_[inner, begin]
-    taught = np.r_[np.repeat((kinds & 1) == 1, rest), np.repeat(learnt, starting)]
-    weight = np.r_[np.repeat(times * (kinds & 1), rest), np.repeat(learnt, starting)].astype(np.float32)
-    bit = b.bit[index]
-    x = np.zeros((len(TABLES), len(index)), np.float32)
-    gate = np.zeros(len(index), np.uint8)
-    p: np.ndarray | np.float32 = np.float32(0.5)
-    for k, slot in enumerate(b.slots):
-        ones, n = _seen(counts, slot[index], bit, taught)
-        p = _blend(ones, n, p)
-        x[k] = _odds(p)
-        if k:
-            gate = gate * np.uint8(LEVELS) + LEVEL[np.minimum(n, 255).astype(np.uint8)]
-    first = slice(len(inner), None)
-    slot = _word_slots(np.repeat(t.before, starting), b.node[begin])
-    x[3, first] = _odds(_blend(*_seen(counts, slot, bit[first], taught[first]), p[first])) - x[2, first]
-    order = np.argsort(gate, kind="stable")
-    logs = np.empty(len(index))
-    logs[order] = mixer.step(x[:, order], gate[order], bit[order], weight[order])
-    sums = np.r_[0.0, np.cumsum(logs)]
-    ends = np.cumsum(rest)
-    of_kind = sums[ends] - sums[ends - rest]
-    ends = len(inner) + np.cumsum(starting)
-    return np.bincount(t.row, of_kind[kind_of] + sums[ends] - sums[ends - starting], len(train)) / np.log(10)
-
+        cell = np.arange(CELLS)
+        bit, longer, shorter = cell // STATES**2, cell // STATES % STATES, cell % STATES
+        seen = [s // len(FRESH_MIDDLE) for s in (longer, shorter)]
+        odds = []
+        for s, n in zip((longer, shorter), seen, strict=True):
+            n_middle = SEEN_MIDDLE[n]
+            escape = (FRESH_MIDDLE[s % len(FRESH_MIDDLE)] * n_middle + 0.5) / (n_middle + 1)
+            odds.append(np.where(n > 0, np.log((1 - escape).clip(0.02) / escape.clip(0.02)), 0.0))
+        self.x = np.stack([*odds, np.ones(CELLS)])
+        self.gate = bit * len(SEEN_MIDDLE) + np.where(bit == 0, seen[0], seen[1])
+        self.weights = np.tile([0.5, 0.5, 0.0], (3 * len(SEEN_MIDDLE), 1))
+        self.map = np.zeros(CELLS)
+
+    def odds(self) -> np.ndarray:
+        return np.clip((self.weights[self.gate].T * self.x).sum(0) + self.map, -20, 20)
+
+    def learn(self, counts: np.ndarray) -> None:
+        """One damped Newton step of each gate from the bits of a slice."""
+        n, ones = counts.sum(1), counts[:, 1]
+        p = 1 / (1 + np.exp(-self.odds()))
+        wrong, open_ = ones - n * p, n * p * (1 - p)
+        for g in np.unique(self.gate[n > 0]).tolist():
+            own = self.gate == g
+            x = self.x[:, own]
+            self.weights[g] += 0.5 * np.linalg.solve((x * open_[own]) @ x.T + np.eye(len(x)) * 5, x @ wrong[own])
+        self.weights = np.clip(self.weights, -8, 8)
+
+    def refine(self, counts: np.ndarray) -> None:
+        """The map's own correction of each cell; cells that saw little stay near the mixture."""
+        n, ones = counts.sum(1), counts[:, 1]
+        for _ in range(8):
+            p = 1 / (1 + np.exp(-self.odds()))
+            self.map = np.clip(self.map + (ones - n * p - self.map) / (n * p * (1 - p) + 1), -8, 8)
+
+
+def _log_table(bits: np.ndarray) -> np.ndarray:
+    """log10 probability of every outcome of a cell."""
+    mixer = Mixer()
+    for counts in bits:
+        mixer.learn(counts)
+    mixer.refine(bits.sum(0))
+    odds = mixer.odds()
+    return np.stack([-np.logaddexp(0, odds), -np.logaddexp(0, -odds)], 1).ravel() / np.log(10)
+
+
+def _spelling(pairs: np.ndarray, pair: np.ndarray, times: np.ndarray, own: bool) -> float:
+    """log10 probability of a document's spelt bytes; its ``own`` are taken out of the counts."""
+    before = pair >> 8
+    here, all_ = pairs[pair], pairs.reshape(256, 256).sum(1)[before]
+    if own:
+        here, all_ = here - times, all_ - np.bincount(before, times, 256)[before]
+    return float(times @ np.log10((here + UNSEEN) / (all_ + 256 * UNSEEN)))
+
+
+# ---------------------------------------------------------------- scores
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)."""
     scratch = Scratch(docs.sparkSession)
-    rows = _rows(docs, text, key)
-    code = Code(pair_counts(rows))
-    counts_of = context_tables(rows, code)
-    asked = token_totals(rows, scratch)
-    answers = scratch.keep(_answers(asked))
-    kinds, tokens = answers.filter("block is null").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    floor = tokens + 0.1 * (kinds + 1)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by([("doc_id", "ascending")])
-        hashes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]])
-        counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in right.column("counts").to_pylist()]])
-        order = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[order], counts[order]
-        train = left.column("train").combine_chunks().to_numpy(zero_copy_only=False)
-        mixer, parts = Mixer(), []
-        for first, data, offsets in slices(left.column("text").combine_chunks(), SCORE_BYTES):
-            t = Tokens(data, offsets)
-            c = counts[np.searchsorted(hashes, t.hashes)].astype(np.float64)
-            logs = np.log10((c + 0.1) / floor)
-            size = len(offsets) - 1
-            base = np.bincount(t.row, logs[t.which], size)
-            known = np.bincount(t.row, (c > 0)[t.which], size)
-            scores = _score_slice(t, Bits(t, code), counts_of, train[first:first + size], mixer)
-            spelt = np.bincount(t.row, t.size[t.which], size)
-            parts.append((t.count, known, base, scores, -scores * np.log2(10) / spelt))
-        n, known, base, scores, rate = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(n.astype(np.int64)),
-            "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-            "base_score": pa.array(base), "score": pa.array(scores), "bits_per_byte": pa.array(rate),
-        })
+    rows = _rows(docs, text, key).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    shards = -(-size // BLOCK_BYTES) or 1
+    dealt = F.xxhash64("doc_id", "text")
+    rows = rows.withColumn("slice", F.pmod(dealt, F.lit(SLICES)).cast("int")).withColumn("block", F.pmod(F.xxhash64(dealt), F.lit(shards)))
+    # both uses of the texts are one exchange
+    blocks = rows.repartition(max(1, shards), "block")
+    asked = blocks.groupBy("block").applyInArrow(lambda t: _ask(t, shards), ASKED)
+    answers = asked.groupBy("shard").applyInArrow(_answer, ANSWERED)
+    coded = scratch.keep(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _code(a, b, shards), CODED))
+    kinds, tokens = coded.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    floor = float(np.log10(tokens + 0.1 * (kinds + 1)))
+    given = coded.filter("n_tokens is not null")
+    bits, pairs = _lessons(given)
+    logs = _log_table(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            mixed = []
+            for own, cells, times in zip(train.tolist(), batch.column("cells").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                symbol, n = np.frombuffer(cells, np.uint32).astype(np.int64), np.frombuffer(times, np.uint32)
+                cut = int(np.searchsorted(symbol, PAIRS))
+                spelt = _spelling(pairs, symbol[cut:] - PAIRS, n[cut:], own) if cut < len(symbol) else 0.0
+                mixed.append(float(logs[symbol[:cut]] @ n[:cut]) + spelt)
+            n, known, plain, size = (batch.column(c).to_numpy() for c in ("n_tokens", "n_known", "plain", "n_bytes"))
+            scores = np.array(mixed) + batch.column("within").to_numpy() - plain * np.log10(np.maximum(tokens - train, 1))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "held_out": pa.array(~train), "n_tokens": pa.array(n), "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(len(n), tokens, np.int64)), "base_score": pa.array(batch.column("base").to_numpy() - n * floor),
+                "score": pa.array(scores), "bits_per_byte": pa.array(-scores * np.log2(10) / np.maximum(size, 1)),
+            })
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    given = answers.filter("block is not null").select("block", "hashes", "counts")
-    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
+    return given.mapInArrow(run, schema)
