@@ -23,11 +23,11 @@ text's UTF-8 bytes (by 1 if there are none).
 Base.  ``base_score`` is the unigram score with all token counts of the training documents.
 
 Scale.  Contexts and counts grow with the corpus and are never gathered in one place.  Texts are
-dealt to blocks of about 16 MB by hash of id and text; a block sends its different (context,
-token) pairs with counts to as many shards of the hash space and gets totals back.  Shard and
+dealt to blocks of about 4 MB by hash of id and text; a block sends its different (context,
+token) pairs with counts to shards of the hash space and gets totals back.  Shard and
 block numbers follow the counted bytes, so groups keep their size as the corpus grows; a pair of
-any frequency is one entry per block.  A context is known by some 32 bits within its shard, a
-token there by 24: about one context in a thousand shares its counts with another, at any size.
+any frequency is one entry per block.  A context is known by 28 bits within its shard, a token
+there by 22: some contexts in a thousand share their counts with another, at any size.
 Rows equal in id and text share a block; only a single text can make a block larger.
 
 Null texts are empty (one end token); rows without a doc_id count as held out; repeated rows
@@ -46,13 +46,13 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import _FOLDED, Scratch, mix, prefix_hashes, slices, span_hashes, text_or_empty, word_spans
 
-#: Bytes of text in a block, on average.
-BLOCK_BYTES = 1 << 24
+#: Bytes of text in a block, and of text whose names meet in a shard, on average.
+BLOCK_BYTES, SHARD_BYTES = 1 << 22, 1 << 23
 END, GAP = 0x0A, 0x20
 END_HASH = np.uint64(0xE17A1465D0C3AB29)
 #: Slices in which the mixer meets the documents.
 SLICES = 16
-TOKEN_BITS = 24
+CONTEXT_BITS, TOKEN_BITS = 28, 22
 #: Levels of how often a context was seen, and of followers per sight, with their middles.
 SEEN, SEEN_MIDDLE = (1, 2, 3, 5, 9, 33), np.array([0, 1, 2, 3.5, 6.5, 18, 80])
 FRESH, FRESH_MIDDLE = (0.2, 0.5, 0.7, 0.999), np.array([0.1, 0.35, 0.6, 0.85, 1.0])
@@ -118,9 +118,9 @@ class Tokens:
 
 
 def _pairs(t: Tokens, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard and 56-bit name of each (context, token)."""
+    """Shard and name of each (context, token)."""
     context = t.contexts[order]
-    name = context >> np.uint64(32) << np.uint64(TOKEN_BITS) | t.every >> np.uint64(64 - TOKEN_BITS)
+    name = context >> np.uint64(64 - CONTEXT_BITS) << np.uint64(TOKEN_BITS) | t.every >> np.uint64(64 - TOKEN_BITS)
     return (context & np.uint64(0xFFFFFFFF)) % np.uint64(shards), name
 
 
@@ -152,13 +152,45 @@ class Block:
 
 
 def _planes(x: np.ndarray, kind: type) -> bytes:
-    """Bytes of equal weight side by side: high ones are mostly zero and take no room in a shuffle."""
+    """Compressed: bytes of equal weight side by side, as high ones are mostly zero."""
     x = np.ascontiguousarray(x, kind)
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True)
 
 
 def _joined(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    flat = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _flat(x: np.ndarray) -> bytes:
+    """Four-byte numbers in planes; the file's own codec does the rest."""
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+PACKED = "block bigint, rows binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block, compressed: texts travel once, and in less room than Spark's codec takes."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            some = batch.take(pa.array(order[lo:hi]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(some)
+            yield pa.RecordBatch.from_arrays([some.column("block").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
 
 
 ASKED = "shard bigint, block bigint, what int, names binary, counts binary"
@@ -166,7 +198,7 @@ ANSWERED = "block bigint, shard bigint, what int, own binary, seen binary, fresh
 
 
 def _ask(table: pa.Table, shards: int) -> pa.Table:
-    block, rows = Block(table, shards), []
+    block, rows = Block(_unpack(table), shards), []
     number = table.column("block")[0].as_py()
     for what, (shard, name, which) in enumerate(block.asked):
         counts = np.bincount(which[block.learnt], minlength=len(name))
@@ -228,6 +260,7 @@ def _code(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
             ("doc_id", pa.int64()), ("train", pa.bool_()), ("slice", pa.int32()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
             ("base", pa.float64()), ("within", pa.float64()), ("plain", pa.int64()), ("cells", pa.binary()), ("times", pa.binary()))}
         return pa.table({**none, "kinds": right.column("kinds"), "tokens": right.column("tokens")})
+    left = _unpack(left)
     block = Block(left, shards)
     right = right.sort_by([("what", "ascending"), ("shard", "ascending")])
     what = right.column("what").to_numpy()
@@ -274,8 +307,8 @@ def _code(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
         ends = np.searchsorted(value, np.arange(size + 1) * SYMBOLS)
         symbol, n = (value % SYMBOLS).astype(np.uint32), n.astype(np.uint32)
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            cells.append(symbol[lo:hi].tobytes())
-            times.append(n[lo:hi].tobytes())
+            cells.append(_flat(symbol[lo:hi]))
+            times.append(_flat(n[lo:hi]))
         out.append((
             t.count, np.bincount(t.row, known[here], size), np.bincount(t.row, base[here], size),
             np.bincount(t.row, within[here], size), np.bincount(t.row, hit0[here], size),
@@ -298,7 +331,7 @@ def _lessons(coded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         bits, pairs = np.zeros((SLICES, PAIRS), np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
             for k, cells, times in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                symbol, n = np.frombuffer(cells, np.uint32), np.frombuffer(times, np.uint32)
+                symbol, n = _wide(cells), _wide(times)
                 cut = int(np.searchsorted(symbol, PAIRS))
                 bits[k, symbol[:cut]] += n[:cut]
                 pairs[symbol[cut:] - PAIRS] += n[cut:]
@@ -379,11 +412,12 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     scratch = Scratch(docs.sparkSession)
     rows = _rows(docs, text, key).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    shards = -(-size // BLOCK_BYTES) or 1
+    shards = -(-size // SHARD_BYTES) or 1
     dealt = F.xxhash64("doc_id", "text")
-    rows = rows.withColumn("slice", F.pmod(dealt, F.lit(SLICES)).cast("int")).withColumn("block", F.pmod(F.xxhash64(dealt), F.lit(shards)))
+    number = F.pmod(F.xxhash64(dealt), F.lit(-(-size // BLOCK_BYTES) or 1))
+    rows = rows.withColumn("slice", F.pmod(dealt, F.lit(SLICES)).cast("int")).withColumn("block", number)
     # both uses of the texts are one exchange
-    blocks = rows.repartition(max(1, shards), "block")
+    blocks = rows.mapInArrow(_pack, PACKED)
     asked = blocks.groupBy("block").applyInArrow(lambda t: _ask(t, shards), ASKED)
     answers = asked.groupBy("shard").applyInArrow(_answer, ANSWERED)
     coded = scratch.keep(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _code(a, b, shards), CODED))
@@ -398,7 +432,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             train = batch.column("train").to_numpy(zero_copy_only=False)
             mixed = []
             for own, cells, times in zip(train.tolist(), batch.column("cells").to_pylist(), batch.column("times").to_pylist(), strict=True):
-                symbol, n = np.frombuffer(cells, np.uint32).astype(np.int64), np.frombuffer(times, np.uint32)
+                symbol, n = _wide(cells), _wide(times)
                 cut = int(np.searchsorted(symbol, PAIRS))
                 spelt = _spelling(pairs, symbol[cut:] - PAIRS, n[cut:], own) if cut < len(symbol) else 0.0
                 mixed.append(float(logs[symbol[:cut]] @ n[:cut]) + spelt)

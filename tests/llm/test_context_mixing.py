@@ -92,6 +92,7 @@ def brute(rows, slices):
 @pytest.mark.parametrize("block_bytes", [1 << 24, 3000])
 def test_score_equals_brute_force_in_any_blocks(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(cm, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(cm, "SHARD_BYTES", 2 * block_bytes)
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA)
     k = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(cm.SLICES))
