@@ -184,7 +184,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             some = batch.take(pa.array(order[lo:hi]))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
                 out.write_batch(some)
             yield pa.RecordBatch.from_arrays([some.column("block").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
@@ -212,6 +212,11 @@ def _ask(table: pa.Table, shards: int) -> pa.Table:
     })
 
 
+def _first_of_context(names: np.ndarray) -> np.ndarray:
+    context = names >> np.uint64(TOKEN_BITS)
+    return np.r_[True, context[1:] != context[:-1]]
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """For each asking block the totals of its names: of the pair, of its context, and different tokens after it."""
     kinds_of = table.column("what").to_numpy()
@@ -231,7 +236,8 @@ def _answer(table: pa.Table) -> pa.Table:
         ends = np.cumsum([len(x) for x in names]).tolist()
         for block, shard, x, end in zip(part.column("block").to_pylist(), part.column("shard").to_pylist(), names, ends, strict=True):
             at = which[end - len(x):end]
-            more = (_planes(seen[at], np.uint64), _planes(fresh[at], np.uint64)) if what else (b"", b"")
+            once = at[_first_of_context(x)] if what else at
+            more = (_planes(seen[once], np.uint64), _planes(fresh[once], np.uint64)) if what else (b"", b"")
             rows.append((block, shard, what, _planes(own[at], np.uint64), *more, 0, 0))
         if not what:
             rows.append((None, None, 0, b"", b"", b"", int((own > 0).sum()), int(own.sum())))
@@ -265,10 +271,16 @@ def _code(left: pa.Table, right: pa.Table, shards: int) -> pa.Table:
     right = right.sort_by([("what", "ascending"), ("shard", "ascending")])
     what = right.column("what").to_numpy()
     given = []
-    for k, (_, name, which) in enumerate(block.asked):
+    for k, (shard, name, which) in enumerate(block.asked):
         part = right.filter(pa.array(what == k))
         columns = ("own", "seen", "fresh") if k else ("own",)
         got = [np.concatenate([np.zeros(0, np.uint64), *[_joined(x, np.uint64) for x in part.column(c).to_pylist()]]).astype(np.int64) for c in columns]
+        if k:  # a context's totals come once
+            new = _first_of_context(name) | np.r_[True, shard[1:] != shard[:-1]]
+            number = np.cumsum(new) - 1
+            if any(len(x) != number[-1] + 1 for x in got[1:]):
+                raise RuntimeError("shards answered other contexts than those asked for")
+            got[1:] = [x[number] for x in got[1:]]
         if any(len(x) != len(name) for x in got):
             raise RuntimeError("shards answered other names than those asked for")
         given.append([x[which] for x in got])
