@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import constants as c
 from plumbline.functions.columns import named
+from plumbline.operators import quantiles
 from plumbline.session import scratch_folder, staged
 
 OFF, TOP_LEVEL, ALL = 0, 1, 2
@@ -68,12 +69,20 @@ def _counted(df: DataFrame, columns: Sequence[str], levels: DataFrame | None, ke
             F.count_if(value.isNull() & F.col("kind").isNotNull() & (F.col("kind") != "VOID")).alias("other"),
             F.max("unopened").alias("unopened"),
             F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"),
-            F.percentile_approx(value, [0.5, 0.95], c.PERCENTILE_ACCURACY).alias("pct"),
+            quantiles.sketch(value).alias("pct"),
         ]
         found = staged(rows.groupBy(*keys, "column", "path").agg(*sums), scratch_folder(df.sparkSession))
         if not found.agg(F.max("unopened")).first()[0]:
-            return found.drop("unopened")
+            break
         depth *= 2
+    by = [*keys, "column", "path"]
+    found = found.drop("unopened")
+    exact = quantiles.exact(
+        rows.select(*by, F.col("number").alias("value")), found.select(*by, F.col("numeric").alias("n"), F.col("pct").alias("sketch")), by)
+    if exact is None:
+        return found
+    joined = found.alias("f").join(exact.alias("e"), quantiles.same("f", "e", by), "left")
+    return joined.select("f.*", "exact").withColumn("pct", F.coalesce("exact", "pct")).drop("exact")
 
 
 def _numeric_only(found: DataFrame, keys: Sequence[str]) -> DataFrame:
