@@ -3,7 +3,8 @@
 All measures of one scan go into a single ``groupBy(keys).agg(...)``: partial
 aggregation happens before the shuffle, so a partition holding most of the rows
 costs one buffer per task, and the shuffle carries at most one row per task and
-key.  Only the aggregated rows are turned from wide to long.
+key.  Only the aggregated rows are turned from wide to long.  Quantiles of keys with many rows
+take a second look at the values, see :mod:`plumbline.operators.quantiles`.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from plumbline import constants as c
 from plumbline.functions.columns import (
     as_column, count_where, date_at_midnight, named, ntz, percent, seconds_between, share,
 )
+from plumbline.operators import quantiles
+from plumbline.session import scratch_folder, staged
 
 NUMERIC_TYPES = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TIMESTAMP_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -28,6 +31,7 @@ class Measures:
 
     aggregates: dict[str, Column] = field(default_factory=dict)   # by output name
     inputs: dict[str, Column] = field(default_factory=dict)       # computed once per row
+    sketches: dict[str, tuple[str, str]] = field(default_factory=dict)   # aggregate -> its input and count
     rows: list[Column] = field(default_factory=list)        # struct per output row
     metrics: list[Column] = field(default_factory=list)     # long metric structs
 
@@ -134,9 +138,8 @@ def distribution_measures(sources: Sequence[tuple[str, Column]], percentiles: bo
         }
         if percentiles:
             # one sketch answers both quantiles
-            m.aggregates[f"pct_{i}"] = F.percentile_approx(
-                value, [0.5, 0.95], c.PERCENTILE_ACCURACY
-            )
+            m.aggregates[f"pct_{i}"] = quantiles.sketch(value)
+            m.sketches[f"pct_{i}"] = (f"_value_{i}", f"n_{i}")
             for j, name in enumerate(("p50", "p95")):
                 stats[name] = F.coalesce(F.get(F.col(f"pct_{i}"), F.lit(j)), F.lit(0.0))
         m.rows.append(
@@ -184,15 +187,36 @@ def timestamp_measures(columns: Sequence[str], partition_date: Column) -> Measur
 # ---- runners ----------------------------------------------------------------
 
 def aggregate(df: DataFrame, families: Sequence[Measures], keys: Sequence[str] = c.KEYS) -> DataFrame:
-    """One wide row per key for all families; shared aggregates are computed once."""
+    """One wide row per key for all families; shared aggregates are computed once.
+
+    Where a key has too many rows for exact quantiles from its sketch, the values are read again.
+    """
     chosen: dict[str, Column] = {}
     inputs: dict[str, Column] = {}
+    sketched: dict[str, tuple[str, str]] = {}
     for family in families:
         chosen |= family.aggregates
         inputs |= family.inputs
+        sketched |= family.sketches
     if inputs:
         df = df.withColumns(inputs)
-    return df.groupBy(*keys).agg(*(expr.alias(name) for name, expr in chosen.items()))
+    wide = df.groupBy(*keys).agg(*(expr.alias(name) for name, expr in chosen.items()))
+    if not sketched or row_counts(df, keys).filter(F.col("row_count") >= quantiles.EXACT_BELOW).isEmpty():
+        return wide
+    return _with_exact_quantiles(df, staged(wide, scratch_folder(df.sparkSession)), sketched, list(keys))
+
+
+def _with_exact_quantiles(df: DataFrame, wide: DataFrame, sketched: dict[str, tuple[str, str]], keys: list[str]) -> DataFrame:
+    """The wide rows with the exact quantiles in place of the sketched ones."""
+    found = F.array(*(F.struct(F.lit(x).alias("_of"), F.col(n).alias("n"), F.col(x).alias("sketch")) for x, (_, n) in sketched.items()))
+    values = F.array(*(F.struct(F.lit(x).alias("_of"), F.col(v).alias("value")) for x, (v, _) in sketched.items()))
+    exact = quantiles.exact(df.select(*keys, F.inline(values)), wide.select(*keys, F.inline(found)), [*keys, "_of"])
+    if exact is None:
+        return wide
+    per_key = exact.groupBy(*keys).agg(*(F.max(F.when(F.col("_of") == x, F.col("exact"))).alias(f"exact_{x}") for x in sketched))
+    joined = wide.alias("w").join(per_key.alias("e"), quantiles.same("w", "e", keys), "left")
+    return joined.select("w.*", *(f"exact_{x}" for x in sketched)).withColumns(
+        {x: F.coalesce(f"exact_{x}", x) for x in sketched}).drop(*(f"exact_{x}" for x in sketched))
 
 
 def rows(df: DataFrame, family: Measures, keys: Sequence[str] = c.KEYS) -> DataFrame:
