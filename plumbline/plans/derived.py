@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from plumbline import constants as c
 from plumbline.operators.baseline import latest_rerun
 from plumbline.operators.profile import per_partition_clock
+from plumbline.session import spread, tasks_for
 from plumbline.sources.store import active, sentinel
 
 
@@ -157,8 +158,14 @@ LAST_DETAIL = (c.BREAKING_CHANGE, "breaking_change_status")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number)."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    """One row per (order, line number).
+
+    Dealt by order, so what follows per order or run needs no further shuffle.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus")
+    lines = spread(lines, tasks_for(spark, [f"{sf_dir}/lineitem.parquet"]), "l_orderkey")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_quantity").alias("qty"),
         F.max("l_tax").alias("tax"),
         F.max("l_returnflag").alias("flag"),

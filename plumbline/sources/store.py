@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from plumbline import constants as c
 from plumbline.functions.columns import as_column, ntz
+from plumbline.session import spread, tasks_for
 
 RUNS, NUMERICS, DETAILS, SKETCHES = "runs", "numerics", "details", "sketches"
 EXPIRIES, ORCHESTRATIONS, BASELINES, COMMITS = "expiries", "orchestrations", "baselines", "commits"
@@ -318,8 +319,12 @@ def _read_batches(spark: SparkSession, folder: str, name: str, commits: list) ->
     return rows.join(F.broadcast(numbers), "batch_id").drop("batch_id")  # one row per commit since the last compaction
 
 
+def _having(spark: SparkSession, folder: str, name: str, as_of: int | None) -> list:
+    return [r for r in _commits(spark, folder, as_of) if name in (r["schemas"] or {})]
+
+
 def _visible(spark: SparkSession, folder: str, name: str, as_of: int | None) -> DataFrame | None:
-    own = [r for r in _commits(spark, folder, as_of) if name in (r["schemas"] or {})]
+    own = _having(spark, folder, name, as_of)
     return _read_batches(spark, folder, name, own) if own else None
 
 
@@ -361,14 +366,18 @@ def read_table(spark: SparkSession, folder: str, name: str, as_of: int | None =
 
     Expired runs carry the rerun number that follows them.
     """
-    rows = _visible(spark, folder, name, as_of)
-    if rows is None:
+    own = _having(spark, folder, name, as_of)
+    if not own:
         raise LookupError(f"no committed rows of {name}")
+    rows = _read_batches(spark, folder, name, own)
     columns = [x for x in rows.columns if x not in ("seq", "next_rerun_number")]
     if "next_rerun_number" not in rows.columns:
         rows = rows.withColumn("next_rerun_number", F.lit(None).cast("int"))
     ended = _visible(spark, folder, EXPIRIES, as_of)
     if ended is not None:
+        # as many tasks as the files need, so that memory of one does not grow with the store
+        tasks = tasks_for(spark, (f"{folder}/{name}/batch_id={r['batch_id']}" for r in own))
+        rows, ended = spread(rows, tasks, "run_id"), spread(ended, tasks, "run_id")
         per_run = ended.groupBy("run_id").agg(F.sort_array(F.collect_list(
             F.struct("expired_at", F.col("seq").alias("at_seq"), F.col("next_rerun_number").alias("next"))
         )).alias("_ended"))
