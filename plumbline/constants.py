@@ -66,6 +66,7 @@ SLA_WARN_SHARE = 0.20
 INFERRED_SLA_DAYS = 30
 INFERRED_SLA_MIN_POINTS = 7
 INFERRED_SLA_SIGMAS = 2.0
+INFERRED_SLA_TIE = 1e-12               # share of the limit that counts as no difference
 
 SOURCE_HEALTH_DAYS = 7
 SOURCE_HEALTH_FAIL_BELOW = 60.0

@@ -116,12 +116,14 @@ def sla_countdown(remaining: Column, sla_hours: Column) -> Column:
 
 
 def inferred_sla(points: Column, deviation: Column, inferred: Column) -> Column:
+    """Hours exactly at a limit are within it, whatever the last bits of mean and deviation are."""
     none = F.lit(None).cast("string")
+    tie = F.abs(inferred) * c.INFERRED_SLA_TIE
     return decide(
         [
             (points < c.INFERRED_SLA_MIN_POINTS, c.PASS, "insufficient_history"),
-            (deviation > 0.0, c.FAIL, none),
-            ((inferred > 0.0) & (deviation > -inferred * c.SLA_WARN_SHARE), c.WARN, none),
+            (deviation > tie, c.FAIL, none),
+            ((inferred > 0.0) & (deviation + inferred * c.SLA_WARN_SHARE > tie), c.WARN, none),
         ],
         (c.PASS, none),
     )

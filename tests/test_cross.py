@@ -86,6 +86,15 @@ def test_inferred_sla(spark, last, status):
     assert (row.inferred_sla_hours, row.data_points, row.status) == (14.0, 6, status)
 
 
+@pytest.mark.parametrize("values, status", [
+    ([44, 26, 6, 48, 10, 14, 26, 2, 48, 25, 46], "PASS"),    # exactly 80 % of 24.9 + 2 * 16.3
+    ([44, 26, 6, 48, 10, 14, 26, 2, 48, 25, 46.0001], "WARN"),
+    ([0.1] * 11, "WARN"),                                    # exactly the limit
+])
+def test_inferred_sla_ties(spark, values, status):
+    assert on_day(cross.inferred_sla(hours(spark, values), d.enrichment(spark)))["d"].status == status
+
+
 def test_inferred_sla_needs_points_and_no_explicit_sla(spark):
     row = on_day(cross.inferred_sla(hours(spark, [1] * 6), d.enrichment(spark)))["d"]
     assert (row.reason, row.data_points, row.inferred_sla_hours) == ("insufficient_history", 6, None)
