@@ -79,6 +79,26 @@ def advanced(state: DataFrame | None, fresh: DataFrame, value: str = "metric_val
     return kept_values(latest_rerun(old.unionByName(new), [*keys, day], [F.desc("_new")]), value, keys, day, rows)
 
 
+def rolled(kept: DataFrame | None, fresh: DataFrame, value: str = "metric_value", keys: Sequence[str] = METRIC_KEYS,
+           day: str = "partition_date", rows: int = c.KEPT_ROWS) -> DataFrame:
+    """Baselines of a batch and the rows to keep after it, with one shuffle and one sort.
+
+    ``kept``: the ``is_kept`` rows after the batch before.  Rows of the batch are ``is_new`` and have the columns of
+    :func:`rolling_baseline`; they replace kept ones of the same day.
+    """
+    known = fresh.select(*keys, day, F.col(value).cast("double").alias(value), F.lit(True).alias("is_new"))
+    if kept is not None:
+        known = kept.select(*keys, day, value, F.lit(False).alias("is_new")).unionByName(known)
+    of_key = Window.partitionBy(*keys)
+    before = F.lag(day).over(of_key.orderBy(day, F.desc("is_new")))
+    once = known.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col(day))).drop("_before")
+    out = rolling_baseline(once, value, keys, day).withColumns({
+        "_nth": F.row_number().over(of_key.orderBy(day)), "_all": F.count(F.lit(1)).over(of_key)})
+    stats = ("baseline_mean", "baseline_stddev", "baseline_count")
+    out = out.withColumns({x: F.when(F.col("is_new"), F.col(x)) for x in stats})
+    return out.withColumn("is_kept", F.col("_all") - F.col("_nth") < rows).drop("_nth", "_all").filter("is_new OR is_kept")
+
+
 def reaches(state: DataFrame, first_day, need: int = c.BASELINE_ROWS, rows: int = c.KEPT_ROWS) -> bool:
     """Whether the state still holds the ``need`` values before a day, for every key that ever had them."""
     before = F.size(F.filter("kept", lambda x: x["day"] < F.lit(first_day)))

@@ -228,17 +228,16 @@ def hist_rolling_baseline(spark, sf):
 
 @query
 def hist_kept_baseline(spark, sf):
-    """The rolling baseline, year by year: each year sees the kept state of the years before only."""
-    folder, state, parts = scratch_folder(spark), None, []
-    history = staged(d.metric_history(spark, sf), f"{folder}/history")
-    first, last = history.agg(F.min(F.year("partition_date")), F.max(F.year("partition_date"))).first()
+    """The rolling baseline, year by year: each year sees the kept rows of the years before only."""
+    folder, kept, parts = scratch_folder(spark), None, []
+    # each year reads its own files only
+    history = d.metric_history(spark, sf).withColumn("year", F.year("partition_date"))
+    history = staged(history, f"{folder}/history", "year")
+    first, last = history.agg(F.min("year"), F.max("year")).first()
     for year in range(first, last + 1):
-        fresh = history.filter(F.year("partition_date") == year)
-        known = fresh.select(*baseline.METRIC_KEYS, "partition_date", "metric_value")
-        if state is not None:
-            known = known.unionByName(baseline.kept_history(state))
-        parts.append(baseline.rolling_baseline(known).filter(F.year("partition_date") == year))
-        state = staged(baseline.advanced(state, fresh), f"{folder}/state-{year}")
+        rows = staged(baseline.rolled(kept, history.filter(F.col("year") == year)), f"{folder}/{year}", "is_new")
+        parts.append(rows.filter("is_new"))
+        kept = rows.filter("is_kept")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline import session
+from plumbline.operators import baseline
 from plumbline.plans import derived as d
 from plumbline.sources import store
 
@@ -35,3 +36,25 @@ def test_expiry_shuffle_follows_the_store(spark, monkeypatch, tmp_path):
     rows = store.read_table(spark, folder, store.NUMERICS)
     assert max(dealt(rows)) > 2
     assert store.active(rows).count() == 30 and rows.count() == 50
+
+
+def test_kept_rows_take_one_shuffle_a_batch(spark):
+    """Batch after batch gives the baselines of the whole history, and a day sent again is replaced."""
+    day = F.date_add(F.lit(dt.date(2026, 1, 1)), F.col("id").cast("int")).alias("partition_date")
+    name = F.concat(F.lit("d"), F.col("k")).alias("dataset_name")
+    history = spark.range(60).crossJoin(spark.range(3).withColumnRenamed("id", "k")).filter("id % (k + 1) = 0").select(
+        name, F.lit("VOLUME").alias("check_type"), F.lit("row_count").alias("metric_name"), day,
+        F.when(F.col("id") % 7 != 0, F.col("id") * (F.col("k") + 1)).alias("metric_value"))
+    early = F.col("partition_date") < dt.date(2026, 2, 20)
+    first = baseline.rolled(None, history.filter(early))
+    wrong = history.filter(early & (F.col("partition_date") > dt.date(2026, 2, 15))).withColumn("metric_value", F.lit(-1.0))
+    spoilt = baseline.rolled(first.filter("is_kept"), wrong)
+    again = baseline.rolled(spoilt.filter("is_kept"), history.filter(F.col("partition_date") > dt.date(2026, 2, 15)))
+    assert again.groupBy("dataset_name").agg(F.count_if("is_kept").alias("n")).agg(F.max("n")).first()[0] == 40
+
+    columns = ["dataset_name", "partition_date", "metric_value", "baseline_mean", "baseline_stddev", "baseline_count"]
+    want = baseline.rolling_baseline(history).filter(F.col("partition_date") > dt.date(2026, 2, 15))
+    found = again.filter("is_new").select(columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.withColumn("metric_value", F.col("metric_value").cast("double")).select(columns).collect()))
+    plan = baseline.rolled(first.localCheckpoint().filter("is_kept"), wrong.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(", plan)) == 1
